@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from . import language, licenses, quality
 from .session import read
 from .token_counts import token_counts
 from .toxicity import toxicity
 
 
+def op3_license_scan(spark, sf_dir):
+    return licenses.license_scan(read(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 def op8_toxicity(spark, sf_dir):
     return toxicity(read(spark, sf_dir, "documents"))
 
@@ -15,5 +25,9 @@ def op9_token_counts(spark, sf_dir):
     return token_counts(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_toxicity, op9_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_quality_rules(spark, sf_dir):
+    return quality.quality_filter(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_license_scan, op7_language_id, op8_toxicity, op9_token_counts, op10_quality_rules)}
+ORACLE_SQL: dict[str, str] = {"op3_license_scan": licenses.oracle_sql(), "op7_language_id": language.oracle_sql(), "op10_quality_rules": quality.oracle_sql()}

@@ -85,6 +85,11 @@ def lowered(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column)
 
 
+def word_bytes(data: np.ndarray) -> np.ndarray:
+    """Which bytes of lower-cased text belong to words."""
+    return _WORD_BYTE[data]
+
+
 class Words:
     """Words of a slice: byte bounds, 64-bit hashes and each text's range of words."""
 
