@@ -8,7 +8,8 @@ merge by adding their counts, in any order and grouping: a group of fewer than
 ``min_docs`` texts uses the merged sketch of its language, or of everything.
 
 A metric's limits are the quartiles, moved out by ``fences`` times their
-distance plus the metric's slack; texts within the limits of all metrics are kept.
+distance plus the metric's slack, and for each text by ``noise`` / its words, as
+shares of a few words vary more; texts within the limits of all metrics are kept.
 So the limits follow each group's own spread, and a group of sound texts loses none.
 
 Defined cases: null language or source is a group of its own; null and empty
@@ -31,7 +32,7 @@ from .session import cut
 
 #: metric -> (slack, checked below, checked above)
 METRICS = {"symbols": (60, False, True), "capitals": (100, False, True), "digits": (100, False, True), "repeats": (100, False, True), "word_length": (250, True, True)}
-FENCES, MIN_DOCS = 3, 50
+FENCES, MIN_DOCS, NOISE = 3, 50, 4000
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[33:48] = _SYMBOL[58:65] = _SYMBOL[91:97] = _SYMBOL[123:127] = True
@@ -112,25 +113,25 @@ def limits(sketch: DataFrame, fences: int = FENCES, min_docs: int = MIN_DOCS) ->
     return bounds.groupBy("lang", "source").agg(*cols)
 
 
-def quality_filter(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", fences: int = FENCES, min_docs: int = MIN_DOCS) -> DataFrame:
+def quality_filter(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", fences: int = FENCES, min_docs: int = MIN_DOCS, noise: int = NOISE) -> DataFrame:
     """``id_col``, lang, source, n_words and the metrics of the texts that are kept."""
     metrics = cut(measured(df, id_col, text_col, lang_col, source_col))
     bounds = limits(sketches(metrics), fences, min_docs).withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
-    ok = F.col("n_words") > 0
+    ok, more = F.col("n_words") > 0, F.floor(noise / F.col("n_words"))
     for k, (_, below, above) in METRICS.items():
         if below:
-            ok &= F.col(k) >= F.col(f"low_{k}")
+            ok &= F.col(k) >= F.col(f"low_{k}") - more
         if above:
-            ok &= F.col(k) <= F.col(f"high_{k}")
+            ok &= F.col(k) <= F.col(f"high_{k}") + more
     joined = metrics.join(bounds, metrics.lang.eqNullSafe(F.col("g_lang")) & metrics.source.eqNullSafe(F.col("g_source")))
     return joined.where(ok).select(id_col, "lang", "source", "n_words", *METRICS)
 
 
-def oracle_sql(fences: int = FENCES, min_docs: int = MIN_DOCS) -> str:
+def oracle_sql(fences: int = FENCES, min_docs: int = MIN_DOCS, noise: int = NOISE) -> str:
     gap = tk.WORD_GAP
     rows = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS metric, {k} AS value FROM m WHERE n_words > 0" for k in METRICS)
     cols = ", ".join(f"max(CASE WHEN metric = '{k}' THEN q1 - s END) AS low_{k}, max(CASE WHEN metric = '{k}' THEN q3 + s END) AS high_{k}" for k in METRICS)
-    checks = " AND ".join([f"m.{k} >= low_{k}" for k, v in METRICS.items() if v[1]] + [f"m.{k} <= high_{k}" for k, v in METRICS.items() if v[2]])
+    checks = " AND ".join([f"m.{k} >= low_{k} - {noise} // m.n_words" for k, v in METRICS.items() if v[1]] + [f"m.{k} <= high_{k} + {noise} // m.n_words" for k, v in METRICS.items() if v[2]])
     slack = "CASE metric " + " ".join(f"WHEN '{k}' THEN {v[0]}" for k, v in METRICS.items()) + " END"
 
     def quart(name: str, keys: str) -> str:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import language, licenses, quality
+from . import language, licenses, ngram_join, quality
 from .session import read
 from .token_counts import token_counts
 from .toxicity import toxicity
 
 
+def op1_ngram_join(spark, sf_dir):
+    return ngram_join.ngram_join(read(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark, sf_dir):
     return licenses.license_scan(read(spark, sf_dir, "documents"))
 
@@ -29,5 +33,5 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality_filter(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_license_scan, op7_language_id, op8_toxicity, op9_token_counts, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {"op3_license_scan": licenses.oracle_sql(), "op7_language_id": language.oracle_sql(), "op10_quality_rules": quality.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_license_scan, op7_language_id, op8_toxicity, op9_token_counts, op10_quality_rules)}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_join": ngram_join.oracle_sql(), "op3_license_scan": licenses.oracle_sql(), "op7_language_id": language.oracle_sql(), "op10_quality_rules": quality.oracle_sql()}
