@@ -33,5 +33,10 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def beside(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """``df`` as the smaller side of a join with texts: sent to every executor if it is small, else hashed in each partition, so that the texts needn't be sorted."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df.hint("shuffle_hash")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
