@@ -3,25 +3,29 @@
 A text is its set of word n-grams, and 1 - J is a metric on such sets.  The join
 finds every pair with J >= threshold, that is, within eps = 1 - threshold.
 
+Equal sets (distance 0) are one point from the start, found by a 128-bit sum of
+their n-grams.
+
 Regions.  At the scale of a corpus nearly all distances to any pivot are exactly
-1, where the triangle inequality says nothing; what it does say is that a text
-within eps of x shares n-grams with everything close to x.  So the first
-partition is by anchors: ordered by hash, the first |x| - ceil(t |x|) + 1 n-grams
-of x, of which two texts in reach of each other share at least one.  All texts
-that share an anchor have a common pivot, the one of smallest id, and belong to
-the pivot's region (a text near several pivots is replicated to each).  Anchors
-that more than ``crowd`` texts share, as in passages that many documents repeat,
-don't make regions; their texts are partitioned again, recursively, with these
-anchors moved to the end of the order.  Only pairs whose common anchors are all
-crowded can be missing after a round, and both are then in the next one, so
-nothing is lost; a text left with crowded anchors only uses these.
-
-In a region texts join exactly: equal sets collapse, pivots (farthest first)
-split the rest into Voronoi cells, each cell takes in the boundary texts y of
-other cells with d(y, p_i) <= r_i + eps and d(y, p_i) <= d(y, p_own) + 2 eps (the
-triangle inequality's windows), and cells are split again until they are small
-or don't shrink, when the overlaps are counted.  A pair in several regions is
-reported by the smallest of its common pivots.
+1, where the triangle inequality says nothing; what it does say is that a point
+within eps of x shares at least ceil(t |x|) n-grams with x.  So the first
+partition is by anchors: in any order of all n-grams, among the first
+|x| - ceil(t |x|) + l of x and of y at least l = min(l_x, l_y) are common, where
+l_x = 1 + |x| / L_SHARE.  Anchors are shuffled as sorted, delta-coded runs, many
+texts to a row; pairs of fitting sizes that share an anchor are counted, and
+those that reach l are candidates.  The order is by hash, but n-grams that many
+texts have (as in passages that documents repeat) come last, so crowds hardly
+meet; which these are is read from mergeable counts, and affects speed alone.
+Candidates are linked to regions: points of different regions are more than eps
+apart, so each point is in one region only.  A region of more than REGION_GRAMS
+n-grams is parted again: its smallest points become pivots, each with all later
+candidates of its own.
+
+In a region points join exactly: pivots (farthest first) split them into Voronoi
+cells, each cell takes in the boundary points y of other cells with
+d(y, p_i) <= r_i + eps and d(y, p_i) <= d(y, p_own) + 2 eps (the triangle
+inequality's windows), and cells are split again until they are small or don't
+shrink, when the overlaps are counted.
 
 Result: doc_a < doc_b and jaccard.  Texts of equal sets are given by a star: the
 smallest id of the set with each other id, at 1.0; two different sets by one row
@@ -44,12 +48,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .session import BROADCAST_BYTES, cut, small
-
-N, THRESHOLD_PERCENT, CROWD, ROUNDS = 3, 60, 64, 5
+from .components import components
+from .session import beside, cut
+
+N, THRESHOLD_PERCENT = 3, 60
+#: One more common anchor is asked for every L_SHARE n-grams.
+L_SHARE = 16
+#: n-grams counted at once, and the count in one run that is passed on.
+RUN_GRAMS, RUN_COUNT = 2_000_000, 3
+#: n-grams that so many texts have come last in the order; at most LATE_GRAMS of them, the most frequent.
+CROWD, LATE_GRAMS = 16, 2_000_000
+#: Anchors of one group of the count, and n-grams of one region.
+BUCKET_ANCHORS, REGION_GRAMS = 2_000_000, 4_000_000
 #: Texts of a cell that are joined by counting overlaps at once.
 LEAF = 256
 
+_U = np.uint64
+
 
 def sets_of(column: pa.Array, n: int) -> Iterator[np.ndarray]:
     """The sorted distinct n-gram hashes of each text."""
@@ -59,164 +74,279 @@ def sets_of(column: pa.Array, n: int) -> Iterator[np.ndarray]:
         yield s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) > 1 else s
 
 
+def need(size):
+    """Common anchors that a text of ``size`` n-grams asks for."""
+    return 1 + size // L_SHARE
+
+
 def prefix_size(size: int, threshold_percent: int) -> int:
-    return size + threshold_percent * -size // 100 + 1 if size else 0
+    return min(size, size + threshold_percent * -size // 100 + need(size)) if size else 0
+
+
+def signature(grams: np.ndarray) -> tuple[int, int]:
+    with np.errstate(over="ignore"):
+        x = tk.mix(grams)
+        return int(x.sum(dtype=_U).astype(np.int64)), int(tk.mix(grams ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).astype(np.int64))
 
 
-def _anchors(docs: DataFrame, n: int, threshold_percent: int, demoted=None) -> DataFrame:
-    """gram, id, forced: each text's prefix.  demoted: broadcast of crowded n-grams, or "heavy" for a column that lists the text's own."""
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers of 64 bits by planes of equal bytes, which a codec shrinks to those in use."""
+    return values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def _signed(docs: DataFrame, n: int) -> DataFrame:
+    """id, s1, s2, size of each text with n-grams; besides, rows with a null id and a run's frequent n-grams with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crowded = None if demoted is None or demoted == "heavy" else demoted.value
+        names = ["id", "s1", "s2", "size", "grams", "counts"]
+        kept: list[np.ndarray] = []
+        seen: set[tuple[int, int]] = set()
+        held = 0
+
+        def counted() -> pa.RecordBatch:
+            grams, counts = np.unique(np.concatenate(kept), return_counts=True)
+            often = counts >= RUN_COUNT
+            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 4 + [pa.array([grams[often].tobytes()], pa.binary()), pa.array([counts[often].astype(np.int64).tobytes()], pa.binary())], names=names)
+
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                lists = part.column(2) if demoted == "heavy" else None
-                out, last = [], []
-                for i, grams in enumerate(sets_of(part.column(1), n)):
-                    k = prefix_size(len(grams), threshold_percent)
-                    if demoted is None:
-                        out.append(grams[:k])
-                        last.append(np.zeros(k, bool))
-                        continue
-                    if lists is None:
-                        at = np.searchsorted(crowded, grams)
-                        at[at == len(crowded)] = 0
-                        late = crowded[at] == grams
-                    else:
-                        late = np.isin(grams, np.array(lists[i].as_py() or [], dtype=np.int64).view(np.uint64))
-                    order = np.argsort(late, kind="stable")[:k]
-                    out.append(grams[order])
-                    last.append(late[order])
-                sizes = [len(x) for x in out]
-                if sum(sizes):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate(last))], names=["gram", "id", "forced"])
+                ids = part.column(0).to_pylist()
+                rows = []
+                for i, grams in zip(ids, sets_of(part.column(1), n)):
+                    if len(grams):
+                        key = signature(grams)
+                        rows.append((i, *key, len(grams)))
+                        if key not in seen:
+                            seen.add(key)
+                            kept.append(grams)
+                            held += len(grams)
+                if rows:
+                    none = pa.nulls(len(rows), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] + [none, none], names=names)
+                if held >= RUN_GRAMS:
+                    yield counted()
+                    kept.clear()
+                    seen.clear()
+                    held = 0
+        if kept:
+            yield counted()
+
+    return docs.mapInArrow(run, "id bigint, s1 bigint, s2 bigint, size bigint, grams binary, counts binary")
+
+
+def _late(signed: DataFrame) -> np.ndarray:
+    """The n-grams that come last in the order, sorted."""
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(g, np.int64)), pa.array(np.frombuffer(c, np.int64))], names=["gram", "n"])
+
+    counts = signed.where("id is null").select("grams", "counts").mapInArrow(unfold, "gram bigint, n bigint")
+    often = counts.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= CROWD).orderBy(F.desc("n"), "gram").limit(LATE_GRAMS).select("gram").toArrow()
+    return np.sort(often.column(0).to_numpy().view(np.uint64))
+
 
-    return docs.mapInArrow(run, "gram bigint, id bigint, forced boolean")
+def _is_in(grams: np.ndarray, members: np.ndarray) -> np.ndarray:
+    if not len(members):
+        return np.zeros(len(grams), bool)
+    at = np.searchsorted(members, grams)
+    at[at == len(members)] = 0
+    return members[at] == grams
 
 
-def _regions(anchors: DataFrame, crowd: int) -> DataFrame:
-    """id with pivot, or with a crowded gram (pivot null), for anchors of at least two texts."""
+def _anchors(points: DataFrame, n: int, threshold_percent: int, late, buckets: int, bits: int) -> DataFrame:
+    """Runs of anchors by bucket.  points: id, text, and the points that the id stands for as [(s1, s2, point)]."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = None
-        pairs: list[np.ndarray] = []
-        crowded: list[np.ndarray] = []
-
-        def take(gram, ids, forced):
-            first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
-            count = np.diff(np.append(first, len(gram)))
-            new = np.ones(len(gram), bool)
-            new[1:] = (gram[1:] != gram[:-1]) | (ids[1:] != ids[:-1])
-            distinct = np.add.reduceat(new, first)
-            fine = (distinct >= 2) & ((distinct <= crowd) | forced[first])
-            keep = np.repeat(fine, count)
-            pairs.append(np.unique(np.column_stack((ids[keep], np.repeat(ids[first], count)[keep])), axis=0))
-            keep = np.repeat((distinct > crowd) & ~forced[first], count)
-            crowded.append(np.column_stack((ids[keep], gram[keep])))
+        members = late.value
+        grams: list[np.ndarray] = []
+        owners: list[tuple[int, int]] = []
+        held = 0
+
+        def runs() -> Iterator[pa.RecordBatch]:
+            sizes = np.array([len(g) for g in grams])
+            gram = np.concatenate(grams)
+            owner = np.repeat(np.arange(len(owners)), sizes)
+            order = np.argsort(gram)
+            gram, owner = gram[order] >> _U(64 - bits), owner[order]
+            bucket = (gram >> _U(max(bits - 30, 0))) * _U(buckets) >> _U(min(bits, 30))
+            point = np.array([o[0] for o in owners], dtype=np.int64)
+            size = np.array([o[1] for o in owners], dtype=np.int64)
+            edges = np.searchsorted(bucket, np.arange(buckets + 1))
+            for k in range(buckets):
+                a, b = edges[k], edges[k + 1]
+                if a == b:
+                    continue
+                there, local = np.unique(owner[a:b], return_inverse=True)
+                by = np.argsort(point[there])
+                place = np.empty(len(by), dtype=np.int64)
+                place[by] = np.arange(len(by))
+                there = there[by]
+                data = (np.diff(gram[a:b], prepend=_U(0)), place[local], np.diff(point[there], prepend=0), size[there])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32())] + [pa.array([pack(x)], pa.binary()) for x in data], names=["bucket", "grams", "owners", "points", "sizes"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            got = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if carry is not None:
-                got = tuple(np.concatenate(x) for x in zip(carry, got))
-            # the last run may go on in the next batch
-            edge = int(np.searchsorted(got[0], got[0][-1]))
-            carry = tuple(c[edge:] for c in got)
-            if edge:
-                take(*(c[:edge] for c in got))
-        if carry is not None:
-            take(*carry)
-        for rows, isgram in ((pairs, False), (crowded, True)):
-            if rows:
-                x = np.concatenate(rows)
-                if not isgram:
-                    x = np.unique(x, axis=0)
-                none = pa.nulls(len(x), pa.int64())
-                other = pa.array(x[:, 1])
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), none if isgram else other, other if isgram else none], names=["id", "pivot", "gram"])
-
-    return anchors.repartition("gram").sortWithinPartitions("gram", "id").mapInArrow(run, "id bigint, pivot bigint, gram bigint")
-
-
-def _only(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
-    return docs.join(small(ids, count, 16), "id", "left_semi")
-
-
-def assignments(docs: DataFrame, n: int, threshold_percent: int, crowd: int) -> DataFrame:
-    """id, pivot: distinct, for every region that a text belongs to."""
-    spark = docs.sparkSession
-    found, heavy = [], None
-    anchors = _anchors(docs, n, threshold_percent)
-    for k in range(ROUNDS + 1):
-        # after the last round any crowd makes a region: slower, as exact
-        regions = cut(_regions(anchors, crowd if k < ROUNDS else 1 << 62))
-        found.append(regions.where("pivot is not null").select("id", "pivot"))
-        new = regions.where("pivot is null")
-        grams, texts = new.select(F.count_distinct("gram"), F.count_distinct("id")).first()
-        if not grams:
+            for part in tk.slices(batch, "text"):
+                for listed, own in zip(part.column(2).to_pylist(), sets_of(part.column(1), n)):
+                    if not len(own):
+                        continue
+                    key = signature(own)
+                    for p in listed:
+                        if (p["s1"], p["s2"]) == key:
+                            last = _is_in(own, members)
+                            k = prefix_size(len(own), threshold_percent)
+                            grams.append(own[np.argsort(last, kind="stable")[:k]] if last.any() else own[:k])
+                            owners.append((p["point"], len(own)))
+                            held += k
+                if held >= RUN_GRAMS:
+                    yield from runs()
+                    grams.clear()
+                    owners.clear()
+                    held = 0
+        if held:
+            yield from runs()
+
+    return points.mapInArrow(run, "bucket int, grams binary, owners binary, points binary, sizes binary")
+
+
+def count_pairs(table: pa.Table, threshold_percent: int) -> pa.Table:
+    """a < b, the anchors of this bucket that they share, and how many they need in all."""
+    gram, point, size = [], [], []
+    for g, o, p, s in zip(*(table.column(c).to_pylist() for c in ("grams", "owners", "points", "sizes"))):
+        owner = unpack(o).astype(np.int64)
+        gram.append(np.cumsum(unpack(g), dtype=np.uint64))
+        point.append(np.cumsum(unpack(p), dtype=np.uint64).astype(np.int64)[owner])
+        size.append(unpack(s).astype(np.int64)[owner])
+    gram, point, size = np.concatenate(gram), np.concatenate(point), np.concatenate(size)
+    order = np.argsort(gram, kind="stable")
+    shared = np.zeros(len(gram), bool)
+    same = gram[order][1:] == gram[order][:-1]
+    shared[1:] |= same
+    shared[:-1] |= same
+    order = order[shared]
+    order = order[np.lexsort((point[order], size[order], gram[order]))]
+    gram, point, size = gram[order], point[order], size[order]
+    fresh = np.ones(len(gram), bool)  # a repeated row gives its anchors again
+    fresh[1:] = (gram[1:] != gram[:-1]) | (point[1:] != point[:-1])
+    gram, point, size = gram[fresh], point[fresh], size[fresh]
+    kept = [(np.zeros(0, np.int64),) * 4]
+    held, step = 0, 1
+    at = np.arange(len(gram))
+
+    def merged() -> tuple[np.ndarray, ...]:
+        a, b, c, m = (np.concatenate(x) for x in zip(*kept))
+        order = np.lexsort((b, a))
+        a, b, c, m = a[order], b[order], c[order], m[order]
+        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
+        return a[first], b[first], np.add.reduceat(c, first) if len(a) else c, m[first]
+
+    while True:
+        # by size within a gram: once a step is too far for the size, so are longer ones
+        at = at[at + step < len(gram)]
+        at = at[(gram[at] == gram[at + step]) & (size[at] * 100 >= threshold_percent * size[at + step])]
+        if not len(at):
             break
-        new_grams = new.select("gram").distinct()
-        heavy = cut(new_grams if heavy is None else heavy.union(new_grams).distinct())
-        rest = _only(docs, new.select("id").distinct(), texts)
-        size = heavy.count()
-        if size * 8 <= BROADCAST_BYTES:
-            values = np.sort(np.array([r.gram for r in heavy.collect()], dtype=np.int64).view(np.uint64))
-            anchors = _anchors(rest, n, threshold_percent, spark.sparkContext.broadcast(values))
-        else:
-            own = _anchors(rest, n, 0).join(heavy, "gram", "left_semi").groupBy("id").agg(F.collect_set("gram").alias("heavy"))
-            anchors = _anchors(rest.join(own, "id").select("id", "text", "heavy"), n, threshold_percent, "heavy")
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out.distinct()
-
-
-def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold_percent: int = THRESHOLD_PERCENT, crowd: int = CROWD) -> DataFrame:
+        x, y = point[at], point[at + step]
+        kept.append((np.minimum(x, y), np.maximum(x, y), np.ones(len(at), np.int64), size[at]))
+        held += len(at)
+        step += 1
+        if held > 4_000_000:
+            kept = [merged()]
+            held = 0
+    a, b, c, m = merged()
+    return pa.table([pa.array(x) for x in (a, b, c, need(m))], names=["a", "b", "c", "need"])
+
+
+def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold_percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """doc_a, doc_b, jaccard (see the module's text)."""
+    spark = df.sparkSession
     docs = df.select(df[id_col].cast("bigint").alias("id"), df[text_col].cast("string").alias("text")).where("id is not null and text is not null")
-    homes = cut(assignments(docs, n, threshold_percent, crowd).groupBy("id").agg(F.sort_array(F.collect_set("pivot")).alias("pivots")))
-    placed = docs.join(small(homes, homes.count(), 64), "id").select("id", "pivots", "text")
+    signed = cut(_signed(docs, n))
+    ids = signed.where("id is not null").select("id", "s1", "s2", "size")
+    # numbered once and for all: the rows are read back from the shared folder
+    heads = cut(ids.groupBy("s1", "s2").agg(F.min("id").alias("head"), F.max("size").alias("size")).withColumn("point", F.monotonically_increasing_id()))
+    count, grams = heads.agg(F.count(F.lit(1)), F.sum("size")).first()
+    equal = ids.join(beside(heads.select("s1", "s2", "head"), count, 40), ["s1", "s2"]).where("id <> head").select(F.col("head").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
+    late = spark.sparkContext.broadcast(_late(signed))
+    anchors = max(1, (100 - threshold_percent) * (grams or 0) // 100)
+    buckets = max(spark.sparkContext.defaultParallelism, -(-anchors // BUCKET_ANCHORS))
+    bits = min(63, max(31, anchors.bit_length() + 10))
+    stands = heads.groupBy(F.col("head").alias("id")).agg(F.collect_list(F.struct("s1", "s2", "point")).alias("points"))
+    points = docs.join(beside(stands, count, 64), "id").select("id", "text", "points")
+    runs = _anchors(points, n, threshold_percent, late, buckets, bits)
+    pairs = runs.groupBy("bucket").applyInArrow(lambda t: count_pairs(t, threshold_percent), "a bigint, b bigint, c bigint, need bigint")
+    candidates = cut(pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b"))
+    placed = cut(_regions(candidates, heads))
+    members = placed.join(heads.select("point", "head", "s1", "s2"), "point").groupBy(F.col("head").alias("id")).agg(F.collect_list(F.struct("s1", "s2", "point", "regions")).alias("points"))
+    wanted = docs.join(beside(members, placed.count(), 96), "id").select("id", "text", "points")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                ids, pivots = part.column(0).to_pylist(), part.column(1).to_pylist()
-                rows = [(p, i, ps, s.tobytes()) for i, ps, s in zip(ids, pivots, sets_of(part.column(2), n)) for p in ps]
-                for a in range(0, len(rows), 2000):
-                    cols = list(zip(*rows[a : a + 2000]))
-                    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["region", "id", "pivots", "grams"])
-
-    def join(table: pa.Table) -> pa.Table:
-        region = table.column("region")[0].as_py()
-        return join_region(region, table.column("id").to_pylist(), table.column("pivots").to_pylist(), table.column("grams").to_pylist(), threshold_percent)
-
-    members = placed.mapInArrow(spread, "region bigint, id bigint, pivots array<bigint>, grams binary")
-    return members.groupBy("region").applyInArrow(join, "doc_a bigint, doc_b bigint, jaccard double")
-
-
-def join_region(region: int, ids: list[int], pivots: list[list[int]], grams: list[bytes], threshold_percent: int) -> pa.Table:
-    groups: dict[bytes, list[int]] = {}
-    for k, g in enumerate(grams):
-        groups.setdefault(g, []).append(k)
+                rows = []
+                for i, listed, own in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), sets_of(part.column(1), n)):
+                    key = signature(own)
+                    rows += [(r["region"], r["pivot"], p["point"], i, own.tobytes()) for p in listed if (p["s1"], p["s2"]) == key for r in p["regions"]]
+                for a in range(0, len(rows), 500):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + 500]), kinds)], names=["region", "pivot", "point", "id", "grams"])
+
+    found = wanted.mapInArrow(spread, "region bigint, pivot bigint, point bigint, id bigint, grams binary")
+    near = found.groupBy("region", "pivot").applyInArrow(lambda t: join_region(t, threshold_percent), "doc_a bigint, doc_b bigint, jaccard double")
+    return equal.union(near)
+
+
+def _regions(candidates: DataFrame, heads: DataFrame) -> DataFrame:
+    """point, regions: [(region, pivot)], pivot -1 for a region that is joined as a whole."""
+    of = components(candidates, "a", "b")
+    sized = of.join(heads.select(F.col("point").alias("node"), "size"), "node")
+    weights = sized.groupBy("root").agg(F.sum("size").alias("grams"))
+    split = of.join(weights, "root").select("node", "root", (F.col("grams") > REGION_GRAMS).alias("large"))
+    whole = split.where("not large").select(F.col("node").alias("point"), F.col("root").alias("region"), F.lit(-1).cast("bigint").alias("pivot"))
+    large = split.where("large").select(F.col("node").alias("a"), "root")
+    stars = candidates.join(large, "a")
+    own = stars.select(F.col("a").alias("point"), F.col("root").alias("region"), F.col("a").alias("pivot")).distinct()
+    others = stars.select(F.col("b").alias("point"), F.col("root").alias("region"), F.col("a").alias("pivot"))
+    return whole.union(own).union(others).groupBy("point").agg(F.collect_list(F.struct("region", "pivot")).alias("regions"))
+
+
+def join_region(table: pa.Table, threshold_percent: int) -> pa.Table:
+    pivot = table.column("pivot")[0].as_py()
+    sets, heads, points = [], [], []
+    seen: set[int] = set()
+    for point, i, g in zip(*(table.column(c).to_pylist() for c in ("point", "id", "grams"))):
+        if point not in seen:
+            seen.add(point)
+            points.append(point)
+            heads.append(i)
+            sets.append(np.frombuffer(g, dtype=np.uint64))
     rows: list[tuple[int, int, float]] = []
-    sets, heads, homes = [], [], []
-    for g, members in groups.items():
-        own = sorted({ids[k] for k in members})
-        if pivots[members[0]][0] == region:
-            rows += [(own[0], other, 1.0) for other in own[1:]]
-        sets.append(np.frombuffer(g, dtype=np.uint64))
-        heads.append(own[0])
-        homes.append(set(pivots[members[0]]))
-    for a, b, j in Cells(sets, threshold_percent).pairs():
-        if heads[a] != heads[b] and min(homes[a] & homes[b]) == region:
+    cells = Cells(sets, threshold_percent)
+    if pivot >= 0:
+        # a pivot with its later candidates; their own pairs belong to other pivots
+        k = points.index(pivot)
+        cells._report(np.array([k]), np.array([x for x in range(len(points)) if x != k]), False)
+    else:
+        cells.pairs()
+    for a, b, j in cells.found:
+        if heads[a] != heads[b]:
             rows.append((min(heads[a], heads[b]), max(heads[a], heads[b]), j))
     cols = list(zip(*rows)) or [(), (), ()]
     return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["doc_a", "doc_b", "jaccard"])
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold_percent: int = THRESHOLD_PERCENT) -> DataFrame:
+    """The rows of ``df``, all columns, without the documents that are linked by pairs to one of a smaller id; of repeated rows (one id) all stay."""
+    pairs = ngram_join(df, id_col, text_col, n, threshold_percent).select("doc_a", "doc_b")
+    of = cut(components(pairs, "doc_a", "doc_b").where("node <> root").select(F.col("node").alias("_gone")))
+    return df.join(beside(of, of.count(), 16), df[id_col].cast("bigint") == F.col("_gone"), "left_anti")
+
+
 class Cells:
     """The exact self-join of some different sets, by recursive Voronoi cells and windows."""
 
