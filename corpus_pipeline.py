@@ -1,6 +1,35 @@
-"""The corpus pipeline (stages are added as their operators are written)."""
+"""The corpus pipeline: five operators, each on all that the one before it kept.
 
-STAGES = []
+Toxic documents go, then those without a recognised language (the others are
+labelled with the language found), one document of each group of near copies
+stays, sources are mixed to target weights, and what is left is packed into bins.
+"""
+
+from lexloom.llm import language, mixing, ngram_join, packing, toxicity
+
+
+def drop_toxic(spark, docs, sf_dir):
+    return toxicity.clean(docs)
+
+
+def identify_language(spark, docs, sf_dir):
+    return language.relabel(docs, language.fit(docs))
+
+
+def drop_near_copies(spark, docs, sf_dir):
+    return ngram_join.keep_one(docs)
+
+
+def mix_sources(spark, docs, sf_dir):
+    return mixing.mix(docs)
+
+
+def pack(spark, docs, sf_dir):
+    return packing.pack_documents(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("language", identify_language), ("near_copies", drop_near_copies), ("mixing", mix_sources), ("packing", pack)]
+#: Random duels and packing can't be said in SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
