@@ -44,27 +44,49 @@ def _data(text: Column) -> Column:
     return F.encode(text, "UTF-8")
 
 
-def _inside(text: Column, span: Column) -> Column:
-    return (span["start"] >= 1) & (span["start"] <= span["stop"]) & (span["stop"] <= F.octet_length(text) + 1)
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once a row, however often lambdas in it read it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _inside(data: Column, span: Column) -> Column:
+    return (span["start"] >= 1) & (span["start"] <= span["stop"]) & (span["stop"] <= F.octet_length(data) + 1)
+
+
+def _cut(data: Column, span: Column) -> Column:
+    return F.substring(data, span["start"], span["stop"] - span["start"])
+
+
+def _boundary(data: Column, index: Column) -> Column:
+    last = F.octet_length(data) + 1
+    byte = F.hex(F.substring(data, index, F.lit(1)))
+    return F.coalesce((index >= 1) & (index <= last) & ((index == last) | ~F.substring(byte, 1, 1).isin("8", "9", "A", "B")), F.lit(False))
+
+
+def _substring(data: Column, span: Column) -> Column:
+    fine = _inside(data, span) & _boundary(data, span["start"]) & _boundary(data, span["stop"])
+    return F.when(~has_nonempty_span(span), F.lit("")).when(fine, F.decode(_cut(data, span), "UTF-8"))
 
 
 def span_codeunits(text: Column, span: Column) -> Column:
     """The bytes of a span; none of one that is empty, missing or outside the text."""
-    inside = has_nonempty_span(span) & _inside(text, span)
-    return F.when(inside, F.substring(_data(text), span["start"], span["stop"] - span["start"])).otherwise(F.lit(b""))
+    data = _data(text)
+    return F.when(has_nonempty_span(span) & _inside(data, span), _cut(data, span)).otherwise(F.lit(b""))
 
 
 def is_valid_string_boundary(text: Column, index: Column) -> Column:
     """Whether a character starts at a byte, or the text ends before it."""
-    last = F.octet_length(text) + 1
-    byte = F.hex(F.substring(_data(text), index, F.lit(1)))
-    return F.coalesce((index >= 1) & (index <= last) & ((index == last) | ~F.substring(byte, 1, 1).isin("8", "9", "A", "B")), F.lit(False))
+    return _boundary(_data(text), index)
 
 
 def try_span_substring(text: Column, span: Column) -> Column:
     """The text of a span: empty for none, null if it doesn't fall on characters."""
-    fine = _inside(text, span) & is_valid_string_boundary(text, span["start"]) & is_valid_string_boundary(text, span["stop"])
-    return F.when(~has_nonempty_span(span), F.lit("")).when(fine, F.decode(F.substring(_data(text), span["start"], span["stop"] - span["start"]), "UTF-8"))
+    return _substring(_data(text), span)
+
+
+def span_substrings(text: Column, spans: Column) -> Column:
+    """``try_span_substring`` of each of an array of spans; the text is made into bytes once."""
+    return _once(_data(text), lambda data: F.transform(spans, lambda s: _substring(data, s)))
 
 
 def offsets_are_nonoverlapping(spans: Column, ignore_empty: bool = True) -> Column:
@@ -78,13 +100,13 @@ def offsets_are_nonoverlapping(spans: Column, ignore_empty: bool = True) -> Colu
 def validate_offsets_contract(text: Column, spans: Column, require_string_boundaries: bool = False) -> Column:
     """Whether all spans are missing, or lie in the text."""
 
-    def fine(span: Column) -> Column:
-        ok = _inside(text, span)
+    def fine(data: Column, span: Column) -> Column:
+        ok = _inside(data, span)
         if require_string_boundaries:
-            ok &= is_valid_string_boundary(text, span["start"]) & is_valid_string_boundary(text, span["stop"])
+            ok &= _boundary(data, span["start"]) & _boundary(data, span["stop"])
         return ~has_span(span) | ok
 
-    return F.forall(spans, fine)
+    return _once(_data(text), lambda data: F.forall(spans, lambda s: fine(data, s)))
 
 
 def assert_offsets_contract(text: Column, spans: Column, require_string_boundaries: bool = False) -> Column:

@@ -1,11 +1,486 @@
-"""The queries of the library and the SQL that gives the same rows."""
+"""The queries of the library and the SQL that gives the same rows.
+
+Each query runs over a whole table.  Where an operator's result is a text or an
+array, the query gives its length and digest, so that results are compared in full
+and stay small.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import normalizers as nz
+from ..functions import spans as sp
+from ..operators import batches, encode, training
+from ..operators.models import Tiktoken, WordPiece
+from ..operators.pipeline_json import Pipeline, family_blocks
+from ..operators.vocabulary import Vocabulary, lookup_ids, lookup_tokens, special_mask, special_roles, vocabulary_frame, without_skipped
+from ..sources import registry
+from . import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "tokens_by_lang"
+MERGES, LEAST = 12, 2
+RARE, TOP_WORDS, ENDINGS, LONGEST = 200, 400, 200, 8
+SPECIALS = ("[UNK]", "[PAD]", "[CLS]", "[SEP]", "[MASK]")
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents")
+
+
+# ---------------------------------------------------------------- words and letters
+
+
+@query(f"SELECT doc_id, len(w)::BIGINT AS n_words, md5(array_to_string(w, '|')) AS digest FROM (SELECT doc_id, {sql.WORDS} AS w FROM documents)")
+def word_split(spark, sf_dir):
+    w = docs(spark, sf_dir).select("doc_id", nz.word_split(F.col("text")).alias("w"))
+    return w.select("doc_id", F.size("w").cast("bigint").alias("n_words"), F.md5(F.array_join("w", "|")).alias("digest"))
+
+
+@query(f"WITH {sql.counted()} SELECT * FROM wc")
+def word_counts(spark, sf_dir):
+    return training.word_counts(docs(spark, sf_dir))
+
+
+@query(f"WITH {sql.counted(keys='lang, ')} SELECT * FROM wc")
+def word_counts_by_lang(spark, sf_dir):
+    return training.word_counts(docs(spark, sf_dir), keys=("lang",))
+
+
+@query(f"WITH {sql.counted()} SELECT symbol, sum(freq)::BIGINT AS freq FROM (SELECT unnest(string_split(word, '')) AS symbol, freq FROM wc) GROUP BY ALL")
+def alphabet(spark, sf_dir):
+    return training.alphabet(training.word_counts(docs(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- learning merges
+
+
+def _symbols(spark, sf_dir) -> DataFrame:
+    letters = F.filter(F.split("word", ""), lambda c: c != "")
+    return training.word_counts(docs(spark, sf_dir)).select(F.concat(letters, F.array(F.lit("</w>"))).alias("symbols"), "freq")
+
+
+_CHARS = f"WITH {sql.counted()}, {sql.symbols(end='</w>')}"
+
+
+@query(f'{_CHARS} SELECT l AS "left", r AS "right", n FROM ({sql.pairs("s0")})')
+def bpe_pair_counts(spark, sf_dir):
+    return training.pair_counts(_symbols(spark, sf_dir))
+
+
+@query(f'{_CHARS} SELECT l AS "left", r AS "right", n FROM ({sql.pairs("s0")}) ORDER BY n DESC, l, r LIMIT 1')
+def bpe_best_pair(spark, sf_dir):
+    return training.best_pair(training.pair_counts(_symbols(spark, sf_dir)))
+
+
+def _merge_rows(spark, result) -> DataFrame:
+    scores = result.artifacts.get("merge_scores") or [None] * len(result.artifacts["merge_pairs"])
+    rows = [(k, a, b, None if s is None else round(s, 12)) for k, ((a, b), s) in enumerate(zip(result.artifacts["merge_pairs"], scores), 1)]
+    out = spark.createDataFrame(rows, "rank bigint, left string, right string, score double")
+    return out if result.artifacts.get("merge_scores") else out.drop("score")
+
+
+def _union_merges(score: bool = False) -> str:
+    return " UNION ALL ".join(f'SELECT {k}::BIGINT AS rank, l AS "left", r AS "right"{", round(score, 12) AS score" if score else ""} FROM p{k}' for k in range(1, MERGES + 1))
+
+
+def _bpe(spark, sf_dir) -> training.TrainingResult:
+    d = docs(spark, sf_dir)
+    letters = training.alphabet(training.word_counts(d)).count()
+    return training.train_bpe_result(d, vocab_size=3 + letters + MERGES, min_frequency=LEAST)
+
+
+@query(f"{_CHARS}, {sql.merges(MERGES, LEAST)} {_union_merges()}")
+def bpe_merges(spark, sf_dir):
+    return _merge_rows(spark, _bpe(spark, sf_dir))
+
+
+@query(f"{_CHARS}, {sql.merges(MERGES, LEAST)}, x AS (SELECT d.lang, unnest({sql.WORDS}) AS word FROM documents d) SELECT lang, sum(len(string_split(s, '⟩⟨')))::BIGINT AS n_tokens, 0::BIGINT AS n_unknown FROM x JOIN s{MERGES} USING (word) GROUP BY lang")
+def bpe_tokens_by_lang(spark, sf_dir):
+    return encode.count_by_words(_bpe(spark, sf_dir).tokenizer, docs(spark, sf_dir), ["lang"])
+
+
+@query(f"{_CHARS}, {sql.merges(MERGES, LEAST)} SELECT word, array_to_string(string_split(s[2:-2], '⟩⟨'), ' ') AS pieces, word AS decoded FROM s{MERGES}")
+def bpe_encode(spark, sf_dir):
+    model = _bpe(spark, sf_dir).tokenizer
+    words = encode.word_tokens(model, training.word_counts(docs(spark, sf_dir)).select("word"))
+    decoded = nz.marker_decoded(F.col("pieces"), "</w>")
+    return words.select("word", F.array_join("pieces", " ").alias("pieces"), decoded.alias("decoded"))
+
+
+_BYTES = f"WITH {sql.counted()}, {sql.symbols(end='</w>', byte=True)}"
+
+
+@query(f"{_BYTES}, {sql.merges(MERGES, LEAST)} {_union_merges()}")
+def bytebpe_merges(spark, sf_dir):
+    return _merge_rows(spark, training.train_bytebpe_result(docs(spark, sf_dir), vocab_size=3 + 256 + MERGES, min_frequency=LEAST))
+
+
+_PIECES = f"WITH {sql.counted()}, {sql.symbols(prefix='##')}"
+
+
+@query(f'{_PIECES} SELECT l AS "left", r AS "right", n, round(score, 12) AS score FROM ({sql.scored("s0")})')
+def wordpiece_pair_scores(spark, sf_dir):
+    found = training.pair_scores(training.wordpiece_symbols(training.word_counts(docs(spark, sf_dir))))
+    return found.withColumn("score", F.round("score", 12))
+
+
+@query(f"{_PIECES}, {sql.merges(MERGES, 50, '##')} {_union_merges(True)}")
+def wordpiece_merges(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    letters = training.alphabet(training.word_counts(d)).count()
+    return _merge_rows(spark, training.train_wordpiece_result(d, vocab_size=5 + 2 * letters + MERGES, min_frequency=50, max_input_chars_per_word=0))
+
+
+# ---------------------------------------------------------------- encoding
+
+
+def frequency_vocabulary(counts: DataFrame, rare: int = RARE, words: int = TOP_WORDS, endings: int = ENDINGS) -> list[str]:
+    """Specials, letters that aren't rare (bare and with the prefix), the most frequent short words and endings of words."""
+    letters = sorted(r.symbol for r in training.alphabet(counts).where(F.col("freq") >= rare).collect())
+    short = counts.where(F.length("word").between(2, 8)).orderBy(F.desc("freq"), "word").limit(words).collect()
+    ends = counts.where(F.length("word") >= 5).groupBy(F.substring("word", -3, 3).alias("e")).agg(F.sum("freq").alias("f")).orderBy(F.desc("f"), "e").limit(endings).collect()
+    return list(dict.fromkeys([*SPECIALS, *letters, *("##" + c for c in letters), *(r.word for r in short), *("##" + r.e for r in ends)]))
+
+
+def frequency_model(counts: DataFrame) -> WordPiece:
+    counts = counts.persist()
+    tokens = frequency_vocabulary(counts)
+    counts.unpersist()
+    return WordPiece(Vocabulary.build(tokens, special_roles(tokens, "[UNK]")), "##", "[UNK]", 0, "frequency")
+
+
+def _frequency_model(spark, sf_dir) -> WordPiece:
+    return frequency_model(training.word_counts(docs(spark, sf_dir)))
+
+
+_GREEDY = f"WITH RECURSIVE {sql.counted()}, {sql.frequency_vocabulary(RARE, TOP_WORDS, ENDINGS)}, {sql.greedy(longest=LONGEST)}, e AS (SELECT word, k, trim(out) AS out FROM g WHERE p = length(word) + 1)"
+
+
+@query(f"{_GREEDY}, x AS (SELECT lang, unnest({sql.WORDS}) AS word FROM documents) SELECT lang, sum(coalesce(k, 1))::BIGINT AS n_tokens, count(*) FILTER (WHERE k IS NULL)::BIGINT AS n_unknown FROM x LEFT JOIN e USING (word) GROUP BY lang")
+def tokens_by_lang(spark, sf_dir):
+    """The flagship: a vocabulary from the corpus, then tokens and unknown words of each language."""
+    return encode.count_by_words(_frequency_model(spark, sf_dir), docs(spark, sf_dir), ["lang"])
+
+
+@query(f"{_GREEDY}, x AS (SELECT source, unnest({sql.WORDS}) AS word FROM documents) SELECT source, count(*)::BIGINT AS n_words, count(*) FILTER (WHERE k IS NULL)::BIGINT AS n_unknown, round(count(*) FILTER (WHERE k IS NULL) / count(*), 9) AS unknown_rate FROM x LEFT JOIN e USING (word) GROUP BY source")
+def unknown_rate_by_source(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    found = encode.count_by_words(_frequency_model(spark, sf_dir), d, ["source"])
+    words = d.select("source", F.size(nz.word_split(F.col("text"))).alias("n")).groupBy("source").agg(F.sum("n").alias("n_words"))
+    return words.join(found, "source").select("source", "n_words", "n_unknown", F.round(F.col("n_unknown") / F.col("n_words"), 9).alias("unknown_rate"))
+
+
+@query(f"{_GREEDY} SELECT w.word, coalesce(out, '[UNK]') AS pieces, CASE WHEN out IS NULL THEN '[UNK]' ELSE w.word END AS decoded FROM (SELECT DISTINCT word FROM wc) w LEFT JOIN e USING (word)")
+def wordpiece_encode(spark, sf_dir):
+    model = _frequency_model(spark, sf_dir)
+    words = encode.word_tokens(model, training.word_counts(docs(spark, sf_dir)).select("word"))
+    return words.select("word", F.array_join("pieces", " ").alias("pieces"), nz.wordpiece_decoded(F.col("pieces")).alias("decoded"))
+
+
+@query(f"{_GREEDY}, x AS (SELECT doc_id, unnest({sql.WORDS}) AS word FROM documents) SELECT d.doc_id, (coalesce(sum(coalesce(k, 1)) FILTER (WHERE x.word IS NOT NULL), 0) + 2)::BIGINT AS n_ids, (2 + count(*) FILTER (WHERE x.word IS NOT NULL AND k IS NULL))::BIGINT AS n_special FROM documents d LEFT JOIN x USING (doc_id) LEFT JOIN e USING (word) GROUP BY d.doc_id")
+def encode_result(spark, sf_dir):
+    """Structured encodings with special tokens and masks, summed up by document."""
+    e = encode.encode_result(_frequency_model(spark, sf_dir), F.col("text"), return_masks=True)
+    found = docs(spark, sf_dir).select("doc_id", e.alias("e"))
+    total = F.aggregate("e.special_tokens_mask", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return found.select("doc_id", F.size("e.ids").cast("bigint").alias("n_ids"), total.alias("n_special"))
+
+
+_BERT_TEXT = r"""regexp_replace(strip_accents(lower(regexp_replace(regexp_replace(text, '[\x00\x{FFFD}]|[^\P{C}\t-\r]', '', 'g'), '[\t-\r \x{85}\p{Zs}]', ' ', 'g'))), '([!-/:-@\[-`{-~\p{P}])', ' \1 ', 'g')"""
+
+
+@query(f"WITH RECURSIVE docs AS (SELECT doc_id, lang, {_BERT_TEXT} AS text FROM documents), {sql.counted('docs')}, {sql.frequency_vocabulary(RARE, TOP_WORDS, ENDINGS)}, {sql.greedy(longest=LONGEST)}, e AS (SELECT word, k FROM g WHERE p = length(word) + 1), x AS (SELECT doc_id, unnest({sql.WORDS}) AS word FROM docs) SELECT doc_id, (2 + sum(coalesce(k, 1)))::BIGINT AS n_ids FROM x LEFT JOIN e USING (word) GROUP BY doc_id")
+def hf_bert_pipeline(spark, sf_dir):
+    """BertNormalizer, BertPreTokenizer, WordPiece and BertProcessing as one tokenizer.json."""
+    normal = {"type": "BertNormalizer", "clean_text": True, "handle_chinese_chars": True, "strip_accents": None, "lowercase": True}
+    d = docs(spark, sf_dir)
+    viewed = d.select("doc_id", nz.bert_pretokenize(encode.normalized(F.col("text"), normal)).alias("text"))
+    model = frequency_model(training.word_counts(viewed))
+    ends = {r: (t, model.token_to_id(t)) for r, t in (("cls", "[CLS]"), ("sep", "[SEP]"))}
+    parts = {"normalizer": normal, "pre_tokenizer": {"type": "BertPreTokenizer"}, "post_processor": {"type": "BertProcessing"} | ends, "added_tokens": []}
+    pipeline = Pipeline(family_blocks(model) | parts, "bert")
+    return d.select("doc_id", F.size(encode.encode(pipeline, F.col("text"), True)).cast("bigint").alias("n_ids"))
+
+
+BYTE_PIECES = 300
+
+
+@query(f"WITH RECURSIVE {sql.counted()}, v AS MATERIALIZED (SELECT DISTINCT piece FROM (SELECT unnest(regexp_extract_all(hex(encode(word)), '..')) AS piece FROM wc) UNION (SELECT hex(encode(word)) FROM wc WHERE octet_length(encode(word)) BETWEEN 2 AND 6 ORDER BY freq DESC, word LIMIT {BYTE_PIECES})), h AS (SELECT hex(encode(word)) AS word FROM wc), {sql.greedy('h', 2, '', 6)} SELECT word AS bytes, k AS n_ids, replace(trim(out), ' ', '') = word AS covered FROM g WHERE p = length(word) + 1")
+def tiktoken_encode(spark, sf_dir):
+    """Greedy byte matches, with the bytes and most frequent short words of the corpus as tokens."""
+    counts = training.word_counts(docs(spark, sf_dir)).persist()
+    pairs = counts.select(F.explode(F.regexp_extract_all(F.hex(F.encode("word", "UTF-8")), F.lit("(..)"), F.lit(1))).alias("h")).distinct()
+    single = sorted(bytes.fromhex(r.h) for r in pairs.collect())
+    short = counts.where(F.octet_length("word").between(2, 6)).orderBy(F.desc("freq"), "word").limit(BYTE_PIECES).collect()
+    pieces = list(dict.fromkeys([*single, *(r.word.encode() for r in short)]))
+    model = Tiktoken(pieces, list(range(len(pieces))), "corpus_bytes")
+    ids = counts.select("word", encode.encode(model, F.col("word")).alias("ids"))
+    back = ids.withColumn("back", encode.decode(model, F.col("ids")))
+    return back.select(F.hex(F.encode("word", "UTF-8")).alias("bytes"), F.size("ids").cast("bigint").alias("n_ids"), (F.col("back") == F.col("word")).alias("covered"))
+
+
+@query()
+def unigram_tokens_by_lang(spark, sf_dir):
+    """A unigram vocabulary trained on the corpus, then tokens by language."""
+    d = docs(spark, sf_dir)
+    letters = training.alphabet(training.word_counts(d)).count()
+    model = training.train_unigram(d, vocab_size=2 + 1 + letters + 200, num_iters=1, max_subword_length=3, prune_fraction=0.5, seed_size=500)
+    return encode.count_by_words(model, d, ["lang"])
+
+
+@query()
+def gpt2_split(spark, sf_dir):
+    """The pieces of byte-level pre-tokenization; look-ahead isn't in the SQL's patterns."""
+    p = docs(spark, sf_dir).select("doc_id", nz.gpt2_split(F.col("text")).alias("p"), "text")
+    return p.select("doc_id", F.size("p").cast("bigint").alias("n_pieces"), (F.array_join("p", "") == F.col("text")).alias("whole"))
+
+
+# ---------------------------------------------------------------- unigram statistics
+
+_PARTS = "parts AS (SELECT unnest(flatten(list_transform(range(1, length(word) + 1), lambda i: list_transform(range(1, least(3, length(word) - i + 1) + 1), lambda n: substr(word, i, n))))) AS token, freq FROM wc), cand AS (SELECT token, sum(freq)::BIGINT AS freq FROM (SELECT * FROM parts UNION ALL SELECT word, freq * 2 FROM wc) GROUP BY ALL)"
+SEED = 2000
+
+
+@query(f"WITH {sql.counted()}, {_PARTS} SELECT * FROM cand")
+def unigram_candidates(spark, sf_dir):
+    return training.candidate_counts(training.word_counts(docs(spark, sf_dir)), 3)
+
+
+_SEED = f"letters AS (SELECT unnest(string_split(word, '')) AS token, freq FROM wc), charset AS (SELECT token, sum(freq) AS f FROM letters GROUP BY ALL), seed AS (SELECT token FROM charset UNION ALL (SELECT token FROM cand ANTI JOIN charset USING (token) ORDER BY freq DESC, length(token) DESC, token LIMIT (SELECT {SEED} - count(*) FROM charset)))"
+
+
+@query(f"WITH {sql.counted()}, {_PARTS}, {_SEED} SELECT token, freq, round(ln(freq / sum(freq) OVER ()), 6) AS logprob FROM seed JOIN cand USING (token)")
+def unigram_seed(spark, sf_dir):
+    """The seed vocabulary (its size is the feature) and its first log-probabilities."""
+    counts = training.word_counts(docs(spark, sf_dir)).persist()
+    letters = [r.symbol for r in training.alphabet(counts).orderBy(F.desc("freq"), "symbol").collect()]
+    candidates = training.candidate_counts(counts, 3).persist()
+    tokens = training.seed_tokens(candidates, letters, SEED)
+    seed = spark.createDataFrame([(t,) for t in tokens], "token string").join(candidates, "token")
+    total = seed.agg(F.sum("freq").alias("total"))
+    return seed.crossJoin(F.broadcast(total)).select("token", "freq", F.round(F.log(F.col("freq") / F.col("total")), 6).alias("logprob"))
+
+
+# ---------------------------------------------------------------- vocabulary look-ups
+
+VOCAB = 1000
+_WORD_IDS = f"v AS (SELECT word AS token, row_number() OVER (ORDER BY freq DESC, word) + 1 AS token_id FROM wc QUALIFY token_id <= {VOCAB})"
+
+
+def word_vocabulary(counts: DataFrame, size: int = VOCAB) -> DataFrame:
+    """token_id, token: 1 is for unknown words, then the most frequent ones."""
+    top = counts.orderBy(F.desc("freq"), "word").limit(size - 1).selectExpr("word AS token", "-freq AS o")
+    first = counts.sparkSession.createDataFrame([("[UNK]", None)], "token string, o bigint")
+    return vocabulary_frame(top.union(first).withColumn("k", F.struct(F.col("o").isNotNull(), "o", "token")), "k")
+
+
+@query(f"WITH {sql.counted()}, {_WORD_IDS}, x AS (SELECT lang, unnest({sql.WORDS}) AS token FROM documents) SELECT lang, count(*)::BIGINT AS n_words, sum(coalesce(token_id, 1))::BIGINT AS sum_ids, count(*) FILTER (WHERE token_id IS NULL)::BIGINT AS n_unknown, count(v.token)::BIGINT AS n_named FROM x LEFT JOIN v USING (token) GROUP BY lang")
+def token_lookup(spark, sf_dir):
+    counts = training.word_counts(docs(spark, sf_dir), keys=("lang",))
+    vocabulary = word_vocabulary(counts.groupBy("word").agg(F.sum("freq").alias("freq")))
+    ids = lookup_ids(counts.withColumnRenamed("word", "piece"), vocabulary, "piece", 1)
+    named = lookup_tokens(ids, vocabulary)
+    return named.groupBy("lang").agg(F.sum("freq").alias("n_words"), F.sum(F.col("token_id") * F.col("freq")).alias("sum_ids"), F.sum(F.when(F.col("token_id") == 1, F.col("freq")).otherwise(0)).alias("n_unknown"), F.sum(F.when(F.col("token") != "[UNK]", F.col("freq")).otherwise(0)).alias("n_named"))
+
+
+_TURN_IDS = f"{sql.counted('conversations')}, {_WORD_IDS}, t AS (SELECT conv_id, turn, {sql.WORDS} AS w FROM conversations), x AS (SELECT conv_id, turn, unnest(w) AS token, unnest(range(1, len(w) + 1)) AS pos FROM t), ids AS (SELECT conv_id, turn, pos, coalesce(token_id, 1)::BIGINT AS id FROM x LEFT JOIN v USING (token)), seqs AS (SELECT conv_id, turn, list(id ORDER BY pos) AS ids, count(*)::BIGINT AS n FROM ids GROUP BY ALL)"
+
+
+def _turns(spark, sf_dir) -> DataFrame:
+    """conv_id, turn, ids of each turn with words, by a vocabulary of words."""
+    rows = read(spark, sf_dir, "conversations")
+    vocabulary = word_vocabulary(training.word_counts(rows))
+    words = rows.select("conv_id", "turn", F.posexplode(nz.word_split(F.col("text"))).alias("pos", "piece"))
+    ids = lookup_ids(words, vocabulary, "piece", 1)
+    return ids.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("token_id").cast("int").alias("id")))).alias("c")).select("conv_id", "turn", F.transform("c", lambda c: c["id"]).alias("ids"))
+
+
+def _digest(array: Column) -> Column:
+    return F.md5(F.array_join(F.transform(array, lambda x: x.cast("string")), ","))
+
+
+@query(f"WITH {_TURN_IDS} SELECT conv_id, turn, len(list_filter(ids, lambda i: i = 1 OR i = 3))::BIGINT AS n_special, md5(array_to_string(list_filter(ids, lambda i: i <> 3), ',')) AS kept FROM seqs")
+def special_masks(spark, sf_dir):
+    specials = {"unk": 1, "pad": 3}
+    turns = _turns(spark, sf_dir)
+    marked = F.aggregate(special_mask(F.col("ids"), specials), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return turns.select("conv_id", "turn", marked.alias("n_special"), _digest(without_skipped(F.col("ids"), specials)).alias("kept"))
+
+
+# ---------------------------------------------------------------- batches
+
+
+@query(f"WITH {_TURN_IDS}, b AS (SELECT *, max(n) OVER (PARTITION BY conv_id) AS m FROM seqs), p AS (SELECT *, ((m + 7) // 8 * 8) AS width FROM b) SELECT conv_id, turn, n AS sequence_length, width::BIGINT AS width, md5(array_to_string(list_concat(ids, list_transform(range(0, (width - n)::BIGINT), lambda i: 0::BIGINT)), ',')) AS ids, n AS attention, (width - n)::BIGINT AS special FROM p")
+def collate_padded(spark, sf_dir):
+    """Each conversation is a batch of its turns, padded to a multiple of 8."""
+    out = batches.collate_padded_batch(_turns(spark, sf_dir), 0, ("conv_id",), pad_to_multiple_of=8)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return out.select("conv_id", "turn", F.col("sequence_length").cast("bigint").alias("sequence_length"), F.size("ids").cast("bigint").alias("width"), _digest(F.col("ids")).alias("ids"), total(F.col("attention_mask")).alias("attention"), total(F.col("special_tokens_mask")).alias("special"))
+
+
+def _labels_sql(shift: int) -> str:
+    return f"WITH {_TURN_IDS} SELECT conv_id, turn, md5(array_to_string(list_append(list_transform(ids[2:], lambda i: i - {shift}), -100), ',')) AS labels FROM seqs"
+
+
+def _labels(spark, sf_dir, zero_based: bool) -> DataFrame:
+    turns = _turns(spark, sf_dir)
+    mask = F.array_repeat(F.lit(1), F.size("ids"))
+    return turns.select("conv_id", "turn", _digest(batches.causal_lm_labels(F.col("ids"), mask, zero_based=zero_based)).alias("labels"))
+
+
+@query(_labels_sql(0))
+def causal_labels(spark, sf_dir):
+    return _labels(spark, sf_dir, False)
+
+
+@query(_labels_sql(1))
+def causal_labels_zero_based(spark, sf_dir):
+    return _labels(spark, sf_dir, True)
+
+
+@query(f"WITH {_TURN_IDS}, l AS (SELECT conv_id, turn, id, lead(id) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS nxt FROM ids) SELECT conv_id, count(*)::BIGINT AS n, sum(coalesce(nxt, -100))::BIGINT AS sum_labels FROM l GROUP BY conv_id")
+def causal_labels_long(spark, sf_dir):
+    long = _turns(spark, sf_dir).select("conv_id", "turn", F.posexplode("ids").alias("pos", "token_id"))
+    labelled = batches.causal_labels_long(long, ("conv_id", "turn"))
+    return labelled.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("sum_labels"))
+
+
+BLOCK = 256
+_PLACED = "z AS (SELECT conv_id * 100000 + turn AS seq, conv_id, turn, n, ids FROM seqs), pl AS (SELECT *, coalesce(sum(n + 1) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM z)"
+
+
+@query(f"WITH {_TURN_IDS}, {_PLACED} SELECT conv_id, turn, start, start // {BLOCK} AS first_block, (start + n - 1) // {BLOCK} AS last_block FROM pl")
+def pack_blocks(spark, sf_dir):
+    """All turns end to end with a separator between, cut into blocks."""
+    turns = _turns(spark, sf_dir).select("conv_id", "turn", (F.col("conv_id") * 100000 + F.col("turn")).alias("seq"), F.size("ids").alias("n"))
+    return batches.pack_blocks(turns, BLOCK, "seq", "n", separator=1).select("conv_id", "turn", "start", "first_block", "last_block")
+
+
+@query(f"WITH {_TURN_IDS}, {_PLACED}, c AS (SELECT start + unnest(range(0, n + 1)) AS cell, unnest(list_append(ids, 0)) AS id FROM pl), k AS (SELECT * FROM c WHERE cell < (SELECT max(cell) FROM c)) SELECT cell // {BLOCK} AS block, md5(array_to_string(list_concat(list(id ORDER BY cell), list_transform(range(0, {BLOCK} - count(*)), lambda i: 9::BIGINT)), ',')) AS ids, count(*)::BIGINT AS attention FROM k GROUP BY 1")
+def packed_ids(spark, sf_dir):
+    turns = _turns(spark, sf_dir).withColumn("seq", F.col("conv_id") * 100000 + F.col("turn"))
+    out = batches.packed_ids(turns, BLOCK, "seq", "ids", 9, separator_id=0)
+    total = F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return out.select("block", _digest(F.col("ids")).alias("ids"), total.alias("attention"))
+
+
+@query(f"WITH RECURSIVE {sql.counted('conversations')}, {sql.frequency_vocabulary(RARE, TOP_WORDS, ENDINGS)}, {sql.greedy(longest=LONGEST)}, e AS (SELECT word, k FROM g WHERE p = length(word) + 1), x AS (SELECT role, unnest({sql.WORDS}) AS word FROM conversations) SELECT role, sum(coalesce(k, 1))::BIGINT AS n_tokens, count(*) FILTER (WHERE k IS NULL)::BIGINT AS n_unknown FROM x LEFT JOIN e USING (word) GROUP BY role")
+def tokens_per_role(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations")
+    return encode.count_by_words(frequency_model(training.word_counts(rows)), rows, ["role"])
+
+
+# ---------------------------------------------------------------- spans
+
+_SPANS = "r AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\t-\\r \\x{85}\\p{Zs}]+|[\\t-\\r \\x{85}\\p{Zs}]+') AS runs FROM documents), f AS (SELECT doc_id, unnest(runs) AS run, unnest(range(1, len(runs) + 1)) AS k FROM r), a AS (SELECT doc_id, run, k, coalesce(sum(strlen(run)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + 1 AS start FROM f), w AS (SELECT doc_id, run AS word, start, start + strlen(run) AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS word_index FROM a WHERE NOT regexp_matches(run, '^[\\t-\\r \\x{85}\\p{Zs}]'))"
+
+
+@query(f"WITH {_SPANS} SELECT doc_id, count(*)::BIGINT AS n, sum(start * word_index)::BIGINT AS starts, sum(stop * word_index)::BIGINT AS stops, md5(string_agg(word, '|' ORDER BY word_index)) AS words FROM w GROUP BY doc_id")
+def word_offsets(spark, sf_dir):
+    w = batches.word_offsets(docs(spark, sf_dir))
+    words = F.transform(F.sort_array(F.collect_list(F.struct("word_index", "word"))), lambda x: x["word"])
+    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("start") * F.col("word_index")).alias("starts"), F.sum(F.col("stop") * F.col("word_index")).alias("stops"), F.md5(F.array_join(words, "|")).alias("words"))
+
+
+def _spans(spark, sf_dir) -> DataFrame:
+    """doc_id, text and the spans of its words, and four wrong or odd ones."""
+    d = docs(spark, sf_dir)
+    w = batches.word_offsets(d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop")))).alias("spans"))
+    return d.join(w, "doc_id").select("doc_id", "text", "spans")
+
+
+@query(f"WITH {_SPANS} SELECT d.doc_id, true AS valid, true AS apart, false AS valid_beyond, sum(length(w.word))::BIGINT AS chars, sum(strlen(w.word))::BIGINT AS bytes FROM documents d JOIN w USING (doc_id) GROUP BY ALL")
+def span_contract(spark, sf_dir):
+    """Spans of words are valid and apart, one beyond the end isn't; their texts have all the words' characters."""
+    s = _spans(spark, sf_dir)
+    beyond = F.array(F.struct((F.octet_length("text") + 1).alias("start"), (F.octet_length("text") + 3).alias("stop")))
+    chars = F.aggregate(F.transform(sp.span_substrings(F.col("text"), F.col("spans")), F.length), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    size = F.aggregate(F.transform("spans", sp.span_ncodeunits), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return s.select("doc_id", sp.validate_offsets_contract(F.col("text"), F.col("spans"), True).alias("valid"), sp.offsets_are_nonoverlapping(F.col("spans")).alias("apart"), sp.validate_offsets_contract(F.col("text"), beyond).alias("valid_beyond"), chars.alias("chars"), size.alias("bytes"))
+
+
+_LINES = "ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents), lp AS (SELECT doc_id, line_no, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + 1 AS a, strlen(line) AS size FROM ln)"
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    """doc_id, word_index (of a line), start, stop."""
+    from pyspark.sql import Window
+
+    lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("k", "line"))
+    before = F.coalesce(F.sum(F.octet_length("line") + 1).over(Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.select("doc_id", (F.col("k") + 1).cast("bigint").alias("word_index"), (before + 1).alias("start"), (before + 1 + F.octet_length("line")).alias("stop"))
+
+
+@query(f"WITH {_SPANS}, {_LINES} SELECT w.doc_id, lp.line_no AS word_index, count(*)::BIGINT AS n, sum(w.word_index)::BIGINT AS sum_pos FROM w JOIN lp ON lp.doc_id = w.doc_id AND w.start >= lp.a AND w.stop <= lp.a + lp.size GROUP BY ALL")
+def subword_to_word(spark, sf_dir):
+    """Spans to the larger spans that hold them: words to lines."""
+    tokens = batches.word_offsets(docs(spark, sf_dir)).withColumnRenamed("word_index", "pos")
+    found = batches.subword_to_word(tokens, _lines(spark, sf_dir))
+    return found.groupBy("doc_id", "word_index").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("sum_pos"))
+
+
+@query(f"WITH {_SPANS}, {_LINES} SELECT lp.doc_id, lp.line_no AS span_id, count(*)::BIGINT AS n, sum(w.word_index)::BIGINT AS sum_pos FROM w JOIN lp ON lp.doc_id = w.doc_id AND least(w.stop, lp.a + 20) > greatest(w.start, lp.a) GROUP BY ALL")
+def span_to_tokens(spark, sf_dir):
+    """Labelled spans to the words that they overlap: the first 20 bytes from each line's start."""
+    tokens = batches.word_offsets(docs(spark, sf_dir)).withColumnRenamed("word_index", "pos")
+    spans = _lines(spark, sf_dir).select("doc_id", F.col("word_index").alias("span_id"), F.col("start").alias("span_start"), (F.col("start") + 20).alias("span_stop"))
+    found = batches.span_to_tokens(tokens, spans)
+    return found.groupBy("doc_id", "span_id").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("sum_pos"))
+
+
+# ---------------------------------------------------------------- normalizers and pre-tokenizers
+
+
+def _rewrite(name: str, column: Callable[[Column], Column], expression: str) -> None:
+    def run(spark, sf_dir):
+        out = docs(spark, sf_dir).select("doc_id", column(F.col("text")).alias("t"))
+        return out.select("doc_id", F.length("t").cast("bigint").alias("n_chars"), F.md5("t").alias("digest"))
+
+    run.__name__ = name
+    query(f"SELECT doc_id, length(t)::BIGINT AS n_chars, md5(t) AS digest FROM (SELECT doc_id, {expression} AS t FROM documents)")(run)
+
+
+_rewrite("normalize_lowercase", nz.lowercase, "lower(text)")
+_rewrite("normalize_strip_accents", lambda t: encode.normalized(t, {"type": "StripAccents"}), "strip_accents(text)")
+_rewrite("normalize_nfc", lambda t: encode.normalized(t, {"type": "NFC"}), "nfc_normalize(text)")
+_rewrite("normalize_bert_clean", nz.bert_clean_text, r"regexp_replace(regexp_replace(text, '[\x00\x{FFFD}]|[^\P{C}\t-\r]', '', 'g'), '[\t-\r \x{85}\p{Zs}]', ' ', 'g')")
+_rewrite("normalize_bert_chinese", nz.bert_chinese_spacing, r"regexp_replace(text, '([\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}])', ' \1 ', 'g')")
+_rewrite("normalize_replace", lambda t: nz.replace(t, "[aeiou]+", "$1\\"), r"regexp_replace(text, '[aeiou]+', '$1\\', 'g')")
+_rewrite("normalize_prepend", lambda t: nz.prepend(t, "▁"), "'▁' || text")
+_rewrite("pretokenize_bert", nz.bert_pretokenize, rf"array_to_string(list_filter(string_split_regex(regexp_replace(text, '([!-/:-@\[-`{{-~\p{{P}}])', ' \1 ', 'g'), '{sql.SPACE}+'), lambda x: x <> ''), ' ')")
+_rewrite("pretokenize_digits", nz.digits, r"regexp_replace(text, '(\p{Nd}+)', ' \1 ', 'g')")
+_rewrite("pretokenize_digits_single", lambda t: nz.digits(t, True), r"regexp_replace(text, '(\p{Nd})', ' \1 ', 'g')")
+_rewrite("pretokenize_punctuation", nz.punctuation, r"regexp_replace(text, '([\p{P}$+<=>\^`|~])', ' \1 ', 'g')")
+_rewrite("pretokenize_punctuation_removed", lambda t: nz.punctuation(t, "removed"), r"regexp_replace(text, '[\p{P}$+<=>\^`|~]', ' ', 'g')")
+_rewrite("pretokenize_split_removed", lambda t: nz.split(t, "th|en", "removed"), "regexp_replace(text, 'th|en', ' ', 'g')")
+_rewrite("pretokenize_split", lambda t: nz.split(t, "th|en"), r"regexp_replace(text, '(th|en)', ' \1 ', 'g')")
+_rewrite("pretokenize_metaspace", lambda t: nz.metaspace(t, "▁", True), "replace(CASE WHEN text <> '' AND NOT starts_with(text, ' ') THEN ' ' || text ELSE text END, ' ', '▁')")
+
+
+# ---------------------------------------------------------------- models known by name
+
+
+@query("SELECT name, format FROM (VALUES " + ", ".join(f"('{n}', '{f}', '{d}')" for n, (f, _, d) in registry.BUILT_IN.items()) + ") t(name, format, distribution) WHERE format IN ('bpe', 'bpe_gpt2', 'bytebpe', 'hf_tokenizer_json') AND distribution IN ('shipped', 'artifact_public')")
+def model_registry(spark, sf_dir):
+    built_in = registry.models_frame(spark).where(F.col("name").isin(*registry.BUILT_IN))
+    return registry.filter_models(built_in, format="bpe", shipped=True).select("name", "format")
