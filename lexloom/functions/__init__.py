@@ -1 +1 @@
-
+"""Column functions and what they share."""

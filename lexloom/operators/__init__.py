@@ -1 +1 @@
-
+"""Tokenizer families, encoding, batches and training."""

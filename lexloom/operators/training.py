@@ -28,7 +28,7 @@ from . import pipeline_json as pj
 from .models import BPE, ByteBPE, SentencePiece, Tokenizer, Unigram, WordPiece
 from .vocabulary import Vocabulary
 
-#: Distinct words whose merges are learned on the driver (about 200 bytes each).
+#: Distinct words whose merges are learned on the driver (about 500 bytes each).
 DRIVER_WORDS = 2_000_000
 #: Jobs after which the table of words is written anew.
 CUT_EVERY = 16

@@ -1 +1 @@
-
+"""Queries of the library and their SQL."""
