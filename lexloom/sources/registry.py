@@ -66,10 +66,10 @@ def known(name: str) -> bool:
 
 def _rows() -> list[dict]:
     out = {n: {"name": n, "format": f, "family": fam, "distribution": d, "path": None, "description": ""} for n, (f, fam, d) in BUILT_IN.items()}
-    shipped = home() / "models"
     for n in out:
-        if (shipped / n).is_dir():
-            out[n]["path"] = str(shipped / n)
+        for folder in (Path(__file__).parent / "models", home() / "models"):
+            if (folder / n).is_dir():
+                out[n]["path"] = str(folder / n)
     for n, entry in _locals().items():
         out[n] = {"name": n, "distribution": LOCAL, "family": "local", "description": ""} | out.get(n, {}) | entry
     for row in out.values():

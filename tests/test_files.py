@@ -118,6 +118,13 @@ def test_cache(tmp_path):
     assert files.cached_tokenizers() == []
 
 
+@pytest.mark.parametrize("key", ["core_bpe_en", "core_wordpiece_en", "core_sentencepiece_unigram_en"])
+def test_shipped_models(key):
+    model = files.load_tokenizer(key)
+    assert model.decode(model.encode("hello world", True)) == "hello world"
+    assert registry.asset_status(key)["available"]
+
+
 def test_registry(tmp_path, monkeypatch, spark):
     monkeypatch.setenv("LEXLOOM_HOME", str(tmp_path / "home"))
     registry.reload()
