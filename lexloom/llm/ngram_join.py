@@ -3,8 +3,10 @@
 A text is its set of word n-grams, and 1 - J is a metric on such sets.  The join
 finds every pair with J >= threshold, that is, within eps = 1 - threshold.
 
-Equal sets (distance 0) are one point from the start, found by a 128-bit sum of
-their n-grams.
+Equal sets (distance 0) are one point from the start, found by two 64-bit sums over
+their n-grams; leading digits of the first name the point (sets that happen to get
+one name are compared at the end), so no text is looked up or moved before
+candidates are known.
 
 Regions.  At the scale of a corpus nearly all distances to any pivot are exactly
 1, where the triangle inequality says nothing; what it does say is that a point
@@ -12,14 +14,14 @@ within eps of x shares at least ceil(t |x|) n-grams with x.  So the first
 partition is by anchors: in any order of all n-grams, among the first
 |x| - ceil(t |x|) + l of x and of y at least l = min(l_x, l_y) are common, where
 l_x = 1 + |x| / L_SHARE.  Anchors are shuffled as sorted, delta-coded runs, many
-texts to a row; pairs of fitting sizes that share an anchor are counted, and
-those that reach l are candidates.  The order is by hash, but n-grams that many
+texts to a row; pairs of fitting sizes that share an anchor are counted (and
+shuffled as runs, too), and those that reach l are candidates.  The order is by hash, but n-grams that many
 texts have (as in passages that documents repeat) come last, so crowds hardly
 meet; which these are is read from mergeable counts, and affects speed alone.
 Candidates are linked to regions: points of different regions are more than eps
 apart, so each point is in one region only.  A region of more than REGION_GRAMS
-n-grams is parted again: its smallest points become pivots, each with all later
-candidates of its own.
+n-grams is dealt into tiles of about so many, and each pair of tiles is joined on
+its own.
 
 In a region points join exactly: pivots (farthest first) split them into Voronoi
 cells, each cell takes in the boundary points y of other cells with
@@ -49,20 +51,25 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .components import components
-from .session import beside, cut
+from .session import BROADCAST_BYTES, beside, cut
 
 N, THRESHOLD_PERCENT = 3, 60
 #: One more common anchor is asked for every L_SHARE n-grams.
 L_SHARE = 16
-#: n-grams counted at once, and the count in one run that is passed on.
-RUN_GRAMS, RUN_COUNT = 2_000_000, 3
+#: n-grams counted at once, the count in one run that is passed on, and anchors packed at once.
+COUNT_GRAMS, RUN_COUNT, RUN_GRAMS = 4_000_000, 3, 1_500_000
 #: n-grams that so many texts have come last in the order; at most LATE_GRAMS of them, the most frequent.
 CROWD, LATE_GRAMS = 16, 2_000_000
 #: Anchors of one group of the count, and n-grams of one region.
-BUCKET_ANCHORS, REGION_GRAMS = 2_000_000, 4_000_000
+BUCKET_ANCHORS, REGION_GRAMS = 1_000_000, 1_000_000
+#: Bytes of the table of points in regions that is sent to every executor; beyond, texts are joined with it.
+PLACED_BYTES = 64 << 20
 #: Texts of a cell that are joined by counting overlaps at once.
 LEAF = 256
 
+#: Bytes of sets in one Arrow batch.
+BATCH_BYTES = 4 << 20
+
 _U = np.uint64
 
 
@@ -89,13 +96,20 @@ def signature(grams: np.ndarray) -> tuple[int, int]:
         return int(x.sum(dtype=_U).astype(np.int64)), int(tk.mix(grams ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).astype(np.int64))
 
 
+def point_of(signed: int, digits: int) -> int:
+    return (signed & (2**64 - 1)) >> (64 - digits)
+
+
 def pack(values: np.ndarray) -> bytes:
-    """Whole numbers of 64 bits by planes of equal bytes, which a codec shrinks to those in use."""
-    return values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Whole numbers of 64 bits, by planes of equal bytes, compressed."""
+    planes = values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
-def unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+def unpack(data: pa.Buffer) -> np.ndarray:
+    n = int.from_bytes(data.slice(0, 8).to_pybytes(), "little")
+    planes = np.frombuffer(pa.decompress(data.slice(8), 8 * n, "zstd"), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).ravel()
 
 
 def _signed(docs: DataFrame, n: int) -> DataFrame:
@@ -108,9 +122,15 @@ def _signed(docs: DataFrame, n: int) -> DataFrame:
         held = 0
 
         def counted() -> pa.RecordBatch:
-            grams, counts = np.unique(np.concatenate(kept), return_counts=True)
+            grams = np.concatenate(kept)
+            kept.clear()
+            grams.sort()
+            first = np.flatnonzero(grams[1:] != grams[:-1])
+            first = np.concatenate(([0], first + 1))
+            counts = np.diff(np.append(first, len(grams)))
             often = counts >= RUN_COUNT
-            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 4 + [pa.array([grams[often].tobytes()], pa.binary()), pa.array([counts[often].astype(np.int64).tobytes()], pa.binary())], names=names)
+            found = grams[first[often]].tobytes(), counts[often].astype(np.int64).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64())] * 4 + [pa.array([x], pa.binary()) for x in found], names=names)
 
         for batch in batches:
             for part in tk.slices(batch, "text"):
@@ -127,9 +147,8 @@ def _signed(docs: DataFrame, n: int) -> DataFrame:
                 if rows:
                     none = pa.nulls(len(rows), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] + [none, none], names=names)
-                if held >= RUN_GRAMS:
+                if held >= COUNT_GRAMS:
                     yield counted()
-                    kept.clear()
                     seen.clear()
                     held = 0
         if kept:
@@ -159,27 +178,30 @@ def _is_in(grams: np.ndarray, members: np.ndarray) -> np.ndarray:
     return members[at] == grams
 
 
-def _anchors(points: DataFrame, n: int, threshold_percent: int, late, buckets: int, bits: int) -> DataFrame:
-    """Runs of anchors by bucket.  points: id, text, and the points that the id stands for as [(s1, s2, point)]."""
+def _anchors(docs: DataFrame, n: int, threshold_percent: int, late, buckets: int, bits: int, digits: int) -> DataFrame:
+    """Runs of anchors by bucket, those of a range of n-grams each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members = late.value
         grams: list[np.ndarray] = []
-        owners: list[tuple[int, int]] = []
+        names: dict[int, int] = {}
         held = 0
+        fine = min(bits, 30)
+        bounds = np.array([-(-k * (1 << fine) // buckets) << (bits - fine) for k in range(buckets)] + [1 << bits], dtype=np.uint64)
 
         def runs() -> Iterator[pa.RecordBatch]:
-            sizes = np.array([len(g) for g in grams])
+            owner = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
             gram = np.concatenate(grams)
-            owner = np.repeat(np.arange(len(owners)), sizes)
+            grams.clear()
             order = np.argsort(gram)
-            gram, owner = gram[order] >> _U(64 - bits), owner[order]
-            bucket = (gram >> _U(max(bits - 30, 0))) * _U(buckets) >> _U(min(bits, 30))
-            point = np.array([o[0] for o in owners], dtype=np.int64)
-            size = np.array([o[1] for o in owners], dtype=np.int64)
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            for k in range(buckets):
-                a, b = edges[k], edges[k + 1]
+            gram, owner = gram[order], owner[order]
+            del order
+            gram >>= _U(64 - bits)
+            point = np.array([point_of(x, digits) for x in names], dtype=np.int64)
+            size = np.array(list(names.values()), dtype=np.int64)
+            names.clear()
+            edges = np.searchsorted(gram, bounds).tolist()
+            for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
                 if a == b:
                     continue
                 there, local = np.unique(owner[a:b], return_inverse=True)
@@ -192,43 +214,47 @@ def _anchors(points: DataFrame, n: int, threshold_percent: int, late, buckets: i
 
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                for listed, own in zip(part.column(2).to_pylist(), sets_of(part.column(1), n)):
+                for own in sets_of(part.column(1), n):
                     if not len(own):
                         continue
-                    key = signature(own)
-                    for p in listed:
-                        if (p["s1"], p["s2"]) == key:
-                            last = _is_in(own, members)
-                            k = prefix_size(len(own), threshold_percent)
-                            grams.append(own[np.argsort(last, kind="stable")[:k]] if last.any() else own[:k])
-                            owners.append((p["point"], len(own)))
-                            held += k
+                    name = signature(own)[0]
+                    if name in names:
+                        continue
+                    names[name] = len(own)
+                    last = _is_in(own, members)
+                    k = prefix_size(len(own), threshold_percent)
+                    # copies, so that the whole sets can go
+                    grams.append(own[np.argsort(last, kind="stable")[:k]] if last.any() else own[:k].copy())
+                    held += k
                 if held >= RUN_GRAMS:
                     yield from runs()
-                    grams.clear()
-                    owners.clear()
                     held = 0
         if held:
             yield from runs()
 
-    return points.mapInArrow(run, "bucket int, grams binary, owners binary, points binary, sizes binary")
+    return docs.mapInArrow(run, "bucket int, grams binary, owners binary, points binary, sizes binary")
 
 
-def count_pairs(table: pa.Table, threshold_percent: int) -> pa.Table:
-    """a < b, the anchors of this bucket that they share, and how many they need in all."""
+_PAIRS = "bucket int, a binary, b binary, c binary, need binary"
+
+
+def count_pairs(table: pa.Table, threshold_percent: int, buckets: int, digits: int) -> pa.Table:
+    """Runs of a < b, the anchors of this bucket that they share and how many they need in all, by ranges of a."""
     gram, point, size = [], [], []
-    for g, o, p, s in zip(*(table.column(c).to_pylist() for c in ("grams", "owners", "points", "sizes"))):
-        owner = unpack(o).astype(np.int64)
-        gram.append(np.cumsum(unpack(g), dtype=np.uint64))
-        point.append(np.cumsum(unpack(p), dtype=np.uint64).astype(np.int64)[owner])
-        size.append(unpack(s).astype(np.int64)[owner])
+    for k in range(table.num_rows):
+        g, o, p, s = (unpack(table.column(c)[k].as_buffer()) for c in ("grams", "owners", "points", "sizes"))
+        gram.append(np.cumsum(g, dtype=np.uint64))
+        point.append(np.cumsum(p, dtype=np.uint64).astype(np.int64)[o.astype(np.int64)])
+        size.append(s.astype(np.int32)[o.astype(np.int64)])
     gram, point, size = np.concatenate(gram), np.concatenate(point), np.concatenate(size)
-    order = np.argsort(gram, kind="stable")
+    order = np.argsort(gram)
+    ranked = gram[order]
     shared = np.zeros(len(gram), bool)
-    same = gram[order][1:] == gram[order][:-1]
+    same = ranked[1:] == ranked[:-1]
     shared[1:] |= same
     shared[:-1] |= same
     order = order[shared]
+    del ranked
     order = order[np.lexsort((point[order], size[order], gram[order]))]
     gram, point, size = gram[order], point[order], size[order]
     fresh = np.ones(len(gram), bool)  # a repeated row gives its anchors again
@@ -252,14 +278,28 @@ def count_pairs(table: pa.Table, threshold_percent: int) -> pa.Table:
         if not len(at):
             break
         x, y = point[at], point[at + step]
-        kept.append((np.minimum(x, y), np.maximum(x, y), np.ones(len(at), np.int64), size[at]))
+        kept.append((np.minimum(x, y), np.maximum(x, y), np.ones(len(at), np.int64), size[at].astype(np.int64)))
         held += len(at)
         step += 1
         if held > 4_000_000:
             kept = [merged()]
             held = 0
     a, b, c, m = merged()
-    return pa.table([pa.array(x) for x in (a, b, c, need(m))], names=["a", "b", "c", "need"])
+    edges = np.searchsorted(a, [-(-k * (1 << digits) // buckets) for k in range(buckets)] + [1 << digits]).tolist()
+    rows = [(k, pack(np.diff(a[x:y], prepend=0)), pack(b[x:y]), pack(c[x:y]), pack(need(m[x:y]))) for k, (x, y) in enumerate(zip(edges[:-1], edges[1:])) if x < y]
+    cols = list(zip(*rows)) or [()] * 5
+    return pa.table([pa.array(x, t) for x, t in zip(cols, (pa.int32(), *[pa.binary()] * 4))], names=["bucket", "a", "b", "c", "need"])
+
+
+def sum_pairs(table: pa.Table) -> pa.Table:
+    """a, b of the pairs whose counts from all buckets reach what they need."""
+    a, b, c, m = ([unpack(table.column(x)[k].as_buffer()).astype(np.int64) for k in range(table.num_rows)] for x in ("a", "b", "c", "need"))
+    a, b, c, m = np.concatenate([np.cumsum(x) for x in a]), np.concatenate(b), np.concatenate(c), np.concatenate(m)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    enough = np.add.reduceat(c[order], first) >= np.minimum.reduceat(m[order], first)
+    return pa.table([pa.array(a[first][enough]), pa.array(b[first][enough])], names=["a", "b"])
 
 
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold_percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -268,74 +308,123 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     docs = df.select(df[id_col].cast("bigint").alias("id"), df[text_col].cast("string").alias("text")).where("id is not null and text is not null")
     signed = cut(_signed(docs, n))
     ids = signed.where("id is not null").select("id", "s1", "s2", "size")
-    # numbered once and for all: the rows are read back from the shared folder
-    heads = cut(ids.groupBy("s1", "s2").agg(F.min("id").alias("head"), F.max("size").alias("size")).withColumn("point", F.monotonically_increasing_id()))
+    heads = cut(ids.groupBy("s1", "s2").agg(F.min("id").alias("head"), F.max("size").alias("size")))
     count, grams = heads.agg(F.count(F.lit(1)), F.sum("size")).first()
-    equal = ids.join(beside(heads.select("s1", "s2", "head"), count, 40), ["s1", "s2"]).where("id <> head").select(F.col("head").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
+    grams = grams or 0
+    digits = min(62, max(20, count.bit_length() + 10))
+    named = heads.select(F.shiftrightunsigned("s1", 64 - digits).alias("point"), "head", "size")
+    equal = ids.join(heads.drop("size"), ["s1", "s2"]).where("id <> head").select(F.col("head").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
     late = spark.sparkContext.broadcast(_late(signed))
-    anchors = max(1, (100 - threshold_percent) * (grams or 0) // 100)
+    anchors = max(1, (100 - threshold_percent) * grams // 100 + grams // L_SHARE)
     buckets = max(spark.sparkContext.defaultParallelism, -(-anchors // BUCKET_ANCHORS))
     bits = min(63, max(31, anchors.bit_length() + 10))
-    stands = heads.groupBy(F.col("head").alias("id")).agg(F.collect_list(F.struct("s1", "s2", "point")).alias("points"))
-    points = docs.join(beside(stands, count, 64), "id").select("id", "text", "points")
-    runs = _anchors(points, n, threshold_percent, late, buckets, bits)
-    pairs = runs.groupBy("bucket").applyInArrow(lambda t: count_pairs(t, threshold_percent), "a bigint, b bigint, c bigint, need bigint")
-    candidates = cut(pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b"))
-    placed = cut(_regions(candidates, heads))
-    members = placed.join(heads.select("point", "head", "s1", "s2"), "point").groupBy(F.col("head").alias("id")).agg(F.collect_list(F.struct("s1", "s2", "point", "regions")).alias("points"))
-    wanted = docs.join(beside(members, placed.count(), 96), "id").select("id", "text", "points")
+    runs = _anchors(docs, n, threshold_percent, late, buckets, bits, digits)
+    pairs = runs.groupBy("bucket").applyInArrow(lambda t: count_pairs(t, threshold_percent, buckets, digits), _PAIRS)
+    candidates = cut(pairs.groupBy("bucket").applyInArrow(sum_pairs, "a bigint, b bigint"))
+    placed = cut(_regions(candidates, named.groupBy("point").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("sets"))))
+    members = _members(docs, placed, named, n, digits)
+    near = members.groupBy("region", "part").applyInArrow(lambda t: join_region(t, threshold_percent), "doc_a bigint, doc_b bigint, jaccard double")
+    return equal.union(near)
+
+
+_MEMBER = "region bigint, part bigint, tile int, point bigint, id bigint, grams binary"
+_TILE = 20
+
+
+def _member_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Of rows (region, tiles, point, id, grams)."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    names = ["region", "part", "tile", "point", "id", "grams"]
+    held: list[tuple] = []
+    size = 0
+    for region, tiles, point, i, grams in rows:
+        held.append((region, tiles & ((1 << 2 * _TILE) - 1), tiles >> 2 * _TILE, point, i, grams))
+        size += len(grams)
+        if size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
+
+
+def _members(docs: DataFrame, placed: DataFrame, named: DataFrame, n: int, digits: int) -> DataFrame:
+    """The sets of all points in regions, with the regions; texts of no region stay where they are."""
+    count = placed.count()
+    if count * 24 <= PLACED_BYTES:
+        table = placed.orderBy("point").toArrow()
+        columns = tuple(table.column(c).to_numpy() for c in ("point", "region", "tiles"))
+        there = docs.sparkSession.sparkContext.broadcast(columns)
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            points, regions, tiles = there.value
+
+            def rows() -> Iterator[tuple]:
+                for batch in batches:
+                    for part in tk.slices(batch, "text"):
+                        for i, own in zip(part.column(0).to_pylist(), sets_of(part.column(1), n)):
+                            if len(own):
+                                point = point_of(signature(own)[0], digits)
+                                a, b = np.searchsorted(points, [point, point + 1])
+                                for k in range(a, b):
+                                    yield int(regions[k]), int(tiles[k]), point, i, own.tobytes()
+
+            yield from _member_batches(rows())
+
+        only = named.join(placed, "point", "left_semi").select(F.col("head").alias("id")).distinct()
+        wanted = only.count()
+        if wanted * 16 <= BROADCAST_BYTES:
+            docs = docs.join(F.broadcast(only), "id", "left_semi")
+        return docs.mapInArrow(look_up, _MEMBER)
+    by_point = placed.groupBy("point").agg(F.collect_list(F.struct("region", "tiles")).alias("regions"))
+    listed = by_point.join(named.select("point", F.col("head").alias("id")).distinct(), "point")
+    wanted = listed.groupBy("id").agg(F.collect_list(F.struct("point", "regions")).alias("points"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        for batch in batches:
-            for part in tk.slices(batch, "text"):
-                rows = []
-                for i, listed, own in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), sets_of(part.column(1), n)):
-                    key = signature(own)
-                    rows += [(r["region"], r["pivot"], p["point"], i, own.tobytes()) for p in listed if (p["s1"], p["s2"]) == key for r in p["regions"]]
-                for a in range(0, len(rows), 500):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + 500]), kinds)], names=["region", "pivot", "point", "id", "grams"])
-
-    found = wanted.mapInArrow(spread, "region bigint, pivot bigint, point bigint, id bigint, grams binary")
-    near = found.groupBy("region", "pivot").applyInArrow(lambda t: join_region(t, threshold_percent), "doc_a bigint, doc_b bigint, jaccard double")
-    return equal.union(near)
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for part in tk.slices(batch, "text"):
+                    for i, points, own in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), sets_of(part.column(1), n)):
+                        point = point_of(signature(own)[0], digits) if len(own) else None
+                        for r in (r for p in points if p["point"] == point for r in p["regions"]):
+                            yield r["region"], r["tiles"], point, i, own.tobytes()
+
+        yield from _member_batches(rows())
+
+    return docs.join(wanted.hint("shuffle_hash"), "id").select("id", "text", "points").mapInArrow(spread, _MEMBER)
 
 
-def _regions(candidates: DataFrame, heads: DataFrame) -> DataFrame:
-    """point, regions: [(region, pivot)], pivot -1 for a region that is joined as a whole."""
+def _regions(candidates: DataFrame, sizes: DataFrame) -> DataFrame:
+    """point, region, tiles: the point's tile and a pair of tiles that is joined (one for each other tile)."""
     of = components(candidates, "a", "b")
-    sized = of.join(heads.select(F.col("point").alias("node"), "size"), "node")
-    weights = sized.groupBy("root").agg(F.sum("size").alias("grams"))
-    split = of.join(weights, "root").select("node", "root", (F.col("grams") > REGION_GRAMS).alias("large"))
-    whole = split.where("not large").select(F.col("node").alias("point"), F.col("root").alias("region"), F.lit(-1).cast("bigint").alias("pivot"))
-    large = split.where("large").select(F.col("node").alias("a"), "root")
-    stars = candidates.join(large, "a")
-    own = stars.select(F.col("a").alias("point"), F.col("root").alias("region"), F.col("a").alias("pivot")).distinct()
-    others = stars.select(F.col("b").alias("point"), F.col("root").alias("region"), F.col("a").alias("pivot"))
-    return whole.union(own).union(others).groupBy("point").agg(F.collect_list(F.struct("region", "pivot")).alias("regions"))
+    # sets of one name that are in no region yet are compared to each other
+    alone = sizes.where("sets > 1").join(of, sizes.point == of.node, "left_anti").select(F.col("point").alias("node"), F.col("point").alias("root"))
+    sized = of.union(alone).join(sizes.select(F.col("point").alias("node"), "size"), "node")
+    weights = sized.groupBy("root").agg(F.ceil(F.sum("size") / REGION_GRAMS).alias("count"))
+    dealt = sized.join(weights, "root").select("node", "root", "count", F.pmod(F.xxhash64("node"), F.col("count")).alias("tile"))
+    pairs = dealt.select("node", "root", "tile", F.explode(F.expr("sequence(0L, count - 1)")).alias("other"))
+    low, high = F.least("tile", "other"), F.greatest("tile", "other")
+    return pairs.select(F.col("node").alias("point"), F.col("root").alias("region"), (F.shiftleft("tile", 2 * _TILE) + F.shiftleft(low, _TILE) + high).alias("tiles"))
 
 
 def join_region(table: pa.Table, threshold_percent: int) -> pa.Table:
-    pivot = table.column("pivot")[0].as_py()
-    sets, heads, points = [], [], []
-    seen: set[int] = set()
-    for point, i, g in zip(*(table.column(c).to_pylist() for c in ("point", "id", "grams"))):
-        if point not in seen:
-            seen.add(point)
-            points.append(point)
+    low, high = divmod(table.column("part")[0].as_py(), 1 << _TILE)
+    sets, heads, tiles = [], [], []
+    at: dict[tuple[int, int], int] = {}
+    for row, (tile, i) in enumerate(zip(table.column("tile").to_pylist(), table.column("id").to_pylist())):
+        own = np.frombuffer(table.column("grams")[row].as_buffer(), dtype=np.uint64)
+        k = at.setdefault(signature(own), len(sets))
+        if k == len(sets):
+            sets.append(own)
             heads.append(i)
-            sets.append(np.frombuffer(g, dtype=np.uint64))
-    rows: list[tuple[int, int, float]] = []
+            tiles.append(tile)
+        heads[k] = min(heads[k], i)
     cells = Cells(sets, threshold_percent)
-    if pivot >= 0:
-        # a pivot with its later candidates; their own pairs belong to other pivots
-        k = points.index(pivot)
-        cells._report(np.array([k]), np.array([x for x in range(len(points)) if x != k]), False)
-    else:
+    if low == high:
         cells.pairs()
-    for a, b, j in cells.found:
-        if heads[a] != heads[b]:
-            rows.append((min(heads[a], heads[b]), max(heads[a], heads[b]), j))
+    else:
+        tile = np.array(tiles)
+        cells._report(np.flatnonzero(tile == low), np.flatnonzero(tile == high), False)
+    rows = [(min(heads[a], heads[b]), max(heads[a], heads[b]), j) for a, b, j in cells.found if heads[a] != heads[b]]
     cols = list(zip(*rows)) or [(), (), ()]
     return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["doc_a", "doc_b", "jaccard"])
 
@@ -343,8 +432,8 @@ def join_region(table: pa.Table, threshold_percent: int) -> pa.Table:
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold_percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """The rows of ``df``, all columns, without the documents that are linked by pairs to one of a smaller id; of repeated rows (one id) all stay."""
     pairs = ngram_join(df, id_col, text_col, n, threshold_percent).select("doc_a", "doc_b")
-    of = cut(components(pairs, "doc_a", "doc_b").where("node <> root").select(F.col("node").alias("_gone")))
-    return df.join(beside(of, of.count(), 16), df[id_col].cast("bigint") == F.col("_gone"), "left_anti")
+    of = cut(components(pairs, "doc_a", "doc_b").where("node <> root").select("node"))
+    return df.join(beside(of, of.count(), 16), df[id_col].cast("bigint") == of["node"], "left_anti")
 
 
 class Cells:
