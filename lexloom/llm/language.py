@@ -103,7 +103,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
                     grams, counts = tally(gram_table(part.column(1))[0])
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
 
-    counts = texts.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(tk.tidy(count), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     rows = counts.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= top).select("lang", "gram", "k").collect()
     ranked: dict[str, list[int]] = {}
@@ -138,7 +138,7 @@ def identify(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[batch.schema.names[0], "predicted", "distance", "margin", "n_grams", "keep"])
 
-    return df.select(df[id_col].cast("bigint"), df[text_col].cast("string")).mapInArrow(run, f"`{id_col}` bigint, predicted string, distance bigint, margin bigint, n_grams bigint, keep boolean")
+    return df.select(df[id_col].cast("bigint"), df[text_col].cast("string")).mapInArrow(tk.tidy(run), f"`{id_col}` bigint, predicted string, distance bigint, margin bigint, n_grams bigint, keep boolean")
 
 
 def relabel(df: DataFrame, profiles: Profiles, text_col: str = "text", lang_col: str = "lang", reject_percent: int = REJECT_PERCENT) -> DataFrame:
@@ -152,7 +152,7 @@ def relabel(df: DataFrame, profiles: Profiles, text_col: str = "text", lang_col:
                 part = part.set_column(at, lang_col, pa.array([x[0] for x in found], pa.string()))
                 yield part.filter(pa.array([x[4] for x in found], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tk.tidy(run), df.schema)
 
 
 def oracle_sql(top: int = TOP, per_language: int = PER_LANGUAGE, reject_percent: int = REJECT_PERCENT) -> str:

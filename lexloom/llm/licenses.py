@@ -87,7 +87,7 @@ def word_counts(df: DataFrame, text_col: str, tokens: list[str]) -> dict[str, in
                 total += np.bincount(probe.find(tk.Words(part.column(0)).hashes())[1], minlength=len(tokens))
         yield pa.RecordBatch.from_arrays([pa.array(order.astype(np.int64)), pa.array(total)], names=["token", "n"])
 
-    rows = df.select(df[text_col].cast("string").alias("text")).mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    rows = df.select(df[text_col].cast("string").alias("text")).mapInArrow(tk.tidy(run), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect()
     found = dict.fromkeys(tokens, 0)
     return found | {tokens[r.token]: r.n for r in rows}
 
@@ -141,7 +141,7 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             cols = list(zip(*found)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[batch.schema.names[0], "block", "template", "overlap", "template_words", "containment"])
 
-    return df.select(df[id_col].cast("bigint"), df[text_col].cast("string")).mapInArrow(run, schema)
+    return df.select(df[id_col].cast("bigint"), df[text_col].cast("string")).mapInArrow(tk.tidy(run), schema)
 
 
 def oracle_sql(templates: dict[str, str] = TEMPLATES, threshold_percent: int = THRESHOLD_PERCENT) -> str:

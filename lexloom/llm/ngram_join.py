@@ -154,7 +154,7 @@ def _signed(docs: DataFrame, n: int) -> DataFrame:
         if kept:
             yield counted()
 
-    return docs.mapInArrow(run, "id bigint, s1 bigint, s2 bigint, size bigint, grams binary, counts binary")
+    return docs.mapInArrow(tk.tidy(run), "id bigint, s1 bigint, s2 bigint, size bigint, grams binary, counts binary")
 
 
 def _late(signed: DataFrame) -> np.ndarray:
@@ -165,7 +165,7 @@ def _late(signed: DataFrame) -> np.ndarray:
             for g, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(g, np.int64)), pa.array(np.frombuffer(c, np.int64))], names=["gram", "n"])
 
-    counts = signed.where("id is null").select("grams", "counts").mapInArrow(unfold, "gram bigint, n bigint")
+    counts = signed.where("id is null").select("grams", "counts").mapInArrow(tk.tidy(unfold), "gram bigint, n bigint")
     often = counts.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= CROWD).orderBy(F.desc("n"), "gram").limit(LATE_GRAMS).select("gram").toArrow()
     return np.sort(often.column(0).to_numpy().view(np.uint64))
 
@@ -232,7 +232,7 @@ def _anchors(docs: DataFrame, n: int, threshold_percent: int, late, buckets: int
         if held:
             yield from runs()
 
-    return docs.mapInArrow(run, "bucket int, grams binary, owners binary, points binary, sizes binary")
+    return docs.mapInArrow(tk.tidy(run), "bucket int, grams binary, owners binary, points binary, sizes binary")
 
 
 _PAIRS = "bucket int, a binary, b binary, c binary, need binary"
@@ -302,6 +302,19 @@ def sum_pairs(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(a[first][enough]), pa.array(b[first][enough])], names=["a", "b"])
 
 
+def _bucket(function):
+    """A function of one large group, then ``release``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return function(table)
+        finally:
+            if table.nbytes > 1 << 20:
+                tk.release()
+
+    return run
+
+
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold_percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """doc_a, doc_b, jaccard (see the module's text)."""
     spark = df.sparkSession
@@ -319,11 +332,11 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     buckets = max(spark.sparkContext.defaultParallelism, -(-anchors // BUCKET_ANCHORS))
     bits = min(63, max(31, anchors.bit_length() + 10))
     runs = _anchors(docs, n, threshold_percent, late, buckets, bits, digits)
-    pairs = runs.groupBy("bucket").applyInArrow(lambda t: count_pairs(t, threshold_percent, buckets, digits), _PAIRS)
-    candidates = cut(pairs.groupBy("bucket").applyInArrow(sum_pairs, "a bigint, b bigint"))
+    pairs = runs.groupBy("bucket").applyInArrow(_bucket(lambda t: count_pairs(t, threshold_percent, buckets, digits)), _PAIRS)
+    candidates = cut(pairs.groupBy("bucket").applyInArrow(_bucket(sum_pairs), "a bigint, b bigint"))
     placed = cut(_regions(candidates, named.groupBy("point").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("sets"))))
     members = _members(docs, placed, named, n, digits)
-    near = members.groupBy("region", "part").applyInArrow(lambda t: join_region(t, threshold_percent), "doc_a bigint, doc_b bigint, jaccard double")
+    near = members.groupBy("region", "part").applyInArrow(_bucket(lambda t: join_region(t, threshold_percent)), "doc_a bigint, doc_b bigint, jaccard double")
     return equal.union(near)
 
 
@@ -374,7 +387,7 @@ def _members(docs: DataFrame, placed: DataFrame, named: DataFrame, n: int, digit
         wanted = only.count()
         if wanted * 16 <= BROADCAST_BYTES:
             docs = docs.join(F.broadcast(only), "id", "left_semi")
-        return docs.mapInArrow(look_up, _MEMBER)
+        return docs.mapInArrow(tk.tidy(look_up), _MEMBER)
     by_point = placed.groupBy("point").agg(F.collect_list(F.struct("region", "tiles")).alias("regions"))
     listed = by_point.join(named.select("point", F.col("head").alias("id")).distinct(), "point")
     wanted = listed.groupBy("id").agg(F.collect_list(F.struct("point", "regions")).alias("points"))
@@ -390,7 +403,7 @@ def _members(docs: DataFrame, placed: DataFrame, named: DataFrame, n: int, digit
 
         yield from _member_batches(rows())
 
-    return docs.join(wanted.hint("shuffle_hash"), "id").select("id", "text", "points").mapInArrow(spread, _MEMBER)
+    return docs.join(wanted.hint("shuffle_hash"), "id").select("id", "text", "points").mapInArrow(tk.tidy(spread), _MEMBER)
 
 
 def _regions(candidates: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -142,7 +142,7 @@ def _tokens(df: DataFrame, vocabulary: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([tk.column(part, c) for c in kept] + [pa.array(tokens, pa.int64())], names=[*kept, "n_tokens"])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
-    return df.mapInArrow(run, f"{schema}, n_tokens bigint")
+    return df.mapInArrow(tk.tidy(run), f"{schema}, n_tokens bigint")
 
 
 def pack_conversations(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, loss_roles: tuple[str, ...] = LOSS_ROLES, group: int = GROUP, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -161,7 +161,7 @@ def pack_conversations(df: DataFrame, id_col: str = "conv_id", turn_col: str = "
             if rows:
                 yield _piece_batch(rows)
 
-    packed = pack_pieces(examples.mapInArrow(cutting, _PIECES), limits, group)
+    packed = pack_pieces(examples.mapInArrow(tk.tidy(cutting), _PIECES), limits, group)
     return packed.select("bin_group", "bin", "slot", F.col("id").alias(id_col), "piece", "first_segment", "first_token", "tokens", "segments", "loss")
 
 
@@ -180,7 +180,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if rows:
                 yield _piece_batch(rows)
 
-    packed = pack_pieces(examples.mapInArrow(cutting, _PIECES), limits, group)
+    packed = pack_pieces(examples.mapInArrow(tk.tidy(cutting), _PIECES), limits, group)
     return packed.select("bin_group", "bin", "slot", F.col("id").alias(id_col), "piece", "first_segment", "first_token", "tokens", "segments", "loss")
 
 

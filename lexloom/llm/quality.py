@@ -79,7 +79,7 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(found[k].astype(np.int64)) for k in names)], names=[*batch.schema.names[:3], *names])
 
     wanted = df.select(df[id_col].cast("bigint"), df[lang_col].cast("string").alias("lang"), df[source_col].cast("string").alias("source"), df[text_col].cast("string").alias("text"))
-    return wanted.mapInArrow(run, f"`{id_col}` bigint, lang string, source string, " + ", ".join(f"{k} bigint" for k in names))
+    return wanted.mapInArrow(tk.tidy(run), f"`{id_col}` bigint, lang string, source string, " + ", ".join(f"{k} bigint" for k in names))
 
 
 def sketches(metrics: DataFrame) -> DataFrame:

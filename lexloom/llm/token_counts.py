@@ -33,7 +33,7 @@ from . import textkit as tk
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pieces remembered in one generation; a longer piece than REMEMBER_BYTES isn't kept.
-REMEMBER, REMEMBER_BYTES = 800_000, 64
+REMEMBER, REMEMBER_BYTES = 150_000, 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -192,4 +192,4 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     tokens = [sum(count[p.encode()] for p in splitter(pattern)(x.as_py())) for x in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(tokens, pa.int64())], names=[batch.schema.names[0], "n_bytes", "n_tokens"])
 
-    return df.select(df[id_col].cast("bigint"), df[text_col].cast("string")).mapInArrow(run, f"`{id_col}` bigint, n_bytes bigint, n_tokens bigint")
+    return df.select(df[id_col].cast("bigint"), df[text_col].cast("string")).mapInArrow(tk.tidy(run), f"`{id_col}` bigint, n_bytes bigint, n_tokens bigint")

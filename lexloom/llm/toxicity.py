@@ -213,4 +213,4 @@ def _scan(df, schema, terms, window, threshold, keep, text_col=None):
                     cols = list(zip(*(out.get(r, none) for r in range(n))))
                     yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_())))], names=[batch.schema.names[0], "hits", "fuzzy_hits", "quoted_hits", "score", "toxic"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tk.tidy(run), schema)
