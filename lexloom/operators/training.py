@@ -250,7 +250,8 @@ def learn_merges(symbols: DataFrame, tokens: list[str], vocab_size: int, least:
     symbols = symbols.persist()
     try:
         if symbols.count() <= driver_words:
-            index = PairIndex([(r.symbols, r.freq) for r in symbols.select("symbols", "freq").collect()])
+            rows = symbols.select("symbols", "freq").toArrow()
+            index = PairIndex(list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())))
             while len(tokens) < vocab_size:
                 if prefix is None:
                     pair, n = index.most_frequent()
