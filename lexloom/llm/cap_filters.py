@@ -20,7 +20,11 @@ and each pair of tiles is a group of its own: no candidate is dropped and no
 task holds more than two tiles.
 
 The search is approximate: with the default parameters a pair at the threshold
-is found with a chance of more than 0.95, closer pairs more surely.
+is found with a chance of more than 0.95, closer pairs more surely.  The share of
+the sphere in a cap of a given alpha shrinks as vectors get wider, so unless it
+is given, alpha follows the width: up to ``WIDTH`` it is ``ALPHA``, beyond, that
+of caps with the same share, so that vectors of any width have about as many
+filters and pairs are found as surely.
 
 Defined cases: rows with a null id or vector are left out, as are vectors that
 have a null or non-finite part, no length, or another width than the first
@@ -43,14 +47,33 @@ from pyspark.sql import functions as F
 from .session import beside, cut
 
 THRESHOLD, ALPHA, BLOCKS, CODES, TURNS, SEED, TILE = 0.9, 0.4, 2, 48, 16, 5, 1024
+WIDTH = 64
+
+
+def _caps(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Angles from 0 to pi, and the share of the sphere within each of them."""
+    angles = np.linspace(0, np.pi, 20001)
+    ring = np.sin(angles) ** (width - 2)
+    share = np.concatenate(([0], np.cumsum(ring[1:] + ring[:-1])))
+    return angles, share / share[-1]
+
+
+def alpha_of(width: int) -> float:
+    """The alpha that gives vectors of ``width`` about as many filters as ``ALPHA`` gives those of ``WIDTH``, and no larger than it."""
+    if width <= WIDTH:
+        return ALPHA
+    angles, share = _caps(WIDTH)
+    wanted = np.interp(np.arccos(ALPHA), angles, share)
+    angles, share = _caps(width)
+    return float(np.cos(np.interp(wanted, share, angles)))
 
 
 class Code:
     """The product codes of one width."""
 
-    def __init__(self, width: int, alpha: float = ALPHA, blocks: int = BLOCKS, codes: int = CODES, turns: int = TURNS, seed: int = SEED):
+    def __init__(self, width: int, alpha: float | None = None, blocks: int = BLOCKS, codes: int = CODES, turns: int = TURNS, seed: int = SEED):
         rng = np.random.Generator(np.random.PCG64([seed, width]))
-        self.blocks, self.codes, self.alpha, self.turns = blocks, codes, alpha, []
+        self.blocks, self.codes, self.alpha, self.turns = blocks, codes, alpha_of(width) if alpha is None else alpha, []
         padded = -(-width // blocks) * blocks
         for _ in range(turns):
             turn, _ = np.linalg.qr(rng.standard_normal((padded, padded)))
@@ -90,7 +113,7 @@ def _unit(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
     return ids.take(pa.array(keep[good])).to_numpy(zero_copy_only=False), flat[good] / size[good, None]
 
 
-def near_pairs(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, alpha: float = ALPHA, blocks: int = BLOCKS, codes: int = CODES, turns: int = TURNS, seed: int = SEED, tile: int = TILE) -> DataFrame:
+def near_pairs(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, alpha: float | None = None, blocks: int = BLOCKS, codes: int = CODES, turns: int = TURNS, seed: int = SEED, tile: int = TILE) -> DataFrame:
     """vec_a < vec_b and cosine (six decimals) of the pairs found (see the module's text)."""
     rows = df.select(df[id_col].cast("bigint").alias("id"), df[vector_col].cast("array<double>").alias("vector")).where("id is not null and vector is not null")
     first = rows.where("size(vector) > 0").agg(F.min_by(F.size("vector"), "id")).first()[0]

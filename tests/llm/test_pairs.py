@@ -191,6 +191,24 @@ def test_recall_at_the_threshold():
     assert len({i for i, _ in a & b}) >= 0.93 * 1500
 
 
+@pytest.mark.parametrize("width", [1, 2, 8, 32, 64, 96, 128, 384, 768])
+def test_recall_at_the_threshold_at_any_width(width):
+    rng = np.random.default_rng(9)
+    n = 1000 if width >= 32 else 50
+    x = rng.standard_normal((n, width))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = x.copy()
+    if width > 1:
+        y = rng.standard_normal((n, width))
+        y -= (y * x).sum(1)[:, None] * x
+        y /= np.linalg.norm(y, axis=1)[:, None]
+        y = 0.9 * x + np.sqrt(1 - 0.81) * y
+    code = cap_filters.Code(width)
+    a, b = (set(zip(*(z.tolist() for z in code.decode(v)))) for v in (x, y))
+    assert len({i for i, _ in a & b}) >= 0.93 * n
+    assert width < 64 or 14 * n <= len(a) <= 21 * n
+
+
 def test_list_decoding_finds_exactly_the_filters_above():
     code = cap_filters.Code(6, alpha=0.3, blocks=3, codes=4, turns=2)
     rng = np.random.default_rng(1)
