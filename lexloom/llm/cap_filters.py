@@ -14,6 +14,10 @@ block: a partial choice is given up when even the best of the remaining blocks
 can't bring it to alpha.  So the cost follows the filters found, not the
 directions.
 
+Vectors of each width have filters of their own (a filter's number holds the
+width), so they are joined among themselves.  Of a width that has no more
+vectors than parts, all share one filter: a rotation would cost more.
+
 A pair with several filters in common is reported by the smallest of them.  A filter with more than ``tile`` vectors (copies of one
 vector fall into the same caps) is cut into tiles by a hash of the vector's id,
 and each pair of tiles is a group of its own: no candidate is dropped and no
@@ -27,8 +31,8 @@ of caps with the same share, so that vectors of any width have about as many
 filters and pairs are found as surely.
 
 Defined cases: rows with a null id or vector are left out, as are vectors that
-have a null or non-finite part, no length, or another width than the first
-vector of the table; vectors are compared by direction, so they needn't be of
+have a null or non-finite part or no length; vectors of different widths are
+never paired; vectors are compared by direction, so they needn't be of
 unit length; repeated rows add nothing, and no id is paired with itself; rows of
 one id with different vectors are matched separately and pairs given once, at
 the largest cosine; a pair exactly at the threshold is found; with no rows there
@@ -37,6 +41,7 @@ are no pairs; other columns are dropped.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,6 +107,12 @@ class Code:
         return row[order], number[order]
 
 
+@functools.lru_cache(maxsize=4)
+def _code(*parameters) -> Code:
+    """Kept by a worker, as the rotations of wide vectors take a while."""
+    return Code(*parameters)
+
+
 def _unit(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and unit vectors of the valid rows."""
     ids, lists = batch.column(0), batch.column(1)
@@ -116,23 +127,30 @@ def _unit(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
 def near_pairs(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, alpha: float | None = None, blocks: int = BLOCKS, codes: int = CODES, turns: int = TURNS, seed: int = SEED, tile: int = TILE) -> DataFrame:
     """vec_a < vec_b and cosine (six decimals) of the pairs found (see the module's text)."""
     rows = df.select(df[id_col].cast("bigint").alias("id"), df[vector_col].cast("array<double>").alias("vector")).where("id is not null and vector is not null")
-    first = rows.where("size(vector) > 0").agg(F.min_by(F.size("vector"), "id")).first()[0]
-    width = int(first or 1)
+    counted = rows.groupBy(F.size("vector").alias("width")).agg(F.count(F.lit(1)).alias("n"))
+    many = {r.width for r in counted.where("n > width and width > 0").collect()}
     rows = rows.select("id", F.col("vector").cast("array<float>"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = Code(width, alpha, blocks, codes, turns, seed)
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
-                ids, unit = _unit(batch.slice(a, 2000), width)
-                row, number = code.decode(unit)
-                if not len(row):
-                    continue
-                offs = np.searchsorted(row, np.arange(len(ids) + 1))
-                lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(number))
-                raw = pa.array([v.tobytes() for v in unit.astype(np.float64)], pa.binary())
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(ids[row]), lists.take(at), raw.take(at)], names=["filter", "id", "filters", "vector"])
+                part = batch.slice(a, 2000)
+                for width in part.column(1).value_lengths().unique().to_pylist():
+                    ids, unit = _unit(part, width) if width else ((), ())
+                    if not len(ids):
+                        continue
+                    if width in many:
+                        row, number = _code(width, alpha, blocks, codes, turns, seed).decode(unit)
+                    else:
+                        row, number = np.arange(len(ids)), np.zeros(len(ids), dtype=np.int64)
+                    if not len(row):
+                        continue
+                    number = number + width * turns * codes**blocks
+                    offs = np.searchsorted(row, np.arange(len(ids) + 1))
+                    lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(number))
+                    raw = pa.array([v.tobytes() for v in unit.astype(np.float64)], pa.binary())
+                    at = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(ids[row]), lists.take(at), raw.take(at)], names=["filter", "id", "filters", "vector"])
 
     members = rows.mapInArrow(spread, "filter bigint, id bigint, filters array<bigint>, vector binary")
     # only (filter, id) is counted, so that the sizes of filters cost no shuffle of vectors

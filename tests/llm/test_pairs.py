@@ -233,3 +233,15 @@ def test_odd_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     assert [(r.vec_a, r.vec_b, r.cosine) for r in cap_filters.near_pairs(df).collect()] == [(1, 2, 1.0)]
     assert cap_filters.near_pairs(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+
+
+def test_each_width_is_joined_among_itself(spark):
+    x, y = vectors(120, 12), vectors(150, 12, 96)
+    rows = [(-1, [1.0] * 3)] + [(k, v.tolist()) for k, v in enumerate(x)] + [(1000 + k, v.tolist()) for k, v in enumerate(y)] + [(5000, [1.0, 2.0]), (5001, [2.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)
+    got = {(r.vec_a, r.vec_b) for r in cap_filters.near_pairs(df).collect()}
+    for at, want in ((0, near(x)), (1000, near(y))):
+        want = {(at + a, at + b) for a, b in want}
+        found = {p for p in got if at <= p[0] < at + 1000}
+        assert found <= want and len(found) >= 0.9 * len(want) > 100
+    assert {p for p in got if p[0] < 0 or p[0] >= 2000} == {(5000, 5001)}
