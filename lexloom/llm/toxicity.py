@@ -7,13 +7,16 @@ the table together, one character a step, so only words that are still within
 reach of some term cost anything.
 
 Budgets: terms of up to 4 letters must match exactly, up to 7 letters allow one
-edit, longer ones two; the first letter is never edited.  Accents are removed
+edit, longer ones two; two neighbouring letters that are swapped are one edit, and the
+first letter is never edited.  Accents are removed
 and the usual digit and sign substitutions (0 1 3 4 5 7 @ $) are read as letters
 before matching, at no cost.
 
-Each hit weighs 1 (exact), 0.6 (one edit) or 0.3 (two); a misspelling that is
-repeated in a text weighs once, so that an unusual word near a term doesn't
-condemn a long text.  Inside quotation marks on one
+Each hit weighs 1 (exact), 0.7 (one edit) or 0.3 (two), so a one-edit form
+decides when it is addressed or said twice.  Two edits are weak evidence: a
+repeated form weighs again only where it is addressed, so that an unusual word
+near a term doesn't condemn a long text.  Common words that are an edit or two
+from a term (``LOOKALIKES``) are no hits.  Inside quotation marks on one
 line, or on a line that starts with ``>``, it weighs a fifth; otherwise a
 reporting word among the words around it halves it and a second-person word
 multiplies it by 1.5.  A text is toxic when its sum reaches the threshold.
@@ -47,6 +50,11 @@ QUOTED = re.compile("\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“\n]*“|^
 WORD = re.compile(r"\w+")
 SCHEMA = "{id} bigint, hits int, fuzzy_hits int, quoted_hits int, score double, toxic boolean"
 
+LOOKALIKES = frozenset(
+    "batch birch botch butch carbon crown digesting discussing disguising estupendo idiom laser leser loger loner lose losen loses louer lover lower loyer marion moon moran mormon morn moroni "
+    "regard reward schlamm schlange schlanke schlappe slope thrash trotter wordless worthiness".split()
+)
+
 _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 
 
@@ -61,9 +69,13 @@ def budget(term: str) -> int:
 
 
 class Automaton:
-    """table[state, class] is the next state (0: none); best[state] is (edits, term) or (-1, -1)."""
+    """table[state, class] is the next state (0: none); best[state] is (edits, term) or (-1, -1).
+
+    With ``swaps``, two neighbouring letters that changed places are one edit: the
+    cell -(27 * node + letter) waits for the letter that leads to the node.
+    """
 
-    def __init__(self, terms: tuple[str, ...]):
+    def __init__(self, terms: tuple[str, ...], swaps: bool = False):
         self.terms = sorted(set("".join(map(fold, t)) for t in terms) - {""})
         children: list[dict[int, int]] = [{}]
         ends: dict[int, int] = {}
@@ -85,7 +97,7 @@ class Automaton:
             todo = list(cells.items())
             while todo:
                 node, e = todo.pop()
-                if node:
+                if node > 0:
                     for child in children[node].values():
                         if e + 1 <= room[child] and cells.get(child, 9) > e + 1:
                             cells[child] = e + 1
@@ -99,6 +111,16 @@ class Automaton:
             for c in range(27):
                 out: dict[int, int] = {}
                 for node, e in state:
+                    if node < 0:
+                        if -node % 27 == c and out.get(-node // 27, 9) > e:
+                            out[-node // 27] = e
+                        continue
+                    if swaps and node:
+                        for letter, child in children[node].items():
+                            last = children[child].get(c)
+                            if last and letter != c and e + 1 <= room[last]:
+                                wait = -(27 * last + letter)
+                                out[wait] = min(out.get(wait, 9), e + 1)
                     for letter, child in children[node].items():
                         cost = e + (letter != c)
                         if (cost == e or node) and cost <= room[child] and out.get(child, 9) > cost:
@@ -161,21 +183,23 @@ def find(column: pa.Array, machine: Automaton) -> tuple[np.ndarray, ...]:
 def judge(text: str, hits: list[tuple[int, int, int]], window: int, threshold: float) -> tuple[int, int, int, float, bool]:
     """hits: (start, end, edits) in order."""
     spans = [m.span() for m in QUOTED.finditer(text)]
+    hits = [h for h in hits if not h[2] or "".join(map(fold, text[h[0] : h[1]])) not in LOOKALIKES]
     score, quoted, fuzzy, k, seen = 0.0, 0, 0, 0, set()
     for a, b, edits in hits:
-        weight = (1.0, 0.6, 0.3)[edits]
+        weight = (1.0, 0.7, 0.3)[edits]
         fuzzy += edits > 0
-        if edits:
-            weight *= text[a:b].lower() not in seen
-            seen.add(text[a:b].lower())
+        word = text[a:b].lower()
+        again = edits > 1 and word in seen
+        seen.add(word)
         while k < len(spans) and spans[k][1] <= a:
             k += 1
         if k < len(spans) and spans[k][0] <= a and b <= spans[k][1]:
             quoted += 1
-            weight *= 0.2
+            weight *= 0.0 if again else 0.2
         else:
             near = {w.lower() for w in WORD.findall(text[max(0, a - 12 * window) : a])[-window:] + WORD.findall(text[b : b + 12 * window])[:window]}
-            weight *= (0.5 if near & REPORTING else 1.0) * (1.5 if near & ADDRESSING else 1.0)
+            addressed = bool(near & ADDRESSING)
+            weight *= (0.5 if near & REPORTING else 1.0) * (1.5 if addressed else 0.0 if again else 1.0)
         score += weight
     return len(hits), fuzzy, quoted, round(score, 6), score >= threshold - 1e-9
 
@@ -192,7 +216,7 @@ def clean(df: DataFrame, text_col: str = "text", terms: tuple[str, ...] = LEXICO
 
 
 def _scan(df, schema, terms, window, threshold, keep, text_col=None):
-    machine = Automaton(terms)
+    machine = Automaton(terms, swaps=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

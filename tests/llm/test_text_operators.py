@@ -99,6 +99,44 @@ def test_quotation_and_abuse(spark):
     assert toxicity.toxicity(docs(spark, [])).count() == 0 and toxicity.clean(docs(spark, [])).count() == 0
 
 
+def test_misspelled_abuse_decides(spark):
+    toxic = ["you morron", "you idoit", "morno, you", "What a morron. Such a morron.", "you worthlss " * 40, "You are wrothlses. You are wrothlses. You are wrothlses."]
+    sound = ["your crown", "you lose, I lose", "Das kannst du lösen. " * 30, "discussing it with you " * 30, "a morron", "wrothlses " * 30, '"morron", he said']
+    rows = [(k, t, "en", "a") for k, t in enumerate(toxic + sound)]
+    df = docs(spark, rows)
+    assert {r.doc_id for r in toxicity.toxicity(df).where("toxic").collect()} == set(range(len(toxic)))
+    assert {r.doc_id for r in toxicity.clean(df).collect()} == set(range(len(toxic), len(rows)))
+
+
+def swap_distance(a, b):
+    """Edits, where a swap of neighbours is one (and isn't edited again)."""
+    d = {(i, -1): i + 1 for i in range(-1, len(a))} | {(-1, j): j + 1 for j in range(-1, len(b))}
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (x != y))
+            if i and j and x == b[j - 1] and a[i - 1] == y:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a) - 1, len(b) - 1]
+
+
+def test_automaton_with_swaps_equals_swap_distance():
+    machine = toxicity.Automaton(toxicity.LEXICON, swaps=True)
+    rng = random.Random(2)
+    words = ["idoit", "morno", "diiot", "wrothlses", "wortlhess"]
+    for _ in range(1500):
+        w = list(rng.choice(machine.terms))
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(w) - 1)
+            kind = rng.randrange(3)
+            w[k : k + 2] = [w[k + 1], w[k]] if kind == 0 else [w[k]] if kind == 1 and len(w) > 4 else [w[k], rng.choice("abcdeiorst"), w[k + 1]]
+        words.append("".join(w))
+    rows, _, _, edits, terms = toxicity.find(pa.array(words), machine)
+    found = {int(r): (int(e), machine.terms[t]) for r, e, t in zip(rows, edits, terms)}
+    for k, w in enumerate(words):
+        near = [(d, t) for t in machine.terms if w[0] == t[0] and (d := swap_distance(w[1:], t[1:])) <= toxicity.budget(t)]
+        assert found.get(k) == (min(near) if near else None), w
+
+
 PROSE = {"en": "the water of this house is green and the light was there with all of them", "de": "das wasser in diesem haus ist sehr grün und ich bin nicht allein über die brücke", "fr": "le café est très bon et les élèves de cette école ne sont pas là où il faut"}
 
 
