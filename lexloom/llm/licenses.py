@@ -1,6 +1,11 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text; block and template are sets of words.  A pair is
+A block is a line of a text, and with ``wrapped`` also a notice that is wrapped
+over consecutive lines of a paragraph: the shortest runs of lines, none of them
+blank but for comment marks, that reach the threshold while no shorter run
+within them does.  Such a run is found with at most 1.5 times the template's
+words in all, so that words scattered over a long paragraph aren't a notice, and
+is numbered by its first line.  Block and template are sets of words.  A pair is
 found when the template's containment, |block & template| / |template|, reaches
 the threshold.
 
@@ -92,7 +97,7 @@ def word_counts(df: DataFrame, text_col: str, tokens: list[str]) -> dict[str, in
     return found | {tokens[r.token]: r.n for r in rows}
 
 
-def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold_percent: int = THRESHOLD_PERCENT) -> DataFrame:
+def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold_percent: int = THRESHOLD_PERCENT, wrapped: bool = False) -> DataFrame:
     """``id_col``, block, template, overlap, template_words and containment of every match."""
     library = {k: words(t) for k, t in (TEMPLATES if templates is None else templates).items() if words(t)}
     tokens = sorted(set().union(*library.values())) if library else []
@@ -122,6 +127,38 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if overlap >= o:
                     yield name, overlap
 
+    def take(text: tk.Words, ends: np.ndarray, n: int, start: int, stop: int, lines: dict[int, list[str]]) -> None:
+        """Adds line ``n``, and those around it in its paragraph that a notice with a word in it may reach."""
+        for step in (-1, 1):
+            total, k = 0, n
+            while start <= k < stop and total <= limit:
+                if k not in lines:
+                    a, b = (int(ends[k - 1]) + 1 if k else 0), int(ends[k])
+                    lines[k] = _WORD.findall(text.data[a:b].tobytes().decode("utf-8", "replace"))
+                if not lines[k]:
+                    break
+                total += len(lines[k]) if k != n else 0
+                k += step
+
+    def runs(lines: dict[int, list[str]]) -> Iterator[tuple[int, str, int]]:
+        """First line, template and overlap of notices over several lines; lines: number -> words, of all lines that may be part of one."""
+        best: dict[tuple[int, str], tuple[int, int]] = {}
+        for first in sorted(lines):
+            seen, total, last = set(), 0, first
+            while lines.get(last) and total <= limit:
+                seen = seen | set(lines[last])
+                total += len(lines[last])
+                for name, overlap in match(seen):
+                    if total <= 1.5 * lengths[name] or last == first:
+                        best.setdefault((first, name), (last, overlap))
+                last += 1
+        for (first, name), (last, overlap) in best.items():
+            if last > first and not any(best.get((k, name), (last + 1,))[0] <= last for k in range(first + 1, last + 1)):
+                yield first, name, overlap
+
+    lengths = {name: len(_WORD.findall(t.lower())) for name, t in (TEMPLATES if templates is None else templates).items()}
+    limit = 1.5 * max(lengths.values(), default=0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe = _Probe(keys)
         for batch in batches:
@@ -132,11 +169,19 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ends = np.flatnonzero(text.data == 10)
                 line = np.unique(np.searchsorted(ends, text.starts[at]))
                 row = np.searchsorted(text.offsets, np.where(line > 0, ends[line - 1] + 1, 0), side="right") - 1 if len(line) else line
+                near: dict[int, dict[int, list[str]]] = {}
                 for n, r in zip(line.tolist(), row.tolist()):
+                    if wrapped:
+                        start = int(np.searchsorted(ends, text.offsets[r]))
+                        stop = int(np.searchsorted(ends, text.offsets[r + 1]))
+                        take(text, ends, n, start, stop, near.setdefault(r, {}))
                     a, b = (int(ends[n - 1]) + 1 if n else 0), int(ends[n])
                     block = set(_WORD.findall(text.data[a:b].tobytes().decode("utf-8", "replace")))
                     number = n - int(np.searchsorted(ends, text.offsets[r])) + 1
                     found += [(part.column(0)[r].as_py(), number, name, k, len(library[name]), k / len(library[name])) for name, k in match(block)]
+                for r, lines in near.items():
+                    start = int(np.searchsorted(ends, text.offsets[r]))
+                    found += [(part.column(0)[r].as_py(), n - start + 1, name, k, len(library[name]), k / len(library[name])) for n, name, k in runs(lines)]
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())
             cols = list(zip(*found)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[batch.schema.names[0], "block", "template", "overlap", "template_words", "containment"])

@@ -17,7 +17,7 @@ def op2_mixing(spark, sf_dir):
 
 
 def op3_license_scan(spark, sf_dir):
-    return licenses.license_scan(read(spark, sf_dir, "documents"))
+    return licenses.license_scan(read(spark, sf_dir, "documents"), wrapped=True)
 
 
 def op4_chat_tree(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 from collections import Counter
 
 import duckdb
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lexloom.llm import language, licenses, quality, toxicity
+from lexloom.llm import language, licenses, quality, queries, toxicity
 from lexloom.llm.token_counts import PATTERN, VOCABULARY, count_piece, load_ranks, token_counts
 
 EXTRA = "doc_id bigint, text string, lang string, source string, id string, score string, n int, keep string, predicted string, block int"
@@ -200,6 +201,26 @@ def test_license_scan_equals_sql(spark):
     assert licenses.license_scan(docs(spark, rows), templates={"none": "!!"}).count() == 0
 
 
+def test_wrapped_license_notices(spark, tmp_path):
+    names = ["GPL-2.0", "MIT-notice", "BSD-3-Clause", "CC0-1.0", "MPL-2.0"]
+    rows = []
+    for k, name in enumerate(names):
+        for width in (40, 60):
+            lines = textwrap.wrap(licenses.TEMPLATES[name], width)
+            rows.append((10 * k + width, "\n".join(["Prose of a file.", "", *("# " + x for x in lines), "#", "More prose."]), "en", "a"))
+            rows.append((1000 + 10 * k + width, "\n\n".join(lines), "en", "a"))
+    rows += [(2000, licenses.TEMPLATES["MIT"] + "\nsome prose", "en", "a"), (2001, "free software\n" + "water and house " * 30 + "\n" + licenses.TEMPLATES["GPL-2.0"][20:60], "en", "a")]
+    df = docs(spark, rows)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op3_license_scan(spark, str(tmp_path)).collect()
+    found = {(r.doc_id, r.template): r.block for r in out}
+    assert len(found) == len(out)
+    for k, name in enumerate(names):
+        assert all(found[10 * k + width, name] == 3 for width in (40, 60))
+    assert {i for i, _ in found if i >= 1000} == {2000} and found[2000, "MIT"] == 1
+    assert not [r for r in licenses.license_scan(df).collect() if r.doc_id < 1000 and r.template in names[:1]]
+
+
 TEXTS = ["", "a", "hello world", "don't  stop\n\nnow  ", "naïve café déjà", "日本語 text", "x" * 300, "a'b 'll 'x 12'3", "  \t\n", "🙂🙂 ok", "tab\tand  two", "we'll've", "'s 's't", " em", "end "]
 
 
