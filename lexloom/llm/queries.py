@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from . import cap_filters, chat_tree, language, licenses, mixing, ngram_join, packing, quality
+from . import toxicity as toxic
 from .session import read
 from .token_counts import token_counts
-from .toxicity import toxicity
 
 
 def op1_ngram_join(spark, sf_dir):
@@ -38,7 +38,8 @@ def op7_language_id(spark, sf_dir):
 
 
 def op8_toxicity(spark, sf_dir):
-    return toxicity(read(spark, sf_dir, "documents"))
+    docs = read(spark, sf_dir, "documents")
+    return toxic.toxicity(docs, lexicon=toxic.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def op9_token_counts(spark, sf_dir):

@@ -28,6 +28,7 @@ def test_stages(spark, tmp_path):
     data = rows()
     folder = str(tmp_path)
     spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(r[0], int(r[0] == 400)) for r in data if r[0] % 3 == 1], "doc_id bigint, toxic int").write.parquet(f"{folder}/labels.parquet")
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept = {}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
@@ -67,4 +68,5 @@ def test_stages(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

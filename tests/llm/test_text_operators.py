@@ -34,6 +34,9 @@ def got(df):
     return sorted([tuple((n, r[n]) for n in sorted(df.columns)) for r in df.collect()], key=str)
 
 
+MORE = toxicity.Lexicon.of(toxicity.LEXICON + ("worthless", "disgusting", "trash", "clown"))
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -49,7 +52,7 @@ def first_kept_distance(word, term):
 
 
 def test_automaton_equals_edit_distance():
-    machine = toxicity.Automaton(toxicity.LEXICON)
+    machine = toxicity.Automaton(MORE)
     rng = random.Random(1)
     words = ["idiot", "worthles", "worthlesss", "wrthless", "disgusting", "dsgsting", "scum", "scam", "trsh", "clwn", "xdiot"]
     for _ in range(1500):
@@ -85,7 +88,7 @@ def test_quotation_and_abuse(spark):
         (9, "you morron", "en", "a"),
     ]
     df = docs(spark, rows)
-    out = toxicity.toxicity(df)
+    out = toxicity.toxicity(df, lexicon=MORE)
     by = {}
     for r in out.collect():
         by.setdefault(r.doc_id, []).append(r)
@@ -94,7 +97,7 @@ def test_quotation_and_abuse(spark):
     assert not by[2][0].toxic and by[2][0].quoted_hits == 2 and not by[5][0].toxic
     assert sorted(r.toxic for r in by[8]) == [False, True]
     assert by[6][0].score == 0 and by[7][0].hits == 0 and by[9][0].fuzzy_hits == 1
-    kept = toxicity.clean(df)
+    kept = toxicity.clean(df, lexicon=MORE)
     assert kept.columns == df.columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == sorted((r.doc_id or 0) for r in out.where("not toxic").collect())
     assert toxicity.toxicity(docs(spark, [])).count() == 0 and toxicity.clean(docs(spark, [])).count() == 0
@@ -105,8 +108,8 @@ def test_misspelled_abuse_decides(spark):
     sound = ["your crown", "you lose, I lose", "Das kannst du lösen. " * 30, "discussing it with you " * 30, "a morron", "wrothlses " * 30, '"morron", he said']
     rows = [(k, t, "en", "a") for k, t in enumerate(toxic + sound)]
     df = docs(spark, rows)
-    assert {r.doc_id for r in toxicity.toxicity(df).where("toxic").collect()} == set(range(len(toxic)))
-    assert {r.doc_id for r in toxicity.clean(df).collect()} == set(range(len(toxic), len(rows)))
+    assert {r.doc_id for r in toxicity.toxicity(df, lexicon=MORE).where("toxic").collect()} == set(range(len(toxic)))
+    assert {r.doc_id for r in toxicity.clean(df, lexicon=MORE).collect()} == set(range(len(toxic), len(rows)))
 
 
 def swap_distance(a, b):
@@ -121,7 +124,7 @@ def swap_distance(a, b):
 
 
 def test_automaton_with_swaps_equals_swap_distance():
-    machine = toxicity.Automaton(toxicity.LEXICON, swaps=True)
+    machine = toxicity.Automaton(MORE, swaps=True)
     rng = random.Random(2)
     words = ["idoit", "morno", "diiot", "wrothlses", "wortlhess"]
     for _ in range(1500):
@@ -138,6 +141,115 @@ def test_automaton_with_swaps_equals_swap_distance():
         assert found.get(k) == (min(near) if near else None), w
 
 
+def slow_judge(text, lexicon, window=6, threshold=1.0):
+    """Hits by edit distances to every term, and the score, word by word."""
+    tokens = [(m.start(), m.end()) for m in re.finditer(r"[\w@$]+", text) if "_" not in m.group()]
+    words = [(m.start(), m.end()) for m in re.finditer(r"\w+", text)]
+    inside, at = set(), 0
+    for line in text.split("\n"):
+        if line.startswith(">"):
+            inside |= set(range(at, at + len(line)))
+        opened = None
+        for k, c in enumerate(line):
+            if c == '"' and opened is None:
+                opened = k
+            elif c == '"':
+                inside |= set(range(at + opened, at + k + 1))
+                opened = None
+        at += len(line) + 1
+    hits = fuzzy = quoted = 0
+    score, seen = 0.0, []
+    for a, b in tokens:
+        word = "".join(map(toxicity.fold, text[a:b]))
+        whole = len(word) == b - a
+        near = [(d, t) for t, most in lexicon.budgets.items() if whole and word[0] == t[0] and (d := swap_distance(word[1:], t[1:])) <= most]
+        if not near or (min(near)[0] and word in lexicon.lookalikes):
+            continue
+        edits, term = min(near)
+        hits, fuzzy = hits + 1, fuzzy + (edits > 0)
+        weight = {0: 1.0, 1: 0.7, 2: 0.3}[edits] * (0.5 if term in lexicon.weak else 1)
+        again = edits == 2 and text[a:b].lower() in seen
+        seen.append(text[a:b].lower())
+        if a in inside:
+            quoted += 1
+            score += 0 if again else weight * 0.2
+            continue
+        around = [text[x:y].lower() for x, y in [w for w in words if w[1] <= a][-window:] + [w for w in words if w[0] >= b][:window]]
+        if set(around) & toxicity.REPORTING:
+            weight *= 0.5
+        if set(around) & toxicity.ADDRESSING:
+            weight *= 1.5
+        elif again:
+            weight = 0
+        score += weight
+    return hits, fuzzy, quoted, round(score, 6), score >= threshold - 1e-9
+
+
+def test_scores_equal_a_word_by_word_version(spark):
+    lexicon = toxicity.Lexicon(MORE.budgets, frozenset({"trash", "idiot"}), MORE.lookalikes)
+    rng = random.Random(7)
+    parts = ["idiot", "morron", "moron", "worthlss", "wrothlses", "worthless", "scum", "tr4sh", "idiom", "you", "said", "house", "Dich", '"', "\n> ", "\n", "w" * 40, ".", "x" * 80, "clwon", "m0ron"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(300)]
+    rows = [(k, t, "en", "a") for k, t in enumerate(texts)]
+    out = {r.doc_id: tuple(r)[1:] for r in toxicity.toxicity(docs(spark, rows), lexicon=lexicon).collect()}
+    assert [out[k] for k in range(len(texts))] == [slow_judge(t, lexicon) for t in texts]
+    assert 30 < sum(x[4] for x in out.values()) < 270
+
+
+def test_context_is_counted_in_words_of_any_length(spark):
+    far = " ".join(["w" * 30] * 4)
+    rows = [(1, f"you {far} morron", "en", "a"), (2, f"you {far} {far} morron", "en", "a"), (3, "мoron", "en", "a"), (4, "x" * 90 + "you morron", "en", "a")]
+    assert {r.doc_id: r.score for r in toxicity.toxicity(docs(spark, rows)).collect()} == {1: 1.05, 2: 0.7, 3: 1.0, 4: 0.7}
+
+
+def abuse(n=900, seed=3):
+    """Texts of invented words; a fifth are toxic, by one to three of six words of their language; and a copied toxic text of rare words."""
+    rng = random.Random(seed)
+    bad = {lang: [f"{lang}vorqu{x}" for x in ("ak", "ost", "ilm", "urr", "eft", "onda")] for lang in ("en", "fr")}
+    rows, labels = [], []
+    for k in range(n):
+        lang = ("en", "fr")[k % 2]
+        words = [f"{lang}{rng.choice('bcdgklmp')}{rng.choice('aeiou')}{rng.choice('rstn')}{rng.randrange(40):o}".replace("0", "a").replace("1", "e").replace("2", "i") for _ in range(rng.randrange(10, 60))]
+        toxic = rng.random() < 0.2
+        for _ in range(rng.randrange(1, 4) if toxic else 0):
+            words[rng.randrange(len(words))] = rng.choice(bad[lang])
+        rows.append((k, " ".join(words), lang, "a"))
+        labels.append((k, int(toxic), 1))
+    rare = [f"rarissim{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    for k in range(60):
+        rows.append((n + k, " ".join(rare[:k] + ["envorquak"] + rare[k + 1 :]), "en", "copy"))
+        labels.append((n + k, 1, 1))
+    return rows, labels, {w for ws in bad.values() for w in ws}
+
+
+def test_terms_are_learned_from_labels_and_hold_on_others(spark):
+    rows, labels, bad = abuse()
+    known = spark.createDataFrame([x for x in labels if x[0] % 2 or x[0] % 4 == 0] + [(None, 1, 1), (3, None, 1), (77777, 1, 1)], "doc_id bigint, toxic int, lang int")
+    lexicon = toxicity.fit(docs(spark, rows + [(None, "null", "en", "a"), (1, None, None, None)]), known)
+    learned = set(lexicon.budgets) - set(toxicity.BUILT_IN.budgets)
+    assert learned == bad  # and none of the copied text's words
+    held_out = [k for k, (i, *_) in enumerate(rows) if i % 4 == 2]
+    out = {r.doc_id: r.toxic for r in toxicity.toxicity(docs(spark, [rows[k] for k in held_out]), lexicon=lexicon).collect()}
+    truth = {labels[k][0]: labels[k][1] for k in held_out}
+    assert np.mean([out[i] for i, t in truth.items() if t]) > 0.95 and not any(out[i] for i, t in truth.items() if not t)
+
+
+def test_edits_are_those_that_clean_texts_bear(spark):
+    rows, labels, bad = abuse()
+    near = sorted(bad)[0]
+    rows = [(i, t if x else t + f" {near[:-1]}x", lang, s) for (i, t, lang, s), (_, x, _) in zip(rows, labels)]
+    lexicon = toxicity.fit(docs(spark, rows), spark.createDataFrame(labels, "doc_id bigint, toxic int, n int"))
+    assert lexicon.budgets[near] == 0 and any(lexicon.budgets[t] for t in bad - {near})
+
+
+@pytest.mark.parametrize("kind", ["no labels", "no texts", "all clean", "all toxic"])
+def test_without_both_kinds_of_labels_the_lexicon_is_the_built_in_one(spark, kind):
+    rows, labels, _ = abuse(60)
+    labels = [] if kind == "no labels" else [(i, int(kind == "all toxic"), 1) for i, *_ in labels]
+    df = docs(spark, [] if kind == "no texts" else rows)
+    assert toxicity.fit(df, spark.createDataFrame(labels, "doc_id bigint, toxic int, n int")) == toxicity.BUILT_IN
+
+
 PROSE = {"en": "the water of this house is green and the light was there with all of them", "de": "das wasser in diesem haus ist sehr grün und ich bin nicht allein über die brücke", "fr": "le café est très bon et les élèves de cette école ne sont pas là où il faut"}
 
 
