@@ -12,6 +12,7 @@ out; repeated edges add nothing; without edges there are no rows.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +42,19 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 def _print(links: DataFrame) -> tuple:
     """Count and two sums of hashes: equal for equal edges."""
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.hash("u", "v"))).first())
+
+
+def hang(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """One class for a and b of each pair, in one process: the larger class number is hung below the smaller until all are equal."""
+    while True:
+        x, y = parent[a], parent[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent[:] = up

@@ -18,6 +18,8 @@ texts to a row; pairs of fitting sizes that share an anchor are counted (and
 shuffled as runs, too), and those that reach l are candidates.  The order is by hash, but n-grams that many
 texts have (as in passages that documents repeat) come last, so crowds hardly
 meet; which these are is read from mergeable counts, and affects speed alone.
+Where more than CROWDED points share an anchor all the same, they are linked in stars
+instead of pairs, so a crowd gives as many rows as it has points.
 Candidates are linked to regions: points of different regions are more than eps
 apart, so each point is in one region only.  A region of more than REGION_GRAMS
 n-grams is dealt into tiles of about so many, and each pair of tiles is joined on
@@ -29,15 +31,21 @@ d(y, p_i) <= r_i + eps and d(y, p_i) <= d(y, p_own) + 2 eps (the triangle
 inequality's windows), and cells are split again until they are small or don't
 shrink, when the overlaps are counted.
 
-Result: doc_a < doc_b and jaccard.  Texts of equal sets are given by a star: the
-smallest id of the set with each other id, at 1.0; two different sets by one row
-of their smallest ids.  So all pairs are the given ones, extended over equal sets.
+Result of ``ngram_join``: one row for each document: class_id, the smallest id of its
+class (documents that are linked by pairs, directly or through others); links, the
+number of different sets that its own is near to; and copies, the number of other
+documents of an equal set.  Each group of a region is joined and counted where it
+is: only its points' numbers of links and local classes leave it, never its pairs.
+``ngram_pairs`` lists pairs instead, doc_a < doc_b and jaccard: texts of equal sets are
+given by a star, the smallest id of the set with each other id, at 1.0; two
+different sets by one row of their smallest ids.
 
 Defined cases: rows with a null id are left out; null and empty texts, and texts
-without words, have no n-grams and no pairs; a text of fewer than n words has
-one n-gram, all its words; a repeated row adds nothing, and rows of one id with
-different texts are matched separately, but no id is paired with itself; texts
-are read whole; other columns are dropped, whatever their names.
+without words, have no n-grams, so they are classes of their own without links; a
+text of fewer than n words has one n-gram, all its words; a repeated row adds
+nothing; rows of one id with different texts are one document, whose links and
+copies are added up, but no id is paired with itself; texts are read whole; other
+columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -50,7 +58,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .components import components
+from .components import components, hang
 from .session import BROADCAST_BYTES, beside, cut
 
 N, THRESHOLD_PERCENT = 3, 60
@@ -64,8 +72,12 @@ CROWD, LATE_GRAMS = 16, 2_000_000
 BUCKET_ANCHORS, REGION_GRAMS = 1_000_000, 1_000_000
 #: Bytes of the table of points in regions that is sent to every executor; beyond, texts are joined with it.
 PLACED_BYTES = 64 << 20
-#: Texts of a cell that are joined by counting overlaps at once.
-LEAF = 256
+#: Points that share an anchor and are linked in a star instead of pairs, if there are more.
+CROWDED = 256
+#: Points of a region beyond which pivots part it, and points whose overlaps are counted at once.
+LEAF, BLOCK = 64, 256
+#: Counts for an anchor that decides alone.
+_ENOUGH = 1 << 30
 
 #: Bytes of sets in one Arrow batch.
 BATCH_BYTES = 4 << 20
@@ -263,6 +275,17 @@ def count_pairs(table: pa.Table, threshold_percent: int, buckets: int, digits: i
     kept = [(np.zeros(0, np.int64),) * 4]
     held, step = 0, 1
     at = np.arange(len(gram))
+    if len(gram):
+        first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+        many = np.repeat(np.diff(np.append(first, len(gram))), np.diff(np.append(first, len(gram)))) > CROWDED
+        if many.any():
+            # runs of fitting sizes within a gram: pairs that fit are in one run, as sizes are in order
+            breaks = np.concatenate(([True], (gram[1:] != gram[:-1]) | (size[:-1].astype(np.int64) * 100 < threshold_percent * size[1:].astype(np.int64))))
+            head = np.flatnonzero(breaks)[np.cumsum(breaks) - 1]
+            linked = np.flatnonzero(many & (point[head] != point))
+            x, y = point[head[linked]], point[linked]
+            kept.append((np.minimum(x, y), np.maximum(x, y), np.full(len(x), _ENOUGH), np.ones(len(x), np.int64)))
+            at = at[~many]
 
     def merged() -> tuple[np.ndarray, ...]:
         a, b, c, m = (np.concatenate(x) for x in zip(*kept))
@@ -315,18 +338,16 @@ def _bucket(function):
     return run
 
 
-def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold_percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """doc_a, doc_b, jaccard (see the module's text)."""
-    spark = df.sparkSession
-    docs = df.select(df[id_col].cast("bigint").alias("id"), df[text_col].cast("string").alias("text")).where("id is not null and text is not null")
-    signed = cut(_signed(docs, n))
+def _parted(docs: DataFrame, n: int, threshold_percent: int) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """The texts' signatures, the smallest id of each set, the members of all regions, and whether a region has several tiles."""
+    spark = docs.sparkSession
+    signed = cut(_signed(docs.where("text is not null"), n))
     ids = signed.where("id is not null").select("id", "s1", "s2", "size")
     heads = cut(ids.groupBy("s1", "s2").agg(F.min("id").alias("head"), F.max("size").alias("size")))
     count, grams = heads.agg(F.count(F.lit(1)), F.sum("size")).first()
     grams = grams or 0
     digits = min(62, max(20, count.bit_length() + 10))
     named = heads.select(F.shiftrightunsigned("s1", 64 - digits).alias("point"), "head", "size")
-    equal = ids.join(heads.drop("size"), ["s1", "s2"]).where("id <> head").select(F.col("head").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
     late = spark.sparkContext.broadcast(_late(signed))
     anchors = max(1, (100 - threshold_percent) * grams // 100 + grams // L_SHARE)
     buckets = max(spark.sparkContext.defaultParallelism, -(-anchors // BUCKET_ANCHORS))
@@ -335,11 +356,44 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     pairs = runs.groupBy("bucket").applyInArrow(_bucket(lambda t: count_pairs(t, threshold_percent, buckets, digits)), _PAIRS)
     candidates = cut(pairs.groupBy("bucket").applyInArrow(_bucket(sum_pairs), "a bigint, b bigint"))
     placed = cut(_regions(candidates, named.groupBy("point").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("sets"))))
-    members = _members(docs, placed, named, n, digits)
-    near = members.groupBy("region", "part").applyInArrow(_bucket(lambda t: join_region(t, threshold_percent)), "doc_a bigint, doc_b bigint, jaccard double")
+    tiled = placed.where("tiles > 0").limit(1).count() > 0
+    return ids, heads, _members(docs.where("text is not null"), placed, named, n, digits), tiled
+
+
+def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(df[id_col].cast("bigint").alias("id"), df[text_col].cast("string").alias("text")).where("id is not null")
+
+
+def ngram_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold_percent: int = THRESHOLD_PERCENT) -> DataFrame:
+    """doc_a, doc_b, jaccard (see the module's text); near copies of one text are as many pairs as they are."""
+    ids, heads, members, _ = _parted(_documents(df, id_col, text_col), n, threshold_percent)
+    equal = ids.join(heads.drop("size"), ["s1", "s2"]).where("id <> head").select(F.col("head").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
+    near = members.groupBy("region", "part").applyInArrow(_bucket(lambda t: pairs_of_region(t, threshold_percent)), "doc_a bigint, doc_b bigint, jaccard double")
     return equal.union(near)
 
 
+def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold_percent: int = THRESHOLD_PERCENT) -> DataFrame:
+    """``id_col``, class_id, links and copies of each document (see the module's text)."""
+    docs = _documents(df, id_col, text_col)
+    ids, heads, members, tiled = _parted(docs, n, threshold_percent)
+    near = cut(members.groupBy("region", "part").applyInArrow(_bucket(lambda t: links_of_region(t, threshold_percent)), "s1 bigint, s2 bigint, head bigint, links bigint, root bigint"))
+    linked = near.groupBy("s1", "s2").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
+    sets = cut(ids.select("id", "s1", "s2").distinct())
+    sized = sets.groupBy("s1", "s2").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("members"))
+    found = sets.join(sized, ["s1", "s2"]).join(linked, ["s1", "s2"], "left")
+    found = found.select("id", "head", F.coalesce("root", "head").alias("class_id"), F.coalesce("links", F.lit(0).cast("bigint")).alias("links"), (F.col("members") - 1).alias("copies"))
+    several = sets.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count() > 0
+    if tiled or several:
+        # classes go on through tiles and through documents of several texts
+        edges = near.select(F.col("head").alias("a"), F.col("root").alias("b")).union(found.where("id <> head").select("id", "head"))
+        of = components(edges, "a", "b")
+        found = found.groupBy("id").agg(F.sum("links").alias("links"), F.sum("copies").alias("copies"))
+        found = found.join(of, found.id == of.node, "left").select("id", F.coalesce("root", "id").alias("class_id"), "links", "copies")
+    wordless = docs.select("id").distinct().join(sets.select("id").distinct(), "id", "left_anti")
+    rest = wordless.select("id", F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("links"), F.lit(0).cast("bigint").alias("copies"))
+    return found.select("id", "class_id", "links", "copies").union(rest).withColumnRenamed("id", id_col)
+
+
 _MEMBER = "region bigint, part bigint, tile int, point bigint, id bigint, grams binary"
 _TILE = 20
 
@@ -419,7 +473,8 @@ def _regions(candidates: DataFrame, sizes: DataFrame) -> DataFrame:
     return pairs.select(F.col("node").alias("point"), F.col("root").alias("region"), (F.shiftleft("tile", 2 * _TILE) + F.shiftleft(low, _TILE) + high).alias("tiles"))
 
 
-def join_region(table: pa.Table, threshold_percent: int) -> pa.Table:
+def _region(table: pa.Table, threshold_percent: int, listed: bool) -> tuple[Cells, list[tuple[int, int]], np.ndarray]:
+    """The joined sets of a region's part, their signatures and the smallest ids."""
     low, high = divmod(table.column("part")[0].as_py(), 1 << _TILE)
     sets, heads, tiles = [], [], []
     at: dict[tuple[int, int], int] = {}
@@ -431,28 +486,43 @@ def join_region(table: pa.Table, threshold_percent: int) -> pa.Table:
             heads.append(i)
             tiles.append(tile)
         heads[k] = min(heads[k], i)
-    cells = Cells(sets, threshold_percent)
+    cells = Cells(sets, threshold_percent, np.array(heads, dtype=np.int64), listed)
     if low == high:
         cells.pairs()
     else:
         tile = np.array(tiles)
         cells._report(np.flatnonzero(tile == low), np.flatnonzero(tile == high), False)
-    rows = [(min(heads[a], heads[b]), max(heads[a], heads[b]), j) for a, b, j in cells.found if heads[a] != heads[b]]
+    return cells, list(at), cells.heads
+
+
+def pairs_of_region(table: pa.Table, threshold_percent: int) -> pa.Table:
+    cells, _, heads = _region(table, threshold_percent, True)
+    rows = [(min(heads[a], heads[b]), max(heads[a], heads[b]), j) for a, b, j in cells.found]
     cols = list(zip(*rows)) or [(), (), ()]
     return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["doc_a", "doc_b", "jaccard"])
 
 
+def links_of_region(table: pa.Table, threshold_percent: int) -> pa.Table:
+    """The sets that have links here: how many, and the smallest id that they lead to."""
+    cells, keys, heads = _region(table, threshold_percent, False)
+    linked = np.flatnonzero(cells.links)
+    root = np.full(len(heads), np.iinfo(np.int64).max)
+    np.minimum.at(root, cells.parent, heads)
+    s1, s2 = (np.array([k[c] for k in keys], dtype=np.int64)[linked] for c in (0, 1))
+    return pa.table([pa.array(x) for x in (s1, s2, heads[linked], cells.links[linked], root[cells.parent[linked]])], names=["s1", "s2", "head", "links", "root"])
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold_percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """The rows of ``df``, all columns, without the documents that are linked by pairs to one of a smaller id; of repeated rows (one id) all stay."""
-    pairs = ngram_join(df, id_col, text_col, n, threshold_percent).select("doc_a", "doc_b")
-    of = cut(components(pairs, "doc_a", "doc_b").where("node <> root").select("node"))
+    """The rows of ``df``, all columns, without the documents that are in a class with one of a smaller id; of repeated rows (one id) all stay, and those with a null id."""
+    classes = ngram_join(df, id_col, text_col, n, threshold_percent)
+    of = cut(classes.where(F.col(id_col) > F.col("class_id")).select(F.col(id_col).alias("node")))
     return df.join(beside(of, of.count(), 16), df[id_col].cast("bigint") == of["node"], "left_anti")
 
 
 class Cells:
     """The exact self-join of some different sets, by recursive Voronoi cells and windows."""
 
-    def __init__(self, sets: list[np.ndarray], threshold_percent: int):
+    def __init__(self, sets: list[np.ndarray], threshold_percent: int, heads: np.ndarray | None = None, listed: bool = True):
         self.t, self.eps = threshold_percent, 1 - threshold_percent / 100 + 1e-9
         self.size = np.array([len(s) for s in sets], dtype=np.int64)
         grams = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -463,7 +533,11 @@ class Cells:
         cell, owner = number[back[shared]], owner[shared]
         self.offs = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(sets)))))
         self.cell = cell
-        self.found: list[tuple[int, int, float]] = []
+        self.heads = np.arange(len(sets)) if heads is None else heads
+        #: Pairs if they are listed; the links of each set and a set of its class if not.
+        self.listed, self.found = listed, []
+        self.links, self.parent = np.zeros(len(sets), dtype=np.int64), np.arange(len(sets))
+        self.parted = 0
 
     def pairs(self) -> list[tuple[int, int, float]]:
         self._join(np.arange(len(self.size)))
@@ -494,16 +568,22 @@ class Cells:
         return np.repeat(np.arange(len(a)), n), self.cell[at]
 
     def _report(self, a: np.ndarray, b: np.ndarray, same: bool) -> None:
-        for i in range(0, len(a), LEAF):
-            for j in range(i if same else 0, len(b), LEAF):
-                x, y = a[i : i + LEAF], b[j : j + LEAF]
+        for i in range(0, len(a), BLOCK):
+            for j in range(i if same else 0, len(b), BLOCK):
+                x, y = a[i : i + BLOCK], b[j : j + BLOCK]
                 common = self._overlap(x, y)
                 union = self.size[x][:, None] + self.size[y][None, :] - common
                 hit = common * 100 >= self.t * union
                 if same and i == j:
                     hit &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
-                for p, q in zip(*np.nonzero(hit)):
-                    self.found.append((int(x[p]), int(y[q]), float(common[p, q] / union[p, q])))
+                hit &= self.heads[x][:, None] != self.heads[y][None, :]
+                p, q = np.nonzero(hit)
+                if self.listed:
+                    self.found += zip(x[p].tolist(), y[q].tolist(), (common[p, q] / union[p, q]).tolist())
+                elif len(p):
+                    self.links[x] += hit.sum(axis=1)
+                    self.links[y] += hit.sum(axis=0)
+                    hang(self.parent, x[p], y[q])
 
     def _distance(self, a: np.ndarray, pivots: np.ndarray) -> np.ndarray:
         common = self._overlap(a, pivots)
@@ -525,6 +605,7 @@ class Cells:
         if np.bincount(home).max() > 0.9 * len(members):
             self._report(members, members, True)  # the pivots don't part these
             return
+        self.parted += 1
         for i in range(far.shape[1]):
             core = home == i
             if not core.any():
@@ -538,11 +619,17 @@ class Cells:
 def oracle_sql(n: int = N, threshold_percent: int = THRESHOLD_PERCENT) -> str:
     gap = tk.WORD_GAP
     return f"""
-WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '{gap}'), lambda x: x <> '') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '{gap}'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
   ELSE list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) END)) AS grams FROM w WHERE len(w) > 0),
-heads AS (SELECT min(doc_id) AS head, grams FROM s GROUP BY grams),
-equal AS (SELECT h.head AS doc_a, s.doc_id AS doc_b, 1.0::DOUBLE AS jaccard FROM s JOIN heads h ON s.grams = h.grams WHERE s.doc_id <> h.head),
+heads AS (SELECT min(doc_id) AS head, count(*) - 1 AS copies, grams FROM s GROUP BY grams),
+member AS (SELECT s.doc_id, h.head, h.copies FROM s JOIN heads h ON s.grams = h.grams),
 g AS (SELECT head, len(grams) AS n, unnest(grams) AS gram FROM heads),
-common AS (SELECT a.head AS doc_a, b.head AS doc_b, a.n AS na, b.n AS nb, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.head < b.head GROUP BY ALL)
-SELECT * FROM equal UNION ALL SELECT doc_a, doc_b, c / (na + nb - c) FROM common WHERE c * 100 >= {threshold_percent} * (na + nb - c)"""
+common AS (SELECT a.head AS doc_a, b.head AS doc_b, a.n AS na, b.n AS nb, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.head < b.head GROUP BY ALL),
+near AS (SELECT doc_a, doc_b FROM common WHERE c * 100 >= {threshold_percent} * (na + nb - c)),
+edge AS (SELECT doc_a AS a, doc_b AS b FROM near UNION SELECT doc_b, doc_a FROM near),
+reach AS (SELECT head AS node, head AS root FROM heads UNION SELECT e.b, r.root FROM reach r JOIN edge e ON e.a = r.node WHERE e.b > r.root),
+class AS (SELECT node, min(root) AS class_id FROM reach GROUP BY node),
+degree AS (SELECT a, count(*) AS links FROM edge GROUP BY a)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(g.links, 0) AS links, coalesce(m.copies, 0) AS copies
+FROM documents d LEFT JOIN member m USING (doc_id) LEFT JOIN class c ON c.node = m.head LEFT JOIN degree g ON g.a = m.head"""
