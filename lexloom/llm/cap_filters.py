@@ -18,25 +18,34 @@ Vectors of each width have filters of their own (a filter's number holds the
 width), so they are joined among themselves.  Of a width that has no more
 vectors than parts, all share one filter: a rotation would cost more.
 
-A pair with several filters in common is reported by the smallest of them.  A filter with more than ``tile`` vectors (copies of one
-vector fall into the same caps) is cut into tiles by a hash of the vector's id,
+Equal vectors are one from the start: only the one of the smallest id is compared.
+A pair with several filters in common counts in the smallest of them.  A filter
+with more than ``tile`` vectors is cut into tiles by a hash of the vector's id,
 and each pair of tiles is a group of its own: no candidate is dropped and no
 task holds more than two tiles.
 
+Result of ``near_vectors``: one row for each id: class_id, the smallest id of its class
+(vectors that are linked by close pairs, directly or through others); links, the
+number of different vectors that its own is close to; and copies, the number of
+other ids of an equal vector.  Groups give links and local classes, never pairs.
+``near_pairs`` lists the pairs of different vectors instead (by their smallest ids), and
+each set of equal ones as a star: its smallest id with each other id.
+
 The search is approximate: with the default parameters a pair at the threshold
 is found with a chance of more than 0.95, closer pairs more surely.  The share of
 the sphere in a cap of a given alpha shrinks as vectors get wider, so unless it
-is given, alpha follows the width: up to ``WIDTH`` it is ``ALPHA``, beyond, that
-of caps with the same share, so that vectors of any width have about as many
-filters and pairs are found as surely.
-
-Defined cases: rows with a null id or vector are left out, as are vectors that
-have a null or non-finite part or no length; vectors of different widths are
-never paired; vectors are compared by direction, so they needn't be of
-unit length; repeated rows add nothing, and no id is paired with itself; rows of
-one id with different vectors are matched separately and pairs given once, at
-the largest cosine; a pair exactly at the threshold is found; with no rows there
-are no pairs; other columns are dropped.
+is given, alpha follows the width: up to ``WIDTH`` it is ``ALPHA`` (with fewer
+codewords), beyond, that of caps with the same share, so that vectors of any width
+have about as many filters and pairs are found as surely.
+
+Defined cases: rows with a null id are left out; a null vector, one that has a
+null or non-finite part and one without length is a class of its own without
+links; vectors of different widths are never paired; vectors are compared by
+direction, so they needn't be of unit length; repeated rows add nothing, and no id
+is paired with itself; an id with different vectors is one row, whose links and
+copies are added up, and its pairs are given once, at the largest cosine; a pair
+exactly at the threshold is found; with no rows there is no result; other columns
+are dropped.
 """
 
 from __future__ import annotations
@@ -49,6 +58,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import components, hang
 from .session import beside, cut
 
 THRESHOLD, ALPHA, BLOCKS, CODES, TURNS, SEED, TILE = 0.9, 0.4, 2, 48, 16, 5, 1024
@@ -73,11 +83,22 @@ def alpha_of(width: int) -> float:
     return float(np.cos(np.interp(wanted, share, angles)))
 
 
+def codes_of(width: int, turns: int = TURNS, blocks: int = BLOCKS) -> int:
+    """Codewords of a block; fewer for narrow vectors, of which a cap holds more, so that they have about as many filters as those of ``WIDTH``."""
+    if width >= WIDTH:
+        return CODES
+    angles, share = _caps(WIDTH)
+    wanted = np.interp(np.arccos(ALPHA), angles, share) * CODES**blocks
+    angles, share = _caps(max(width, 2))
+    return max(2, round((wanted / np.interp(np.arccos(ALPHA), angles, share)) ** (1 / blocks)))
+
+
 class Code:
     """The product codes of one width."""
 
-    def __init__(self, width: int, alpha: float | None = None, blocks: int = BLOCKS, codes: int = CODES, turns: int = TURNS, seed: int = SEED):
+    def __init__(self, width: int, alpha: float | None = None, blocks: int = BLOCKS, codes: int | None = None, turns: int = TURNS, seed: int = SEED):
         rng = np.random.Generator(np.random.PCG64([seed, width]))
+        codes = codes_of(width, turns, blocks) if codes is None else codes
         self.blocks, self.codes, self.alpha, self.turns = blocks, codes, alpha_of(width) if alpha is None else alpha, []
         padded = -(-width // blocks) * blocks
         for _ in range(turns):
@@ -114,80 +135,144 @@ def _code(*parameters) -> Code:
 
 
 def _unit(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and unit vectors of the valid rows."""
-    ids, lists = batch.column(0), batch.column(1)
+    """Places and unit vectors of the rows of this width."""
+    lists = batch.column(1)
     keep = np.flatnonzero(np.array(lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)) == width)
     kept = lists.take(pa.array(keep))
     flat = kept.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keep), width)
     size = np.sqrt((flat * flat).sum(axis=1))
     good = np.isfinite(size) & (size > 0)
-    return ids.take(pa.array(keep[good])).to_numpy(zero_copy_only=False), flat[good] / size[good, None]
+    return keep[good], flat[good] / size[good, None]
 
 
-def near_pairs(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, alpha: float | None = None, blocks: int = BLOCKS, codes: int = CODES, turns: int = TURNS, seed: int = SEED, tile: int = TILE) -> DataFrame:
-    """vec_a < vec_b and cosine (six decimals) of the pairs found (see the module's text)."""
-    rows = df.select(df[id_col].cast("bigint").alias("id"), df[vector_col].cast("array<double>").alias("vector")).where("id is not null and vector is not null")
+def _sets(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (id, key, key2, vector); head and members of each set of equal vectors that can be compared; and the rows that are compared."""
+    named = df.select(df[id_col].cast("bigint").alias("id"), df[vector_col].cast("array<float>").alias("vector")).where("id is not null")
+    # equal parts have equal digests; 0.0 and -0.0 are told apart, but are found to be close
+    rows = named.withColumn("key", F.xxhash64("vector")).withColumn("key2", F.xxhash64("vector", F.lit(1)))
+    sound = F.exists("vector", lambda x: x != 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = rows.where("vector is not null").where(F.coalesce(sound, F.lit(False)))
+    sets = cut(rows.select("id", "key", "key2").distinct())
+    heads = sets.groupBy("key", "key2").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("members"))
+    copies = cut(sets.join(heads.where("members > 1"), ["key", "key2"]).where("id <> head").select("id", "key"))
+    compared = rows.join(beside(copies, copies.count(), 32), ["id", "key"], "left_anti") if copies.take(1) else rows
+    return named, sets.join(heads, ["key", "key2"]), compared
+
+
+def _grouped(rows: DataFrame, alpha: float | None, blocks: int, codes: int | None, turns: int, seed: int, tile: int) -> DataFrame:
+    """The compared vectors in each of their filters and pairs of tiles."""
     counted = rows.groupBy(F.size("vector").alias("width")).agg(F.count(F.lit(1)).alias("n"))
     many = {r.width for r in counted.where("n > width and width > 0").collect()}
-    rows = rows.select("id", F.col("vector").cast("array<float>"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
                 part = batch.slice(a, 2000)
                 for width in part.column(1).value_lengths().unique().to_pylist():
-                    ids, unit = _unit(part, width) if width else ((), ())
-                    if not len(ids):
+                    places, unit = _unit(part, width) if width else ((), ())
+                    if not len(places):
                         continue
                     if width in many:
                         row, number = _code(width, alpha, blocks, codes, turns, seed).decode(unit)
                     else:
-                        row, number = np.arange(len(ids)), np.zeros(len(ids), dtype=np.int64)
+                        row, number = np.arange(len(places)), np.zeros(len(places), dtype=np.int64)
                     if not len(row):
                         continue
-                    number = number + width * turns * codes**blocks
-                    offs = np.searchsorted(row, np.arange(len(ids) + 1))
-                    lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(number))
-                    raw = pa.array([v.tobytes() for v in unit.astype(np.float64)], pa.binary())
-                    at = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(ids[row]), lists.take(at), raw.take(at)], names=["filter", "id", "filters", "vector"])
-
-    members = rows.mapInArrow(spread, "filter bigint, id bigint, filters array<bigint>, vector binary")
+                    number = number + width * turns * (codes or CODES) ** blocks
+                    at = pa.array(places[row])
+                    # the smaller filters of the same vector, to know where a pair counts
+                    own = np.searchsorted(row, row)
+                    before = np.arange(len(row)) - own
+                    ends = np.cumsum(before)
+                    flat = number[np.repeat(own, before) + np.arange(ends[-1]) - np.repeat(ends - before, before)]
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(flat))
+                    yield pa.RecordBatch.from_arrays([pa.array(number), part.column(0).take(at), part.column(2).take(at), lists, part.column(1).take(at)], names=["filter", "id", "key", "filters", "vector"])
+
+    members = rows.select("id", "vector", "key").mapInArrow(spread, "filter bigint, id bigint, key bigint, filters array<bigint>, vector array<float>")
     # only (filter, id) is counted, so that the sizes of filters cost no shuffle of vectors
     sizes = cut(members.groupBy("filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     tiles = sizes.select("filter", F.ceil(F.col("n") / tile).alias("tiles"))
     placed = members.join(beside(tiles, sizes.count(), 40), "filter").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
     other = F.explode(F.expr("sequence(0L, tiles - 1)"))
-    grouped = placed.withColumn("other", other).select("filter", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "id", "filters", "vector")
+    return placed.withColumn("other", other).select("filter", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "id", "key", "filters", "vector")
 
-    def join(table: pa.Table) -> pa.Table:
-        return join_tiles(table, threshold)
 
-    found = grouped.groupBy("filter", "low", "high").applyInArrow(join, "vec_a bigint, vec_b bigint, cosine double")
-    # distinct ids have one row a pair already, unless an id has several vectors or repeated rows
-    return found.groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
+def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, alpha: float | None = None, blocks: int = BLOCKS, codes: int | None = None, turns: int = TURNS, seed: int = SEED, tile: int = TILE) -> DataFrame:
+    """``id_col``, class_id, links and copies of each vector (see the module's text)."""
+    named, sets, compared = _sets(df, id_col, vector_col)
+    grouped = _grouped(compared, alpha, blocks, codes, turns, seed, tile)
+    near = cut(grouped.groupBy("filter", "low", "high").applyInArrow(lambda t: links_of_tiles(t, threshold), "id bigint, key bigint, links bigint, root bigint"))
+    linked = near.groupBy("id", "key").agg(F.sum("links").alias("links")).withColumnRenamed("id", "head")
+    edges = near.select(F.col("id").alias("a"), F.col("root").alias("b")).union(sets.where("id <> head").select("id", "head"))
+    found = sets.join(linked, ["head", "key"], "left").groupBy("id").agg(F.sum(F.coalesce("links", F.lit(0))).alias("links"), F.sum(F.col("members") - 1).alias("copies"))
+    # rows without a vector that can be compared, too
+    found = named.select("id").distinct().join(found, "id", "left").join(components(edges, "a", "b").withColumnRenamed("node", "id"), "id", "left")
+    none = F.lit(0).cast("bigint")
+    return found.select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("class_id"), F.coalesce("links", none).alias("links"), F.coalesce("copies", none).alias("copies"))
 
 
-def join_tiles(table: pa.Table, threshold: float) -> pa.Table:
-    """The close pairs of one filter and pair of tiles whose smallest common filter it is."""
+def near_pairs(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, alpha: float | None = None, blocks: int = BLOCKS, codes: int | None = None, turns: int = TURNS, seed: int = SEED, tile: int = TILE) -> DataFrame:
+    """vec_a < vec_b and cosine (six decimals) of the pairs found (see the module's text)."""
+    _, sets, compared = _sets(df, id_col, vector_col)
+    grouped = _grouped(compared, alpha, blocks, codes, turns, seed, tile)
+    found = grouped.groupBy("filter", "low", "high").applyInArrow(lambda t: pairs_of_tiles(t, threshold), "vec_a bigint, vec_b bigint, cosine double")
+    equal = sets.where("id <> head").select(F.col("head").alias("vec_a"), F.col("id").alias("vec_b"), F.lit(1.0).alias("cosine"))
+    # different ids have one row a pair already, unless an id has several vectors
+    return found.union(equal).groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
+
+
+def _close(table: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """x, y, cosine of the close pairs of rows, once each, and whether this is the smallest filter of both."""
     number, low, high = (table.column(c)[0].as_py() for c in ("filter", "low", "high"))
-    ids = table.column("id").to_numpy()
-    vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), dtype=np.float64).reshape(len(ids), -1)
-    filters = [set(x) for x in table.column("filters").to_pylist()]
-    tile = table.column("tile").to_numpy()
-    a = np.flatnonzero(tile == low)
-    b = a if low == high else np.flatnonzero(tile == high)
-    out: dict[tuple[int, int], float] = {}
+    ids, keys, tile = (table.column(c).to_numpy() for c in ("id", "key", "tile"))
+    vectors = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+    vectors = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    lists = table.column("filters").combine_chunks()
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    smaller = np.full((len(ids), max(1, size.max(initial=1))), -1, dtype=np.int64)
+    smaller[np.arange(smaller.shape[1]) < size[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    # repeated rows
+    once = np.unique(np.column_stack((ids, keys)), axis=0, return_index=True)[1]
+    a = once[tile[once] == low]
+    b = a if low == high else once[tile[once] == high]
     for start in range(0, len(a), 256):
         rows = a[start : start + 256]
         close = vectors[rows] @ vectors[b].T
-        for i, j in zip(*np.nonzero(close >= threshold - 1e-9)):
-            x, y = int(rows[i]), int(b[j])
-            if ids[x] == ids[y] or (low == high and x >= y) or min(filters[x] & filters[y]) != number:
-                continue
-            key = (min(ids[x], ids[y]), max(ids[x], ids[y]))
-            cosine = round(float(close[i, j]), 6)
-            out[key] = max(out.get(key, -2.0), cosine)
+        hit = (close >= threshold - 1e-9) & (ids[rows][:, None] != ids[b][None, :])
+        if low == high:
+            hit &= rows[:, None] < b[None, :]
+        i, j = np.nonzero(hit)
+        first = np.ones(len(i), dtype=bool)
+        for k in range(0, len(i), 4096):
+            p, q = smaller[rows[i[k : k + 4096]]], smaller[b[j[k : k + 4096]]]
+            first[k : k + 4096] = ~((p[:, :, None] == q[:, None, :]) & (p >= 0)[:, :, None]).any(axis=(1, 2))
+        if len(i):
+            yield rows[i], b[j], close[i, j], first
+
+
+def links_of_tiles(table: pa.Table, threshold: float) -> pa.Table:
+    """The vectors that are close to others here: how many whose smallest common filter this is, and the smallest id that they lead to."""
+    ids = table.column("id").to_numpy()
+    links, parent = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
+    for x, y, _, first in _close(table, threshold):
+        np.add.at(links, x[first], 1)
+        np.add.at(links, y[first], 1)
+        hang(parent, x, y)
+    root = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(root, parent, ids)
+    root = root[parent]
+    kept = np.flatnonzero((links > 0) | (root != ids))
+    return pa.table([pa.array(x[kept]) for x in (ids, table.column("key").to_numpy(), links, root)], names=["id", "key", "links", "root"])
+
+
+def pairs_of_tiles(table: pa.Table, threshold: float) -> pa.Table:
+    """The close pairs of one filter and pair of tiles whose smallest common filter it is."""
+    ids = table.column("id").to_numpy()
+    out: dict[tuple[int, int], float] = {}
+    for x, y, cosine, first in _close(table, threshold):
+        a, b = ids[x[first]], ids[y[first]]
+        for key, c in zip(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()), np.round(cosine[first], 6).tolist()):
+            out[key] = max(out.get(key, -2.0), c)
     keys = list(out)
     return pa.table([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([out[k] for k in keys], pa.float64())], names=["vec_a", "vec_b", "cosine"])
 
@@ -195,6 +280,12 @@ def join_tiles(table: pa.Table, threshold: float) -> pa.Table:
 def oracle_sql(threshold: float = THRESHOLD) -> str:
     """All pairs, by brute force."""
     return f"""
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
-p AS (SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id < b.vec_id)
-SELECT vec_a, vec_b, round(max(c), 6) AS cosine FROM p WHERE c >= {threshold} - 1e-9 GROUP BY ALL"""
+WITH RECURSIVE heads AS (SELECT min(vec_id) AS head, count(*) - 1 AS copies, embedding AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL GROUP BY embedding),
+e AS (SELECT head, v::DOUBLE[] AS e FROM heads),
+near AS (SELECT a.head AS a, b.head AS b FROM e a JOIN e b ON a.head < b.head AND list_cosine_similarity(a.e, b.e) >= {threshold} - 1e-9),
+edge AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT head AS node, head AS root FROM heads UNION SELECT e.b, r.root FROM reach r JOIN edge e ON e.a = r.node WHERE e.b > r.root),
+class AS (SELECT node, min(root) AS class_id FROM reach GROUP BY node),
+degree AS (SELECT a, count(*) AS links FROM edge GROUP BY a)
+SELECT d.vec_id, coalesce(c.class_id, d.vec_id) AS class_id, coalesce(g.links, 0) AS links, coalesce(h.copies, 0) AS copies
+FROM embeddings d LEFT JOIN heads h ON h.v = d.embedding LEFT JOIN class c ON c.node = h.head LEFT JOIN degree g ON g.a = h.head"""

@@ -29,7 +29,7 @@ def op5_packing(spark, sf_dir):
 
 
 def op6_near_embeddings(spark, sf_dir):
-    return cap_filters.near_pairs(read(spark, sf_dir, "embeddings"))
+    return cap_filters.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
 def op7_language_id(spark, sf_dir):
