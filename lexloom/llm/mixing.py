@@ -48,7 +48,9 @@ def _source(name: Column) -> Column:
 
 
 def _unit(ident: Column, text: Column) -> Column:
-    return F.coalesce(F.xxhash64(ident.cast("bigint")), F.xxhash64(F.coalesce(text.cast("string"), F.lit("")), F.lit(1)))
+    # a hash of null isn't null
+    by_text = F.xxhash64(F.coalesce(text.cast("string"), F.lit("")), F.lit(1))
+    return F.when(ident.cast("bigint").isNotNull(), F.xxhash64(ident.cast("bigint"))).otherwise(by_text)
 
 
 def _mix_int(x: int) -> int:
