@@ -20,7 +20,8 @@ its own, in parallel: this costs at most one partly filled bin a group.  Every
 group is a fixed amount of work, whatever the size of the table, and its bins
 don't depend on partitions or retries.
 
-Defined cases: rows with a null id are left out; null and empty texts have no
+Defined cases: documents and turns with a null id are examples of their own, those of
+equal text (and turn and role) pieces of one; null and empty texts have no
 tokens (a segment is counted all the same); turns are ordered by number, null
 first, then role and text, and a turn that is repeated as it is counts once; rows
 of one id (documents) are pieces of their own, numbered on in the order of their
@@ -44,7 +45,7 @@ from .token_counts import VOCABULARY, count_slice, counter
 
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS, GROUP = 4096, 64, 3072, 4096
 LOSS_ROLES = ("assistant",)
-_PIECES = "id bigint, piece bigint, first_segment bigint, first_token bigint, tokens bigint, segments bigint, loss bigint"
+_PIECES = "id bigint, key bigint, piece bigint, first_segment bigint, first_token bigint, tokens bigint, segments bigint, loss bigint"
 
 
 def checked(limits: tuple[int, int, int]) -> tuple[int, int, int]:
@@ -118,7 +119,7 @@ def pack_pieces(found: DataFrame, limits: tuple[int, int, int], group: int) -> D
     groups = max(1, -(-found.count() // group))
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("id", "ascending"), ("piece", "ascending")])
+        table = table.sort_by([("id", "ascending"), ("key", "ascending"), ("piece", "ascending")])
         demand = np.column_stack([table.column(c).to_numpy() for c in ("tokens", "segments", "loss")])
         bins = pack(demand, limits)
         order = np.argsort(bins, kind="stable")
@@ -126,7 +127,7 @@ def pack_pieces(found: DataFrame, limits: tuple[int, int, int], group: int) -> D
         table = table.take(pa.array(order))
         return table.append_column("bin", pa.array(bins[order].astype(np.int64))).append_column("slot", pa.array((np.arange(len(order)) - first).astype(np.int64)))
 
-    placed = found.withColumn("bin_group", F.pmod(F.xxhash64("id", "piece"), F.lit(groups)))
+    placed = found.withColumn("bin_group", F.pmod(F.xxhash64("key", "piece"), F.lit(groups)))
     return placed.groupBy("bin_group").applyInArrow(run, f"{_PIECES}, bin_group bigint, bin bigint, slot bigint")
 
 
@@ -148,16 +149,16 @@ def _tokens(df: DataFrame, vocabulary: str) -> DataFrame:
 def pack_conversations(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, loss_roles: tuple[str, ...] = LOSS_ROLES, group: int = GROUP, vocabulary: str = VOCABULARY) -> DataFrame:
     """A row for each piece: bin_group and bin, slot in it, conv_id, piece, where it starts and what it takes."""
     limits = checked((max_tokens, max_segments, max_loss))
-    rows = df.select(df[id_col].cast("bigint").alias("id"), df[turn_col].cast("bigint").alias("turn"), df[role_col].cast("string").alias("role"), df[text_col].cast("string").alias("text")).where("id is not null")
-    counted = _tokens(rows.withColumn("digest", F.md5(F.coalesce("text", F.lit("")))), vocabulary)
+    rows = df.select(df[id_col].cast("bigint").alias("id"), df[turn_col].cast("bigint").alias("turn"), df[role_col].cast("string").alias("role"), df[text_col].cast("string").alias("text"))
+    counted = _tokens(rows.withColumn("digest", F.md5(F.coalesce("text", F.lit("")))).withColumn("key", F.coalesce("id", F.xxhash64("turn", "role", "digest"))), vocabulary)
     turn = F.struct("turn", "role", "digest", "n_tokens", F.coalesce(F.col("role").isin(*loss_roles), F.lit(False)).alias("bears"))
-    examples = counted.groupBy("id").agg(F.sort_array(F.collect_set(turn)).alias("turns")).select("id", F.expr("transform(turns, t -> struct(t.n_tokens, t.bears))").alias("turns"))
+    examples = counted.groupBy("id", "key").agg(F.sort_array(F.collect_set(turn)).alias("turns")).select("id", "key", F.expr("transform(turns, t -> struct(t.n_tokens, t.bears))").alias("turns"))
 
     def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows += [(i, k, *p) for k, p in enumerate(pieces([(t["n_tokens"], t["bears"]) for t in turns], limits))]
+            for i, key, turns in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                rows += [(i, key, k, *p) for k, p in enumerate(pieces([(t["n_tokens"], t["bears"]) for t in turns], limits))]
             if rows:
                 yield _piece_batch(rows)
 
@@ -168,15 +169,16 @@ def pack_conversations(df: DataFrame, id_col: str = "conv_id", turn_col: str = "
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_TOKENS, group: int = GROUP, vocabulary: str = VOCABULARY) -> DataFrame:
     """As pack_conversations, for documents whose every token bears loss."""
     limits = checked((max_tokens, max_segments, max_loss))
-    rows = df.select(df[id_col].cast("bigint").alias("id"), df[text_col].cast("string").alias("text")).where("id is not null")
-    examples = _tokens(rows, vocabulary).groupBy("id").agg(F.sort_array(F.collect_list("n_tokens")).alias("sizes"))
+    rows = df.select(df[id_col].cast("bigint").alias("id"), df[text_col].cast("string").alias("text"))
+    keyed = rows.withColumn("key", F.coalesce("id", F.xxhash64(F.coalesce("text", F.lit("")))))
+    examples = _tokens(keyed, vocabulary).groupBy("id", "key").agg(F.sort_array(F.collect_list("n_tokens")).alias("sizes"))
 
     def cutting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, sizes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, key, sizes in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 own = [p for n in sizes for p in pieces([(n, True)], limits)]
-                rows += [(i, k, *p) for k, p in enumerate(own)]
+                rows += [(i, key, k, *p) for k, p in enumerate(own)]
             if rows:
                 yield _piece_batch(rows)
 
@@ -185,4 +187,4 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["id", "piece", "first_segment", "first_token", "tokens", "segments", "loss"])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["id", "key", "piece", "first_segment", "first_token", "tokens", "segments", "loss"])

@@ -74,6 +74,9 @@ def test_given_weights_and_odd_rows(spark):
     assert by[(3, "y")] == 0 and by[(4, "z")] == 1 and by[(5, None)] in (2, 3)
     assert len({r.copies for r in got if r.doc_id == 1}) == 1
     assert len({r.copies for r in got if r.doc_id is None}) == 1
+    lone = [(None, "y" * n, "x") for n in range(20, 60)]
+    apart = [sorted((r.copies) for r in mixing.mix_counts(docs(spark, lone), weights={"x": 1.0}, scale=0.5, seed=s).collect()) for s in (1, 2)]
+    assert all(0 < sum(c) < 40 and set(c) == {0, 1} for c in apart)  # null ids are decided text by text
     mixed = mixing.mix(df, weights={"x": 1.0, None: 1.0})
     assert mixed.columns == df.columns
     want = Counter({(r.doc_id, r.source): 0 for r in got})
@@ -140,7 +143,7 @@ def turns(spark, rows):
 def test_conversations_are_placed_once_and_whole(spark):
     rng = random.Random(5)
     rows = [(c, t, ("user", "assistant")[t % 2], "word " * rng.randrange(0, 40)) for c in range(60) for t in range(rng.randrange(1, 6))]
-    rows += [(100, 0, "user", "long " * 900), (101, 0, None, None), (None, 0, "user", "lost"), (102, None, "assistant", "hi"), (102, None, "assistant", "hi")]
+    rows += [(100, 0, "user", "long " * 900), (101, 0, None, None), (None, 0, "user", "lost"), (102, None, "assistant", "hi"), (102, None, "assistant", "hi"), (None, 0, "user", "lost again")]
     out = packing.pack_conversations(turns(spark, rows), max_tokens=200, max_segments=8, max_loss=120, group=20).collect()
     bins, tokens = {}, Counter()
     for r in out:
@@ -150,23 +153,24 @@ def test_conversations_are_placed_once_and_whole(spark):
         tokens[r.conv_id] += r.tokens
     assert all(a <= 200 and b <= 8 and c <= 120 for a, b, c in bins.values())
     encoder = chat_tree.encoding(VOCABULARY)
-    want = Counter({c: 0 for c, *_ in rows if c is not None})
+    want = Counter({c: 0 for c, *_ in rows})
     for c, _, _, t in set(rows):
-        if c is not None:
-            want[c] += len(encoder.encode_ordinary(t or ""))
+        want[c] += len(encoder.encode_ordinary(t or ""))
     assert tokens == want and set(tokens) == set(want)
-    assert len(out) == len({(r.conv_id, r.piece) for r in out})
+    assert len([r for r in out if r.conv_id is None]) == 2
+    assert len(out) - 1 == len({(r.conv_id, r.piece) for r in out})
     again = packing.pack_conversations(turns(spark, rows[::-1]).repartition(7), max_tokens=200, max_segments=8, max_loss=120, group=20)
-    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, out))
+    assert sorted(map(str, again.collect())) == sorted(map(str, out))
     assert packing.pack_conversations(turns(spark, [])).count() == 0
     with pytest.raises(ValueError):
         packing.pack_conversations(turns(spark, []), max_tokens=0)
 
 
 def test_documents_of_one_id_are_all_placed(spark):
-    rows = [(1, "one two three"), (1, "one two three"), (2, None), (None, "x"), (3, "word " * 500)]
+    rows = [(1, "one two three"), (1, "one two three"), (2, None), (None, "x"), (None, "one two"), (None, "x"), (3, "word " * 500)]
     out = packing.pack_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), max_tokens=100).collect()
-    assert sorted((r.doc_id, r.tokens) for r in out if r.doc_id < 3) == [(1, 3), (1, 3), (2, 0)]
+    assert sorted((r.piece, r.tokens) for r in out if r.doc_id is None) == [(0, 1), (0, 2), (1, 1)]
+    assert sorted((r.doc_id, r.tokens) for r in out if (r.doc_id or 3) < 3) == [(1, 3), (1, 3), (2, 0)]
     assert sum(r.tokens for r in out if r.doc_id == 3) == 501 and all(r.tokens <= 100 for r in out)
     assert packing.pack_documents(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
