@@ -1,15 +1,16 @@
 """The corpus pipeline: five operators, each on all that the one before it kept.
 
-Toxic documents go, then those without a recognised language (the others are
+Toxic documents (by a lexicon fitted from the table labels) go, then those without a recognised language (the others are
 labelled with the language found), one document of each group of near copies
 stays, sources are mixed to target weights, and what is left is packed into bins.
 """
 
 from lexloom.llm import language, mixing, ngram_join, packing, toxicity
+from lexloom.llm.session import read
 
 
 def drop_toxic(spark, docs, sf_dir):
-    return toxicity.clean(docs)
+    return toxicity.clean(docs, lexicon=toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def identify_language(spark, docs, sf_dir):
