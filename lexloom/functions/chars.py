@@ -31,7 +31,7 @@ def trim(text: str) -> str:
 
 def lower(text: str) -> str:
     """Lower case by each character on its own (no final sigma, no expansion)."""
-    if text.isascii():
+    if text.isascii() or not ("Σ" in text or "İ" in text):
         return text.lower()
     return "".join(c if len(low := c.lower()) != 1 and c != "İ" else low[0] for c in text)
 

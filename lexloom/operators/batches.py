@@ -6,12 +6,19 @@ needs one number a batch (its longest sequence), found by a window over the batc
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.wordspans import word_spans
 from .models import Tokenizer
 
 IGNORE = -100
+#: Bytes of a bin by which spans are joined.
+BIN = 256
 
 
 def resolve_pad_id(model: Tokenizer, pad_token_id: int | None = None) -> int:
@@ -52,16 +59,37 @@ def collate_padded_batch(df: DataFrame, pad_token_id: int, batch_cols: tuple[str
 
 def causal_lm_labels(ids: Column, attention_mask: Column, ignore_index: int = IGNORE, zero_based: bool = False) -> Column:
     """Each id's label: the next id that isn't padding, as an array expression; the last one and padding have none."""
-    pairs = F.arrays_zip(ids.alias("i"), attention_mask.alias("m"))
     shift = 1 if zero_based else 0
 
+    # lambda variables hold what is evaluated once for a row, not once for each place in it
+    def told(z: Column) -> Column:
+        first = F.array_position(z["m"], 1)
+        count = F.aggregate(z["m"], F.lit(0), lambda a, m: a + m)
+        return F.struct(z["i"].alias("i"), z["m"].alias("m"), first.alias("first"), count.alias("count"))
+
+    def labelled(z: Column) -> Column:
+        # ids between paddings are looked up by their place, so that a long sequence costs no copying
+        def label(x: Column, k: Column) -> Column:
+            place = k + 1
+            return F.when((place >= z["first"]) & (place < z["first"] + z["count"] - 1), (F.get(z["i"], place.cast("int")) - shift).cast("int")).otherwise(F.lit(ignore_index))
+
+        inside = F.aggregate(F.slice(z["m"], F.greatest(z["first"], F.lit(1)).cast("int"), z["count"]), F.lit(0), lambda a, m: a + m)
+        unbroken = (F.size(z["i"]) == F.size(z["m"])) & ((z["count"] == 0) | (inside == z["count"]))
+        return F.when(unbroken, F.transform(z["i"], label)).otherwise(folded(z["i"], z["m"]))
+
     def step(acc: Column, x: Column) -> Column:
         # from the right: the label of x is the id seen last
-        label = F.when((x["m"] != 0) & acc["next"].isNotNull(), acc["next"] - shift).otherwise(F.lit(ignore_index))
-        return F.struct(F.concat(F.array(label), acc["out"]).alias("out"), F.when(x["m"] != 0, x["i"]).otherwise(acc["next"]).cast("int").alias("next"))
+        mine = F.when((x["m"] != 0) & acc["next"].isNotNull(), acc["next"] - shift).otherwise(F.lit(ignore_index))
+        return F.struct(F.concat(F.array(mine), acc["out"]).alias("out"), F.when(x["m"] != 0, x["i"]).otherwise(acc["next"]).cast("int").alias("next"))
+
+    def folded(i: Column, m: Column) -> Column:
+        start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(None).cast("int").alias("next"))
+        return F.aggregate(F.reverse(F.arrays_zip(i.alias("i"), m.alias("m"))), start, step, lambda acc: acc["out"])
 
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(None).cast("int").alias("next"))
-    return F.aggregate(F.reverse(pairs), start, step, lambda acc: acc["out"])
+    mask = F.transform(attention_mask, lambda m: (m != 0).cast("int"))
+    row = F.array(F.struct(ids.alias("i"), mask.alias("m")))
+    found = F.get(F.transform(F.transform(row, told), labelled), F.lit(0))
+    return F.when(ids.isNotNull() & attention_mask.isNotNull(), found)
 
 
 def causal_labels_long(tokens: DataFrame, sequence_cols: tuple[str, ...], pos_col: str = "pos", id_col: str = "token_id", mask_col: str | None = None, ignore_index: int = IGNORE, zero_based: bool = False) -> DataFrame:
@@ -114,47 +142,60 @@ def packed_ids(df: DataFrame, block_size: int, order_col: str, ids_col: str, pad
     placed = pack_blocks(sized, block_size, order_col, "_n", group_cols, sep)
     whole = placed.withColumn("_last", F.max(order_col).over(Window.partitionBy(*group_cols))) if sep and group_cols else placed.crossJoin(F.broadcast(sized.agg(F.max(order_col).alias("_last")))) if sep else placed
     ids = F.when(F.col(order_col) == F.col("_last"), F.col(ids_col)).otherwise(F.concat(F.col(ids_col), F.array(F.lit(separator_id)))) if sep else F.col(ids_col)
-    cells = whole.select(*group_cols, "start", F.posexplode(ids).alias("_k", "_id")).withColumn("_at", F.col("start") + F.col("_k"))
-    blocks = cells.groupBy(*group_cols, F.floor(F.col("_at") / block_size).alias("block")).agg(F.sort_array(F.collect_list(F.struct("_at", "_id"))).alias("_c"))
-    values = F.transform("_c", lambda c: c["_id"])
-    filled = blocks.withColumn("_n", F.size("_c")).withColumn("ids", _padded(values, F.lit(block_size), pad_token_id))
-    return filled.withColumn("attention_mask", _padded(F.array_repeat(F.lit(1), F.col("_n")), F.lit(block_size), 0)).drop("_c", "_n")
+    # a row for each piece of a sequence in a block, not for each token
+    sized = whole.select(*group_cols, "start", ids.alias("_ids")).withColumn("_stop", F.col("start") + F.size("_ids")).where("_stop > start")
+    spread = F.explode(F.sequence(F.floor(F.col("start") / block_size), F.floor((F.col("_stop") - 1) / block_size))).alias("block")
+    pieces = sized.select(*group_cols, "start", "_stop", "_ids", spread)
+    low, high = F.greatest("start", F.col("block") * block_size), F.least("_stop", (F.col("block") + 1) * block_size)
+    piece = F.slice("_ids", (low - F.col("start") + 1).cast("int"), (high - low).cast("int"))
+    blocks = pieces.select(*group_cols, "block", low.alias("_at"), piece.alias("_id")).groupBy(*group_cols, "block").agg(F.sort_array(F.collect_list(F.struct("_at", "_id"))).alias("_c"))
+    joined = blocks.withColumn("_v", F.flatten(F.transform("_c", lambda c: c["_id"]))).withColumn("_n", F.size("_v"))
+    filled = joined.withColumn("ids", _padded(F.col("_v"), F.lit(block_size), pad_token_id))
+    return filled.withColumn("attention_mask", _padded(F.array_repeat(F.lit(1), F.col("_n")), F.lit(block_size), 0)).drop("_c", "_n", "_v")
 
 
 def word_offsets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, word_index (from 1), word, start, stop: words with their spans of bytes, all in the JVM."""
-    from ..functions.chars import SPACE_CLASS
+    """id_col, word_index (from 1), word, start, stop: words with their spans of bytes.
+
+    Row by row over Arrow buffers, without a shuffle and in time proportional to the
+    texts, whatever their length; null and empty texts have no rows.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                row, start, stop, words = word_spans(part.column(1))
+                index = np.arange(len(row)) - np.searchsorted(row, row) + 1
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(index.astype(np.int64)), words, pa.array(start), pa.array(stop)], names=[id_col, "word_index", "word", "start", "stop"])
+
+    return df.select(df[id_col], df[text_col].cast("string")).mapInArrow(run, f"`{id_col}` {kind}, word_index bigint, word string, start bigint, stop bigint")
+
 
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<word:string,start:int,stop:int>>").alias("out"))
+def _binned(df: DataFrame, start: str, stop: str) -> DataFrame:
+    return df.where(F.col(stop) > F.col(start)).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / BIN), F.floor((F.col(stop) - 1) / BIN))))
 
-    def step(acc: Column, run: Column) -> Column:
-        stop = acc["at"] + F.octet_length(run)
-        found = F.struct(run.alias("word"), acc["at"].alias("start"), stop.alias("stop"))
-        return F.struct(stop.alias("at"), F.when(run.rlike(f"^[{SPACE_CLASS}]"), acc["out"]).otherwise(F.concat(acc["out"], F.array(found))).alias("out"))
 
-    # runs of a document are folded by lines, so that a long text costs no quadratic copying
-    lines = df.select(F.col(id_col), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("_line", "_text"))
-    order = Window.partitionBy(id_col).orderBy("_line").rowsBetween(Window.unboundedPreceding, -1)
-    based = lines.withColumn("_base", F.coalesce(F.sum(F.octet_length("_text") + 1).over(order), F.lit(0)))
-    runs = F.regexp_extract_all(F.col("_text"), F.lit(f"[^{SPACE_CLASS}]+|[{SPACE_CLASS}]+"), F.lit(0))
-    words = based.select(id_col, "_line", "_base", F.posexplode(F.aggregate(runs, start, step, lambda acc: acc["out"])).alias("_k", "w"))
-    index = F.row_number().over(Window.partitionBy(id_col).orderBy("_line", "_k"))
-    return words.select(id_col, index.cast("bigint").alias("word_index"), F.col("w.word").alias("word"), (F.col("_base") + F.col("w.start")).cast("bigint").alias("start"), (F.col("_base") + F.col("w.stop")).cast("bigint").alias("stop"))
+def _overlapping(left: DataFrame, right: DataFrame, id_col: str, spans: tuple[str, str, str, str]) -> DataFrame:
+    """Pairs of rows of one id whose spans overlap: joined by bins of the text, and given in the bin where the overlap starts."""
+    a, b, x, y = spans
+    pairs = _binned(left, a, b).join(_binned(right.withColumnRenamed(id_col, "_id"), x, y).withColumnRenamed("_bin", "_other"), (F.col(id_col) == F.col("_id")) & (F.col("_bin") == F.col("_other")))
+    both = (F.col(a) < F.col(y)) & (F.col(b) > F.col(x))
+    return pairs.where(both & (F.col("_bin") == F.floor(F.greatest(a, x) / BIN))).drop("_id", "_bin", "_other")
 
 
 def subword_to_word(tokens: DataFrame, words: DataFrame, id_col: str = "doc_id", pos_col: str = "pos") -> DataFrame:
     """id_col, pos_col, word_index: the word that contains a token, else the one it overlaps most, of equals the first."""
-    w = words.select(F.col(id_col).alias("_id"), F.col("word_index"), F.col("start").alias("_a"), F.col("stop").alias("_b"))
-    pairs = tokens.where("stop > start").join(w, (F.col(id_col) == F.col("_id")) & (F.col("start") < F.col("_b")) & (F.col("stop") > F.col("_a")))
-    inside = ((F.col("start") >= F.col("_a")) & (F.col("stop") <= F.col("_b"))).cast("int")
+    w = words.select(id_col, F.col("word_index"), F.col("start").alias("_a"), F.col("stop").alias("_b"))
+    pairs = _overlapping(tokens, w, id_col, ("start", "stop", "_a", "_b"))
+    inside = (F.col("start") >= F.col("_a")) & (F.col("stop") <= F.col("_b"))
     overlap = F.least("stop", "_b") - F.greatest("start", "_a")
-    best = Window.partitionBy(id_col, pos_col).orderBy(F.desc("_in"), F.desc("_over"), "word_index")
-    ranked = pairs.withColumns({"_in": inside, "_over": overlap}).withColumn("_k", F.row_number().over(best)).where("_k = 1")
-    return ranked.select(id_col, pos_col, "word_index")
+    # the largest of (contains, overlap, -index), combined before the shuffle
+    best = pairs.groupBy(id_col, pos_col).agg(F.max(F.struct(inside.alias("i"), overlap.alias("o"), (-F.col("word_index")).alias("w"))).alias("_best"))
+    return best.select(id_col, pos_col, (-F.col("_best.w")).alias("word_index"))
 
 
 def span_to_tokens(tokens: DataFrame, spans: DataFrame, id_col: str = "doc_id", pos_col: str = "pos") -> DataFrame:
     """Each labelled span (id_col, span_id, span_start, span_stop) with the tokens it overlaps."""
-    s = spans.withColumnRenamed(id_col, "_id")
-    pairs = tokens.join(s, (F.col(id_col) == F.col("_id")) & (F.least("stop", "span_stop") > F.greatest("start", "span_start")))
-    return pairs.select(id_col, "span_id", pos_col)
+    return _overlapping(tokens, spans, id_col, ("start", "stop", "span_start", "span_stop")).select(id_col, "span_id", pos_col)

@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import models
+from . import arrays, models
 from .models import Tokenizer
 from .pipeline_json import normalize as normalize_block
 
@@ -38,7 +39,12 @@ def tokenize(model: Tokenizer, text: Column) -> Column:
 
 
 def encode(model: Tokenizer, text: Column, add_special_tokens: bool = False) -> Column:
-    return _mapper(lambda t: model.encode(t, add_special_tokens), "array<int>")(text)
+    @F.arrow_udf("array<int>")
+    def run(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in values:
+            yield arrays.encoded(model, batch, add_special_tokens)
+
+    return F.when(text.isNotNull(), run(text))
 
 
 def decode(model: Tokenizer, ids: Column) -> Column:
@@ -48,12 +54,12 @@ def decode(model: Tokenizer, ids: Column) -> Column:
 def count_tokens(model: Tokenizer, text: Column) -> Column:
     """The number of ids, without making them into arrays for the JVM."""
 
-    @F.pandas_udf("bigint")
-    def run(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("bigint")
+    def run(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in values:
-            yield pd.Series([None if v is None else len(model.encode(v)) for v in batch], dtype="Int64")
+            yield arrays.counted(model, batch)
 
-    return run(text)
+    return F.when(text.isNotNull(), run(text))
 
 
 def normalize_text(text: Column, normalizer: Callable[[str], str] | None = None) -> Column:
@@ -86,21 +92,11 @@ def requires_tokenizer_normalization(model: Tokenizer) -> bool:
 
 def encode_result(model: Tokenizer, text: Column, add_special_tokens: bool = True, assume_normalized: bool = False, return_offsets: bool = False, return_masks: bool = False) -> Column:
     """The encoding as one struct; parts that aren't asked for are null."""
-    names = ("ids", "tokens", "offsets", "attention_mask", "token_type_ids", "special_tokens_mask")
 
-    @F.pandas_udf(ENCODING)
-    def run(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(ENCODING)
+    def run(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in values:
-            rows = []
-            for v in batch:
-                if v is None:
-                    rows.append((None,) * 6)
-                    continue
-                r = models.encode_result(model, v, add_special_tokens, assume_normalized, return_offsets, return_masks)
-                if r["offsets"] is not None:
-                    r["offsets"] = [{"start": a, "stop": b} for a, b in r["offsets"]]
-                rows.append(tuple(r[n] for n in names))
-            yield pd.DataFrame(rows, columns=list(names), dtype=object)
+            yield arrays.results(model, batch, add_special_tokens, assume_normalized, return_offsets, return_masks)
 
     return F.when(text.isNotNull(), run(text))
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 import math
 from functools import cached_property
 
+import pyarrow as pa
+
 from ..functions import chars
 from .vocabulary import Vocabulary
 
@@ -44,12 +46,21 @@ class Tokenizer:
         self.vocabulary, self.name, self.version = vocabulary, name, version
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("memo", "longest")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("memo", "id_memo", "names", "longest")}
 
     @cached_property
     def memo(self) -> Memo:
         return Memo(self.word_pieces)
 
+    @cached_property
+    def id_memo(self) -> Memo:
+        return Memo(lambda word: [self.token_to_id(p) for p in self.memo[word]])
+
+    @cached_property
+    def names(self) -> pa.Array:
+        """The token of each id, from id 1."""
+        return pa.array([self.id_to_token(i) for i in range(1, self.vocab_size() + 1)], pa.string())
+
     @cached_property
     def longest(self) -> int:
         """Characters of the longest token."""

@@ -362,27 +362,12 @@ def normalize(block: dict | None, text: str) -> str:
     return text if block is None else _NORMALIZE[block["type"]](block, text)
 
 
-def _is_punctuation(c: str) -> bool:
-    return not c.isalnum() and "!" <= c <= "~" or unicodedata.category(c)[0] == "P"
+_BERT_PIECE = regex.compile(r"[^\t-\r \x85\p{Zs}!-/:-@\[-`{-~\p{P}]+|[!-/:-@\[-`{-~\p{P}]")
 
 
 def bert_pieces(text: str) -> list[tuple[str, int]]:
     """Words and lone punctuation marks, with their first character's place."""
-    out: list[tuple[str, int]] = []
-    start = -1
-    for k, c in enumerate(text):
-        space = chars.is_space(c)
-        if space or _is_punctuation(c):
-            if start >= 0:
-                out.append((text[start:k], start))
-                start = -1
-            if not space:
-                out.append((c, k))
-        elif start < 0:
-            start = k
-    if start >= 0:
-        out.append((text[start:], start))
-    return out
+    return [(m.group(), m.start()) for m in _BERT_PIECE.finditer(text)]
 
 
 def _with_prefix(block: dict, text: str) -> str:
@@ -391,7 +376,7 @@ def _with_prefix(block: dict, text: str) -> str:
 
 _PRETOKENIZE = {
     "WhitespaceSplit": lambda b, t: t,
-    "BertPreTokenizer": lambda b, t: " ".join(p for p, _ in bert_pieces(t)),
+    "BertPreTokenizer": lambda b, t: " ".join(_BERT_PIECE.findall(t)),
     "ByteLevel": _with_prefix,
     "Metaspace": lambda b, t: _with_prefix(b, t).replace(" ", b["replacement"]),
     "Split": lambda b, t: _compiled(b["pattern"]).sub((lambda m: f" {m.group()} ") if b["behavior"] == "isolated" else " ", t),
