@@ -2,8 +2,8 @@
 
 Words are counted by Spark (combined before the shuffle), after which a trainer
 sees each distinct word once.  Merges are learned on the driver while there are at
-most DRIVER_WORDS distinct words, with an index from pairs to words that a merge
-updates; beyond, by a job a merge over the table of words.  Both give the same
+most DRIVER_WORDS distinct words, over arrays with an index from pairs to places, of which
+a merge touches its own; beyond, by a job a merge over the table of words.  Both give the same
 merges, as every tie is broken by the strings.  Unigram's expectation steps and
 candidate counts are always jobs; sums are of decimals, so that neither order nor
 partitioning changes a result.
@@ -17,7 +17,9 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ from . import pipeline_json as pj
 from .models import BPE, ByteBPE, SentencePiece, Tokenizer, Unigram, WordPiece
 from .vocabulary import Vocabulary
 
-#: Distinct words whose merges are learned on the driver (about 500 bytes each).
+#: Distinct words whose merges are learned on the driver (about 40 bytes a letter).
 DRIVER_WORDS = 2_000_000
 #: Jobs after which the table of words is written anew.
 CUT_EVERY = 16
@@ -164,71 +166,111 @@ def merged_symbols(symbols: Column, left: str, right: str, merged: str) -> Colum
 
 
 class PairIndex:
-    """Counts of adjacent symbols, kept up to date while pairs are merged."""
-
-    def __init__(self, words: list[tuple[list[str], int]]):
-        self.words = [list(w) for w, _ in words]
-        self.freq = [f for _, f in words]
-        self.count: dict[Pair, int] = defaultdict(int)
-        self.where: dict[Pair, set[int]] = defaultdict(set)
-        self.single: dict[str, int] = defaultdict(int)
-        for k, (w, f) in enumerate(words):
-            for s in w:
-                self.single[s] += f
-            for p in zip(w, w[1:]):
-                self.count[p] += f
-                self.where[p].add(k)
-        self.heap = [(-n, p) for p, n in self.count.items()]
-        heapq.heapify(self.heap)
+    """Counts of adjacent symbols, kept up to date while pairs are merged.
+
+    All words are one array of symbol numbers, linked to their neighbours; a merge
+    touches the places of its pair only, all of them at once.
+    """
+
+    def __init__(self, symbols: pa.Array, freq: np.ndarray):
+        coded = symbols.flatten().dictionary_encode()
+        self.names: list[str] = coded.dictionary.to_pylist()
+        self.number = {t: k for k, t in enumerate(self.names)}
+        sizes = symbols.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        # a place of -1 is before and after each word
+        at = np.arange(len(word)) + word + 1
+        n = len(word) + len(sizes) + 1
+        self.symbol = np.full(n, -1, dtype=np.int32)
+        self.symbol[at] = coded.indices.to_numpy(zero_copy_only=False)
+        self.freq = np.zeros(n, dtype=np.int64)
+        self.freq[at] = freq[word]
+        self.after = np.arange(1, n + 1, dtype=np.int32)
+        self.before = np.arange(-1, n - 1, dtype=np.int32)
+        self.single = np.bincount(self.symbol[at], weights=self.freq[at], minlength=len(self.names)).astype(np.int64).tolist()
+        self.slot: dict[int, int] = {}
+        self.codes: list[int] = []
+        self.counts = np.zeros(1024, dtype=np.int64)
+        self.where: dict[int, list[np.ndarray]] = defaultdict(list)
+        self.heap: list[tuple[int, Pair]] = []
+        self._count(at, 1)
+
+    def _code(self, pair: Pair) -> int:
+        return self.number[pair[0]] << 32 | self.number[pair[1]]
+
+    def _pair(self, code: int) -> Pair:
+        return self.names[code >> 32], self.names[code & 0xFFFFFFFF]
+
+    def _count(self, at: np.ndarray, sign: int) -> None:
+        """Adds or takes away the pairs that start at these places."""
+        left, right = self.symbol[at], self.symbol[self.after[at]]
+        there = (left >= 0) & (right >= 0)
+        at, codes = at[there], left[there].astype(np.int64) << 32 | right[there]
+        if not len(at):
+            return
+        order = np.argsort(codes, kind="stable")
+        at, codes = at[order], codes[order]
+        first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+        sums = np.add.reduceat(self.freq[at], first).tolist()
+        edges = [*first.tolist(), len(at)]
+        for k, code in enumerate(codes[first].tolist()):
+            slot = self.slot.get(code)
+            if slot is None:
+                slot = self.slot[code] = len(self.codes)
+                self.codes.append(code)
+                if slot == len(self.counts):
+                    self.counts = np.concatenate((self.counts, np.zeros_like(self.counts)))
+            self.counts[slot] += sign * sums[k]
+            if sign > 0:
+                self.where[code].append(at[edges[k] : edges[k + 1]])
+            if self.counts[slot] > 0:
+                heapq.heappush(self.heap, (-int(self.counts[slot]), self._pair(code)))
 
     def most_frequent(self) -> tuple[Pair | None, int]:
         while self.heap:
             n, p = self.heap[0]
-            if self.count.get(p, 0) == -n and n:
+            if self.counts[self.slot[self._code(p)]] == -n:
                 return p, -n
             heapq.heappop(self.heap)
         return None, 0
 
     def best_scored(self, least: int) -> tuple[Pair | None, int, float]:
-        found = None
-        for p, n in self.count.items():
-            if n >= max(least, 1):
-                key = (-(n / (float(self.single[p[0]]) * float(self.single[p[1]]))), -n, p)
-                if found is None or key < found:
-                    found = key
-        return (found[2], -found[1], -found[0]) if found else (None, 0, 0.0)
+        counts = self.counts[: len(self.codes)]
+        live = np.flatnonzero(counts >= max(least, 1))
+        if not len(live):
+            return None, 0, 0.0
+        codes, n = np.array(self.codes, dtype=np.int64)[live], counts[live]
+        single = np.array(self.single, dtype=np.float64)
+        scores = n / (single[codes >> 32] * single[codes & 0xFFFFFFFF])
+        best = scores.max()
+        count, pair = min((-int(n[k]), self._pair(int(codes[k]))) for k in np.flatnonzero(scores == best))
+        return pair, -count, float(best)
 
     def merge(self, pair: Pair, merged: str) -> None:
-        left, right = pair
-        changed: set[Pair] = set()
-        for k in sorted(self.where.pop(pair, ())):
-            word, f, out, i = self.words[k], self.freq[k], [], 0
-            while i < len(word):
-                if i + 1 < len(word) and word[i] == left and word[i + 1] == right:
-                    out.append(merged)
-                    i += 2
-                else:
-                    out.append(word[i])
-                    i += 1
-            joined = len(word) - len(out)
-            if not joined:
-                continue
-            for s, n in ((left, -joined), (right, -joined), (merged, joined)):
-                self.single[s] += n * f
-            for p in zip(word, word[1:]):
-                self.count[p] -= f
-                changed.add(p)
-            for p in zip(out, out[1:]):
-                self.count[p] += f
-                self.where[p].add(k)
-                changed.add(p)
-            self.words[k] = out
-        for p in changed:
-            if self.count[p] > 0:
-                heapq.heappush(self.heap, (-self.count[p], p))
-            else:
-                self.count.pop(p)
-                self.where.pop(p, None)
+        left, right = (self.number[x] for x in pair)
+        made = self.number.get(merged)
+        if made is None:
+            made = self.number[merged] = len(self.names)
+            self.names.append(merged)
+            self.single.append(0)
+        at = np.unique(np.concatenate(self.where.pop(self._code(pair), [np.zeros(0, np.int64)])))
+        at = at[(self.symbol[at] == left) & (self.symbol[self.after[at]] == right)]
+        if left == right and len(at):
+            # of a run of equal symbols every second place, from the left
+            fresh = np.concatenate(([True], self.after[at[:-1]] != at[1:]))
+            start = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+            at = at[(np.arange(len(at)) - start) % 2 == 0]
+        if not len(at):
+            return
+        second = self.after[at]
+        beyond = self.after[second]
+        self._count(np.unique(np.concatenate((self.before[at], at, second))), -1)
+        joined = int(self.freq[at].sum())
+        self.symbol[at], self.symbol[second] = made, -2
+        self.after[at], self.before[beyond] = beyond, at
+        for k, n in ((left, -joined), (right, -joined), (made, joined)):
+            self.single[k] += n
+        self._count(np.unique(np.concatenate((self.before[at], at))), 1)
 
 
 def learn_merges(symbols: DataFrame, tokens: list[str], vocab_size: int, least: int, prefix: str | None = None, driver_words: int = DRIVER_WORDS) -> tuple[list[Pair], list[float]]:
@@ -251,7 +293,7 @@ def learn_merges(symbols: DataFrame, tokens: list[str], vocab_size: int, least:
     try:
         if symbols.count() <= driver_words:
             rows = symbols.select("symbols", "freq").toArrow()
-            index = PairIndex(list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())))
+            index = PairIndex(rows.column(0).combine_chunks(), rows.column(1).to_numpy())
             while len(tokens) < vocab_size:
                 if prefix is None:
                     pair, n = index.most_frequent()

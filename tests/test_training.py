@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -182,3 +183,41 @@ def test_own_pretokenizer_is_noted(spark, tmp_path):
     result = tr.train_bpe_result(frame(spark, ["a-b a-b"]), vocab_size=20, pretokenizer=lambda t: t.replace("-", " ").split())
     assert {r.word for r in result.artifacts["word_counts"].collect()} == {"a", "b"}
     assert bundles.manifest_of(result, "bpe")["warnings"]
+
+
+def naive_merges(words, count, least, prefix=None):
+    """Every pair counted anew for every merge."""
+    words = [(list(w), f) for w, f in words]
+    out = []
+    for _ in range(count):
+        pairs, single = Counter(), Counter()
+        for w, f in words:
+            for s in w:
+                single[s] += f
+            for p in zip(w, w[1:]):
+                pairs[p] += f
+        pairs = {p: n for p, n in pairs.items() if n >= least}
+        if not pairs:
+            break
+        score = (lambda p: pairs[p] / (float(single[p[0]]) * float(single[p[1]]))) if prefix is not None else (lambda p: float(pairs[p]))
+        best = min(pairs, key=lambda p: (-score(p), -pairs[p], p))
+        out.append((best, score(best)))
+        made = best[0] + (best[1].removeprefix(prefix) if prefix is not None else best[1])
+        for w, _ in words:
+            i = 0
+            while i + 1 < len(w):
+                if (w[i], w[i + 1]) == best:
+                    w[i : i + 2] = [made]
+                i += 1
+    return out
+
+
+@pytest.mark.parametrize("prefix", [None, "##"])
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh"])
+def test_four_hundred_merges_are_those_of_naive_counts(spark, letters, prefix):
+    rng = random.Random(len(letters))
+    words = {"".join(rng.choice(letters) for _ in range(rng.randrange(1, 18))): rng.randrange(1, 50) for _ in range(500)}
+    rows = [([prefix + c if prefix and k else c for k, c in enumerate(w)], f) for w, f in words.items()]
+    merges, scores = tr.learn_merges(spark.createDataFrame(rows, "symbols array<string>, freq bigint"), [], 400, 1, prefix)
+    want = naive_merges(rows, len(merges), 1, prefix)
+    assert len(merges) == 400 and list(zip(merges, scores)) == want
