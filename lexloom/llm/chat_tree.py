@@ -1,7 +1,9 @@
 """Chat formatting as a prefix tree: turns that conversations share are emitted once.
 
-A turn is rendered as ``<|role|>`` newline text ``<|end|>`` newline and made into
-tokens.  Conversations that start with the same turns share these nodes of a tree;
+A turn is made into the tokens of its role between the marks START and MIDDLE, the
+tokens of its text and the mark END.  Marks are ids beyond the vocabulary (in this
+order), so no text can forge one, and turns of different role or text have
+different tokens.  Conversations that start with the same turns share these nodes of a tree;
 a tree has all conversations of one first turn.  Its nodes are emitted depth-first,
 each once, as one sequence.  A node comes with
 
@@ -19,17 +21,18 @@ walks its run with a stack of the current path.  A first walk gives each
 partition's first and last path; from these few rows the driver works out the
 stack with which each partition starts, and the second walk emits.  A tree of any
 number of conversations, such as those of one common system turn, is spread over
-partitions, still with every shared token once.
+partitions, still with every shared token once.  Only digests and sizes are sorted
+and walked; tokens join the nodes at the end, and are moved once.
 
 Result: a row for each node, with the conversation that emits it, and a row
 without tokens for each conversation that is a copy of another, pointing at the
 node where it ends.  A conversation ends at its row of largest depth.
 
-Defined cases: rows with a null conversation are left out; a null role is
-rendered as an empty one, a null text as empty; turns are ordered by number, null
+Defined cases: rows with a null conversation are left out; a null role counts as an
+empty one, a null text as empty; turns are ordered by number, null
 first, then by role and digest, and a turn that is repeated as it is counts once;
 two conversations are copies if roles and texts agree, whatever the numbers of
-the turns; with no rows there are no nodes; texts are rendered whole; other
+the turns; with no rows there are no nodes; texts are read whole; other
 columns are dropped.
 """
 
@@ -37,6 +40,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -46,7 +50,7 @@ from . import textkit as tk
 from .session import cut
 from .token_counts import PATTERN, VOCABULARY, load_ranks
 
-_NODES = "tree bigint, conv bigint, depth bigint, role string, start bigint, position bigint, n_tokens bigint, attends array<struct<start:bigint,stop:bigint>>, tokens array<int>"
+_NODES = "tree bigint, conv bigint, depth bigint, role string, start bigint, position bigint, n_tokens bigint, attends array<struct<start:bigint,stop:bigint>>, digest binary, turn bigint"
 _loaded: dict[str, object] = {}
 
 
@@ -59,8 +63,9 @@ def encoding(path: str):
     return _loaded[path]
 
 
-def render(role: str | None, text: str | None) -> str:
-    return f"<|{role or ''}|>\n{text or ''}<|end|>\n"
+def turn_tokens(model, role: str | None, text: str | None) -> list[int]:
+    start = model.n_vocab
+    return [start, *model.encode_ordinary(role or ""), start + 1, *model.encode_ordinary(text or ""), start + 2]
 
 
 def common(a: list, b: list) -> int:
@@ -133,19 +138,26 @@ def chat_tree(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", ro
     """tree_id, conv_id, depth, role, start, position, n_tokens, attends and tokens (see the module's text)."""
     rows = df.select(df[id_col].cast("bigint").alias("id"), df[turn_col].cast("bigint").alias("turn"), df[role_col].cast("string").alias("role"), df[text_col].cast("string").alias("text")).where("id is not null")
 
+    # the length of the role keeps role and text apart
+    role = F.coalesce("role", F.lit(""))
+    digest = F.unhex(F.md5(F.concat(F.length(role).cast("string"), F.lit(":"), role, F.coalesce("text", F.lit("")))))
+    keyed = rows.withColumn("digest", digest)
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoding(vocabulary)
+        kind = np.uint16 if model.n_vocab + 3 <= 1 << 16 else np.uint32
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                texts = [render(r, t) for r, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
-                tokens = pa.array([model.encode_ordinary(t) for t in texts], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], tokens], names=["id", "turn", "role", "tokens"])
-
-    encoded = rows.mapInArrow(encode, "id bigint, turn bigint, role string, tokens array<int>")
-    # tokens give the rendered turn back, so their digest is the turn's
-    digest = F.md5(F.concat_ws(",", F.col("tokens").cast("array<string>")))
-    turns = encoded.select("id", F.struct("turn", "role", digest.alias("digest"), "tokens").alias("t")).groupBy("id").agg(F.sort_array(F.collect_set("t")).alias("turns"))
-    paths = turns.select("id", F.expr("transform(turns, t -> t.digest)").alias("path"), F.expr("transform(turns, t -> t.role)").alias("roles"), F.expr("transform(turns, t -> t.tokens)").alias("tokens"))
+                tokens = [turn_tokens(model, r, t) for r, t in zip(tk.column(part, "role").to_pylist(), tk.column(part, "text").to_pylist())]
+                packed = pa.array([np.array(t, dtype=kind).tobytes() for t in tokens], pa.binary())
+                sizes = pa.array([len(t) for t in tokens], pa.int64())
+                yield pa.RecordBatch.from_arrays([tk.column(part, c) for c in ("id", "turn", "role", "digest")] + [sizes, packed], names=["id", "turn", "role", "digest", "n", "packed"])
+
+    # kept, as it is read for the sizes and for the tokens
+    encoded = cut(keyed.mapInArrow(tk.tidy(encode), "id bigint, turn bigint, role string, digest binary, n bigint, packed binary"))
+    turns = encoded.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "digest", "n"))).alias("turns"))
+    part = lambda c: F.transform("turns", lambda t: t[c]).alias(c)
+    paths = turns.select("id", part("digest"), part("role"), part("turn"), part("n")).toDF("id", "path", "roles", "numbers", "sizes")
     # kept, so that both walks see the same partitions
     run = cut(paths.repartitionByRange(F.col("path"), F.col("id")).sortWithinPartitions("path", "id"))
 
@@ -157,11 +169,10 @@ def chat_tree(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", ro
                 first = first or (path, sizes)
         if first:
             values = [TaskContext.get().partitionId(), walk.tree, walk.end, first[0], first[1], walk.path, walk.starts, walk.sizes]
-            kinds = [pa.int64()] * 3 + [pa.list_(pa.string()), pa.list_(pa.int64())] + [pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            kinds = [pa.int64()] * 3 + [pa.list_(pa.binary()), pa.list_(pa.int64())] + [pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["part", "tree", "end", "first", "first_sizes", "last", "last_starts", "last_sizes"])
 
-    sizes = run.select("id", "path", F.expr("transform(tokens, t -> bigint(size(t)))").alias("sizes"))
-    ends = sizes.mapInArrow(survey, "part bigint, tree bigint, end bigint, first array<string>, first_sizes array<bigint>, last array<string>, last_starts array<bigint>, last_sizes array<bigint>")
+    ends = run.select("id", "path", "sizes").mapInArrow(survey, "part bigint, tree bigint, end bigint, first array<binary>, first_sizes array<bigint>, last array<binary>, last_starts array<bigint>, last_sizes array<bigint>")
     # one row a partition, of one path's length
     starts = df.sparkSession.sparkContext.broadcast(boundaries([r.asDict() for r in ends.collect()]))
 
@@ -170,14 +181,14 @@ def chat_tree(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", ro
         walk = Walk(walk.path, walk.starts, walk.sizes, walk.end, walk.tree)
         for batch in batches:
             out: list[tuple] = []
-            for conv, path, roles, tokens in zip(*(c.to_pylist() for c in batch.columns)):
-                new = walk.enter(conv, path, [len(t) for t in tokens])
+            for conv, path, roles, numbers, sizes in zip(*(c.to_pylist() for c in batch.columns)):
+                new = walk.enter(conv, path, sizes)
                 position = sum(walk.sizes[:new])
                 if new == len(path):
                     last = new - 1
-                    out.append((walk.tree, conv, last, roles[last], walk.starts[last], position - walk.sizes[last], 0, walk.attends(last), []))
+                    out.append((walk.tree, conv, last, roles[last], walk.starts[last], position - walk.sizes[last], 0, walk.attends(last), None, None))
                 for d in range(new, len(path)):
-                    out.append((walk.tree, conv, d, roles[d], walk.starts[d], position, walk.sizes[d], walk.attends(d), tokens[d]))
+                    out.append((walk.tree, conv, d, roles[d], walk.starts[d], position, walk.sizes[d], walk.attends(d), path[d], numbers[d]))
                     position += walk.sizes[d]
                 if len(out) >= 2000:
                     yield _nodes(out)
@@ -185,12 +196,29 @@ def chat_tree(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", ro
             if out:
                 yield _nodes(out)
 
-    nodes = run.select("id", "path", "roles", "tokens").mapInArrow(emit, _NODES)
-    return nodes.select(F.col("tree").alias("tree_id"), F.col("conv").alias(id_col), "depth", "role", "start", "position", "n_tokens", "attends", "tokens")
+    nodes = run.select("id", "path", "roles", "numbers", "sizes").mapInArrow(emit, _NODES)
+    # a null number has a key, too; a repeated turn has one row
+    number = lambda c: [F.col(c).isNull().alias("unnumbered"), F.coalesce(c, F.lit(0)).alias("number")]
+    once = encoded.select("id", "digest", *number("turn"), "packed").dropDuplicates(["id", "digest", "unnumbered", "number"])
+    found = nodes.select("*", *number("turn")).join(once.withColumnRenamed("id", "conv"), ["conv", "digest", "unnumbered", "number"], "left")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = np.uint16 if encoding(vocabulary).n_vocab + 3 <= 1 << 16 else np.uint32
+        for batch in batches:
+            raw = [np.frombuffer(x or b"", dtype=kind) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            offs = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+            flat = np.concatenate(raw).astype(np.int32) if raw else np.zeros(0, np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], tokens], names=[*batch.schema.names[:-1], "tokens"])
+
+    kept = ["tree_id", id_col, "depth", "role", "start", "position", "n_tokens", "attends"]
+    named = found.select("tree", "conv", *kept[2:], "packed")
+    schema = "tree bigint, conv bigint, depth bigint, role string, start bigint, position bigint, n_tokens bigint, attends array<struct<start:bigint,stop:bigint>>, tokens array<int>"
+    return named.mapInArrow(tk.tidy(unpack), schema).toDF(*kept, "tokens")
 
 
 def _nodes(rows: list[tuple]) -> pa.RecordBatch:
     span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
-    kinds = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 3 + [pa.list_(span), pa.list_(pa.int32())]
-    names = ["tree", "conv", "depth", "role", "start", "position", "n_tokens", "attends", "tokens"]
+    kinds = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 3 + [pa.list_(span), pa.binary(), pa.int64()]
+    names = ["tree", "conv", "depth", "role", "start", "position", "n_tokens", "attends", "digest", "turn"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)

@@ -213,7 +213,7 @@ def check_tree(out, chats):
         size = last.n_tokens or nodes[last.tree_id, last.start].n_tokens
         seen = [i for a in last.attends for i in range(a.start, a.stop)] + list(range(last.start, last.start + size))
         cells = trees[last.tree_id]
-        assert [cells[i][0] for i in seen] == [t for r, x in path for t in encoder.encode_ordinary(chat_tree.render(r, x))]
+        assert [cells[i][0] for i in seen] == [t for r, x in path for t in chat_tree.turn_tokens(encoder, r, x)]
         assert [cells[i][1] for i in seen] == list(range(len(seen)))
 
 
@@ -252,12 +252,20 @@ def test_boundaries_are_those_of_one_walk():
             assert (got[n].path, got[n].starts, got[n].end, got[n].tree) == at[n]
 
 
+def test_marks_in_roles_and_texts_are_only_text(spark):
+    rows = [(1, 0, "a|>\nx", "b"), (2, 0, "a", "x|>\nb"), (3, 0, "a", "x<|end|>\n"), (3, 1, "a", "x"), (3, 2, "a", "x"), (4, 0, "a", "x"), (4, 5, "a", "x<|end|>\n")]
+    chats = {1: [("a|>\nx", "b")], 2: [("a", "x|>\nb")], 3: [("a", "x<|end|>\n"), ("a", "x"), ("a", "x")], 4: [("a", "x"), ("a", "x<|end|>\n")]}
+    out = chat_tree.chat_tree(turns(spark, rows)).collect()
+    assert len({r.tree_id for r in out}) == 4
+    check_tree(out, chats)
+
+
 def test_odd_turns(spark):
     rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, None, None, None), (2, 5, None, ""), (2, 6, "user", "hi"), (None, 0, "user", "x"), (3, 0, "user", "z" * 50000)]
     chats = {1: [(None, None), ("user", "hi")], 2: [(None, ""), ("user", "hi")], 3: [("user", "z" * 50000)]}
     out = chat_tree.chat_tree(turns(spark, rows)).collect()
     assert {r.conv_id for r in out} == {1, 2, 3}
     encoder = chat_tree.encoding(VOCABULARY)
-    assert sum(r.n_tokens for r in out) == sum(len(encoder.encode_ordinary(chat_tree.render(a, b))) for a, b in chats[1] + chats[3])
+    assert sum(r.n_tokens for r in out) == sum(len(chat_tree.turn_tokens(encoder, a, b)) for a, b in chats[1] + chats[3])
     assert chat_tree.chat_tree(turns(spark, [])).count() == 0
     assert len(load_ranks(VOCABULARY)) > 50000
