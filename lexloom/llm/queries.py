@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from . import cap_filters, chat_tree, language, licenses, mixing, ngram_join, packing, quality
 from . import toxicity as toxic
-from .session import read
-from .token_counts import token_counts
+from .session import read, vocabulary
+from .token_counts import VOCABULARY, token_counts
 
 
 def op1_ngram_join(spark, sf_dir):
@@ -21,11 +21,11 @@ def op3_license_scan(spark, sf_dir):
 
 
 def op4_chat_tree(spark, sf_dir):
-    return chat_tree.chat_tree(read(spark, sf_dir, "conversations"))
+    return chat_tree.chat_tree(read(spark, sf_dir, "conversations"), vocabulary=vocabulary(spark, VOCABULARY))
 
 
 def op5_packing(spark, sf_dir):
-    return packing.pack_conversations(read(spark, sf_dir, "conversations"))
+    return packing.pack_conversations(read(spark, sf_dir, "conversations"), vocabulary=vocabulary(spark, VOCABULARY))
 
 
 def op6_near_embeddings(spark, sf_dir):
@@ -43,7 +43,7 @@ def op8_toxicity(spark, sf_dir):
 
 
 def op9_token_counts(spark, sf_dir):
-    return token_counts(read(spark, sf_dir, "documents"))
+    return token_counts(read(spark, sf_dir, "documents"), vocabulary=vocabulary(spark, VOCABULARY))
 
 
 def op10_quality_rules(spark, sf_dir):

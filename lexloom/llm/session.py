@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df`` kept in the folder that all executors share, without their lineage.
 
     The folder is the cluster's ``spark.checkpoint.dir``; only where that is
-    unset (as in tests on one machine) a new folder is set.
+    unset on one machine (as in tests) a new folder is set.
     """
     spark = df.sparkSession
     set_checkpoint_dir(spark)
@@ -25,7 +26,24 @@ def cut(df: DataFrame) -> DataFrame:
 def set_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexloom-"))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, so that each reader scans the columns that it needs and nothing is computed twice."""
+    spark = df.sparkSession
+    set_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def vocabulary(spark: SparkSession, default: str) -> str:
+    """The file of token ranks: ``spark.lexloom.vocabulary`` if the session sets it."""
+    return spark.conf.get("spark.lexloom.vocabulary", default)
 
 
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
