@@ -6,7 +6,7 @@ stays, sources are mixed to target weights, and what is left is packed into bins
 """
 
 from lexloom.llm import language, mixing, ngram_join, packing, toxicity
-from lexloom.llm.session import read
+from lexloom.llm.session import read, vocabulary, written
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -26,7 +26,7 @@ def mix_sources(spark, docs, sf_dir):
 
 
 def pack(spark, docs, sf_dir):
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, vocabulary=vocabulary(spark, packing.VOCABULARY))
 
 
 STAGES = [("toxicity", drop_toxic), ("language", identify_language), ("near_copies", drop_near_copies), ("mixing", mix_sources), ("packing", pack)]
@@ -36,6 +36,8 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        # every stage reads its input more than once
+        docs = docs if k == len(STAGES) else written(docs, f"pipeline-{name}")
     return docs
