@@ -323,7 +323,8 @@ def learn_merges(symbols: DataFrame, tokens: list[str], vocab_size: int, least:
 
 
 def _start(config: TrainingConfig, df: DataFrame, text_col: str) -> DataFrame:
-    counts = word_counts(df, text_col, config.pretokenizer).persist()
+    # written once, as alphabets, candidates and merges all read it
+    counts = cut(word_counts(df, text_col, config.pretokenizer))
     if not counts.take(1):
         raise ValueError("the corpus has no words to train on")
     return counts
@@ -487,7 +488,7 @@ def train_unigram_result(df: DataFrame, text_col: str = "text", *, vocab_size: i
     config = _checked(TrainingConfig("unigram", vocab_size, specials, seed_size=seed_size, num_iters=num_iters, max_subword_length=max_subword_length, prune_fraction=prune_fraction, whitespace_marker=whitespace_marker, pretokenizer=pretokenizer, model_name=model_name))
     words = _start(config, df, text_col)
     if whitespace_marker:
-        words = words.select(F.concat(F.lit(whitespace_marker), F.col("word")).alias("word"), "freq").persist()
+        words = words.select(F.concat(F.lit(whitespace_marker), F.col("word")).alias("word"), "freq")
     values = _unique(specials.values())
     target = vocab_size - len(values)
     letters = [r.symbol for r in alphabet(words).orderBy(F.desc("freq"), "symbol").collect()]

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalizers as nz
 from ..functions import spans as sp
+from ..functions.session import cut
 from ..operators import batches, encode, training
 from ..operators.models import Tiktoken, WordPiece
 from ..operators.pipeline_json import Pipeline, family_blocks
@@ -163,9 +164,7 @@ def frequency_vocabulary(counts: DataFrame, rare: int = RARE, words: int = TOP_W
 
 
 def frequency_model(counts: DataFrame) -> WordPiece:
-    counts = counts.persist()
-    tokens = frequency_vocabulary(counts)
-    counts.unpersist()
+    tokens = frequency_vocabulary(cut(counts))
     return WordPiece(Vocabulary.build(tokens, special_roles(tokens, "[UNK]")), "##", "[UNK]", 0, "frequency")
 
 
@@ -228,7 +227,7 @@ BYTE_PIECES = 300
 @query(f"WITH RECURSIVE {sql.counted()}, v AS MATERIALIZED (SELECT DISTINCT piece FROM (SELECT unnest(regexp_extract_all(hex(encode(word)), '..')) AS piece FROM wc) UNION (SELECT hex(encode(word)) FROM wc WHERE octet_length(encode(word)) BETWEEN 2 AND 6 ORDER BY freq DESC, word LIMIT {BYTE_PIECES})), h AS (SELECT hex(encode(word)) AS word FROM wc), {sql.greedy('h', 2, '', 6)} SELECT word AS bytes, k AS n_ids, replace(trim(out), ' ', '') = word AS covered FROM g WHERE p = length(word) + 1")
 def tiktoken_encode(spark, sf_dir):
     """Greedy byte matches, with the bytes and most frequent short words of the corpus as tokens."""
-    counts = training.word_counts(docs(spark, sf_dir)).persist()
+    counts = cut(training.word_counts(docs(spark, sf_dir)))
     pairs = counts.select(F.explode(F.regexp_extract_all(F.hex(F.encode("word", "UTF-8")), F.lit("(..)"), F.lit(1))).alias("h")).distinct()
     single = sorted(bytes.fromhex(r.h) for r in pairs.collect())
     short = counts.where(F.octet_length("word").between(2, 6)).orderBy(F.desc("freq"), "word").limit(BYTE_PIECES).collect()
@@ -250,7 +249,7 @@ def unigram_tokens_by_lang(spark, sf_dir):
 
 @query()
 def gpt2_split(spark, sf_dir):
-    """The pieces of byte-level pre-tokenization; look-ahead isn't in the SQL's patterns."""
+    """The pieces of byte-level pre-tokenization, and whether they make up the text (its SQL is in ``families``)."""
     p = docs(spark, sf_dir).select("doc_id", nz.gpt2_split(F.col("text")).alias("p"), "text")
     return p.select("doc_id", F.size("p").cast("bigint").alias("n_pieces"), (F.array_join("p", "") == F.col("text")).alias("whole"))
 
@@ -272,9 +271,9 @@ _SEED = f"letters AS (SELECT unnest(string_split(word, '')) AS token, freq FROM
 @query(f"WITH {sql.counted()}, {_PARTS}, {_SEED} SELECT token, freq, round(ln(freq / sum(freq) OVER ()), 6) AS logprob FROM seed JOIN cand USING (token)")
 def unigram_seed(spark, sf_dir):
     """The seed vocabulary (its size is the feature) and its first log-probabilities."""
-    counts = training.word_counts(docs(spark, sf_dir)).persist()
+    counts = cut(training.word_counts(docs(spark, sf_dir)))
     letters = [r.symbol for r in training.alphabet(counts).orderBy(F.desc("freq"), "symbol").collect()]
-    candidates = training.candidate_counts(counts, 3).persist()
+    candidates = cut(training.candidate_counts(counts, 3))
     tokens = training.seed_tokens(candidates, letters, SEED)
     seed = spark.createDataFrame([(t,) for t in tokens], "token string").join(candidates, "token")
     total = seed.agg(F.sum("freq").alias("total"))
@@ -424,8 +423,6 @@ _LINES = "ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unn
 
 def _lines(spark, sf_dir) -> DataFrame:
     """doc_id, word_index (of a line), start, stop."""
-    from pyspark.sql import Window
-
     lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("k", "line"))
     before = F.coalesce(F.sum(F.octet_length("line") + 1).over(Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return lines.select("doc_id", (F.col("k") + 1).cast("bigint").alias("word_index"), (before + 1).alias("start"), (before + 1 + F.octet_length("line")).alias("stop"))
@@ -439,11 +436,11 @@ def subword_to_word(spark, sf_dir):
     return found.groupBy("doc_id", "word_index").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("sum_pos"))
 
 
-@query(f"WITH {_SPANS}, {_LINES} SELECT lp.doc_id, lp.line_no AS span_id, count(*)::BIGINT AS n, sum(w.word_index)::BIGINT AS sum_pos FROM w JOIN lp ON lp.doc_id = w.doc_id AND least(w.stop, lp.a + 20) > greatest(w.start, lp.a) GROUP BY ALL")
+@query(f"WITH {_SPANS}, {_LINES}, two AS (SELECT doc_id, line_no, a, coalesce(lead(a + size) OVER (PARTITION BY doc_id ORDER BY line_no), a + size) AS b FROM lp) SELECT lp.doc_id, lp.line_no AS span_id, count(*)::BIGINT AS n, sum(w.word_index)::BIGINT AS sum_pos FROM w JOIN two lp ON lp.doc_id = w.doc_id AND least(w.stop, lp.b) > greatest(w.start, lp.a) GROUP BY ALL")
 def span_to_tokens(spark, sf_dir):
-    """Labelled spans to the words that they overlap: the first 20 bytes from each line's start."""
+    """Labelled spans to the words that they overlap: each line with the line after it, so that spans overlap, too."""
     tokens = batches.word_offsets(docs(spark, sf_dir)).withColumnRenamed("word_index", "pos")
-    spans = _lines(spark, sf_dir).select("doc_id", F.col("word_index").alias("span_id"), F.col("start").alias("span_start"), (F.col("start") + 20).alias("span_stop"))
+    spans = _lines(spark, sf_dir).select("doc_id", F.col("word_index").alias("span_id"), F.col("start").alias("span_start"), F.coalesce(F.lead("stop").over(Window.partitionBy("doc_id").orderBy("word_index")), F.col("stop")).alias("span_stop"))
     found = batches.span_to_tokens(tokens, spans)
     return found.groupBy("doc_id", "span_id").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("sum_pos"))
 
@@ -480,7 +477,11 @@ _rewrite("pretokenize_metaspace", lambda t: nz.metaspace(t, "▁", True), "repla
 # ---------------------------------------------------------------- models known by name
 
 
-@query("SELECT name, format FROM (VALUES " + ", ".join(f"('{n}', '{f}', '{d}')" for n, (f, _, d) in registry.BUILT_IN.items()) + ") t(name, format, distribution) WHERE format IN ('bpe', 'bpe_gpt2', 'bytebpe', 'hf_tokenizer_json') AND distribution IN ('shipped', 'artifact_public')")
+#: Written down by hand from the documented list of models, not taken from the registry.
+_MERGING = ("core_bpe_en", "openai_gpt2_bpe", "phi2_bpe", "roberta_base_bpe", "qwen2_5_bpe")
+
+
+@query("SELECT name, CASE WHEN name = 'core_bpe_en' THEN 'bpe' WHEN name = 'qwen2_5_bpe' THEN 'hf_tokenizer_json' ELSE 'bpe_gpt2' END AS format FROM (SELECT unnest([" + ", ".join(f"'{n}'" for n in _MERGING) + "]) AS name)")
 def model_registry(spark, sf_dir):
     built_in = registry.models_frame(spark).where(F.col("name").isin(*registry.BUILT_IN))
     return registry.filter_models(built_in, format="bpe", shipped=True).select("name", "format")

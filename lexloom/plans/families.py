@@ -27,7 +27,7 @@ from ..operators.pipeline_json import Pipeline, family_blocks
 from ..operators.vocabulary import Vocabulary
 from ..sources import bundles, files
 from . import sql
-from .catalogue import _BYTES, _CHARS, _GREEDY, _PARTS, _SEED, _SPANS, ENDINGS, LEAST, LONGEST, MERGES, RARE, TOP_WORDS, _bpe, _frequency_model, _merge_rows, _union_merges, docs, frequency_model, query, read, unigram_seed
+from .catalogue import _BYTES, _CHARS, _GREEDY, _PARTS, _SEED, _SPANS, ENDINGS, LEAST, LONGEST, MERGES, ORACLE_SQL, RARE, TOP_WORDS, _bpe, _frequency_model, _merge_rows, _union_merges, docs, frequency_model, query, read, unigram_seed
 
 MARK = "▁"
 
@@ -357,6 +357,9 @@ def gpt2_pieces(spark, sf_dir):
     return p.select("doc_id", F.size("p").cast("bigint").alias("n_pieces"), F.md5(F.array_join("p", "|")).alias("digest"))
 
 
+ORACLE_SQL["gpt2_split"] = f"SELECT doc_id, len(p)::BIGINT AS n_pieces, array_to_string(p, '') = text AS whole FROM (SELECT doc_id, text, {_gpt2_sql()} AS p FROM documents)"
+
+
 def _preset_sql(text: str) -> str:
     counted = f"wc AS (SELECT word, count(*) AS freq FROM (SELECT unnest({_gpt2_sql(text)}) AS word FROM documents) GROUP BY ALL)"
     return f"WITH {counted}, {sql.symbols(end='</w>', byte=True)}, {sql.merges(MERGES, LEAST)}"

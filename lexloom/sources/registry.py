@@ -37,6 +37,18 @@ BUILT_IN = {
     "llama3_8b_tokenizer": ("hf_tokenizer_json", "llama", GATED),
 }
 SCHEMA = "name string, format string, family string, distribution string, shipped boolean, path string, description string"
+#: The files of a model's folder.
+EXPECTED = {
+    "bpe": ("vocab.txt", "merges.txt"),
+    "bytebpe": ("vocab.txt", "merges.txt"),
+    "bpe_gpt2": ("vocab.json", "merges.txt"),
+    "bpe_encoder": ("encoder.json", "vocab.bpe"),
+    "wordpiece_vocab": ("vocab.txt",),
+    "unigram_tsv": ("unigram.tsv",),
+    "sentencepiece_model": ("spm.model",),
+    "tiktoken": ("tokenizer.tiktoken",),
+    "hf_tokenizer_json": ("tokenizer.json",),
+}
 #: Asking for one format finds these too.
 WIDER = {"bpe": ("bpe", "bpe_gpt2", "bytebpe", "hf_tokenizer_json"), "sentencepiece": ("sentencepiece_model",), "wordpiece": ("wordpiece_vocab",), "unigram": ("unigram_tsv",)}
 _local: dict[str, dict] | None = None
@@ -105,7 +117,13 @@ def describe_model(name: str) -> dict:
     row = next((r for r in _rows() if r["name"] == name), None)
     if row is None:
         raise KeyError(f"unknown model {name!r}")
-    return row | {"exists": row["path"] is not None and os.path.exists(row["path"])}
+    path, local = row["path"], _locals().get(name, {})
+    exists = path is not None and os.path.exists(path)
+    files = [] if not exists else [path] if os.path.isfile(path) else sorted(str(f) for f in Path(path).iterdir() if f.is_file())
+    # nothing is fetched, so nothing is known of the places models come from
+    upstream = {"license": local.get("license"), "upstream_repo": None, "upstream_ref": None, "artifact_name": None, "upstream_files": [], "provenance_urls": []}
+    source = "missing" if not exists else LOCAL if name in _locals() else row["distribution"]
+    return row | upstream | {"exists": exists, "files": files, "resolved_files": files, "expected_files": list(EXPECTED.get(row["format"], ())), "source": source, "notes": local.get("notes", "")}
 
 
 def model_path(name: str) -> str:
