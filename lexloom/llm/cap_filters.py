@@ -63,6 +63,8 @@ from .session import beside, cut
 
 THRESHOLD, ALPHA, BLOCKS, CODES, TURNS, SEED, TILE = 0.9, 0.4, 2, 48, 16, 5, 1024
 WIDTH = 64
+#: Numbers of vectors that are joined in one call.
+BUCKET_VALUES = 2 << 20
 
 
 def _caps(width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +164,8 @@ def _sets(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataF
 def _grouped(rows: DataFrame, alpha: float | None, blocks: int, codes: int | None, turns: int, seed: int, tile: int) -> DataFrame:
     """The compared vectors in each of their filters and pairs of tiles."""
     counted = rows.groupBy(F.size("vector").alias("width")).agg(F.count(F.lit(1)).alias("n"))
-    many = {r.width for r in counted.where("n > width and width > 0").collect()}
+    widths = counted.where("width > 0").collect()  # a row a width
+    many, widest = {r.width for r in widths if r.n > r.width}, max((r.width for r in widths), default=1)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,18 +193,21 @@ def _grouped(rows: DataFrame, alpha: float | None, blocks: int, codes: int | Non
 
     members = rows.select("id", "vector", "key").mapInArrow(spread, "filter bigint, id bigint, key bigint, filters array<bigint>, vector array<float>")
     # only (filter, id) is counted, so that the sizes of filters cost no shuffle of vectors
-    sizes = cut(members.groupBy("filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    tiles = sizes.select("filter", F.ceil(F.col("n") / tile).alias("tiles"))
-    placed = members.join(beside(tiles, sizes.count(), 40), "filter").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    sizes = cut(members.groupBy("filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("tiles", F.ceil(F.col("n") / tile)))
+    filters, moved = sizes.agg(F.count(F.lit(1)), F.sum(F.col("n") * F.col("tiles"))).first()
+    # several filters share a bucket, as most are small: a task calls Python once a bucket
+    buckets = max(-(-(moved or 0) * widest // BUCKET_VALUES), min(filters, rows.sparkSession.sparkContext.defaultParallelism), 1)
+    placed = members.join(beside(sizes.select("filter", "tiles"), filters, 40), "filter").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
     other = F.explode(F.expr("sequence(0L, tiles - 1)"))
-    return placed.withColumn("other", other).select("filter", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "id", "key", "filters", "vector")
+    spread_out = placed.withColumn("other", other).select("filter", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "id", "key", "filters", "vector")
+    return spread_out.withColumn("bucket", F.pmod(F.xxhash64("filter", "low", "high"), F.lit(buckets)))
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, alpha: float | None = None, blocks: int = BLOCKS, codes: int | None = None, turns: int = TURNS, seed: int = SEED, tile: int = TILE) -> DataFrame:
     """``id_col``, class_id, links and copies of each vector (see the module's text)."""
     named, sets, compared = _sets(df, id_col, vector_col)
     grouped = _grouped(compared, alpha, blocks, codes, turns, seed, tile)
-    near = cut(grouped.groupBy("filter", "low", "high").applyInArrow(lambda t: links_of_tiles(t, threshold), "id bigint, key bigint, links bigint, root bigint"))
+    near = cut(grouped.groupBy("bucket").applyInArrow(lambda t: links_of_tiles(t, threshold), "id bigint, key bigint, links bigint, root bigint"))
     linked = near.groupBy("id", "key").agg(F.sum("links").alias("links")).withColumnRenamed("id", "head")
     edges = near.select(F.col("id").alias("a"), F.col("root").alias("b")).union(sets.where("id <> head").select("id", "head"))
     found = sets.join(linked, ["head", "key"], "left").groupBy("id").agg(F.sum(F.coalesce("links", F.lit(0))).alias("links"), F.sum(F.col("members") - 1).alias("copies"))
@@ -215,58 +221,88 @@ def near_pairs(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     """vec_a < vec_b and cosine (six decimals) of the pairs found (see the module's text)."""
     _, sets, compared = _sets(df, id_col, vector_col)
     grouped = _grouped(compared, alpha, blocks, codes, turns, seed, tile)
-    found = grouped.groupBy("filter", "low", "high").applyInArrow(lambda t: pairs_of_tiles(t, threshold), "vec_a bigint, vec_b bigint, cosine double")
+    found = grouped.groupBy("bucket").applyInArrow(lambda t: pairs_of_tiles(t, threshold), "vec_a bigint, vec_b bigint, cosine double")
     equal = sets.where("id <> head").select(F.col("head").alias("vec_a"), F.col("id").alias("vec_b"), F.lit(1.0).alias("cosine"))
     # different ids have one row a pair already, unless an id has several vectors
     return found.union(equal).groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
 
 
 def _close(table: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
-    """x, y, cosine of the close pairs of rows, once each, and whether this is the smallest filter of both."""
-    number, low, high = (table.column(c)[0].as_py() for c in ("filter", "low", "high"))
-    ids, keys, tile = (table.column(c).to_numpy() for c in ("id", "key", "tile"))
-    vectors = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-    vectors = vectors / np.linalg.norm(vectors, axis=1)[:, None]
-    lists = table.column("filters").combine_chunks()
-    size = lists.value_lengths().to_numpy(zero_copy_only=False)
-    smaller = np.full((len(ids), max(1, size.max(initial=1))), -1, dtype=np.int64)
-    smaller[np.arange(smaller.shape[1]) < size[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
-    # repeated rows
-    once = np.unique(np.column_stack((ids, keys)), axis=0, return_index=True)[1]
-    a = once[tile[once] == low]
-    b = a if low == high else once[tile[once] == high]
-    for start in range(0, len(a), 256):
-        rows = a[start : start + 256]
-        close = vectors[rows] @ vectors[b].T
-        hit = (close >= threshold - 1e-9) & (ids[rows][:, None] != ids[b][None, :])
-        if low == high:
-            hit &= rows[:, None] < b[None, :]
-        i, j = np.nonzero(hit)
-        first = np.ones(len(i), dtype=bool)
-        for k in range(0, len(i), 4096):
-            p, q = smaller[rows[i[k : k + 4096]]], smaller[b[j[k : k + 4096]]]
-            first[k : k + 4096] = ~((p[:, :, None] == q[:, None, :]) & (p >= 0)[:, :, None]).any(axis=(1, 2))
-        if len(i):
-            yield rows[i], b[j], close[i, j], first
+    """Rows x, y and cosine of the close pairs of each filter and pair of tiles, and whether the filter is the smallest of both."""
+    number, low, high, tile, ids, keys = (table.column(c).to_numpy() for c in ("filter", "low", "high", "tile", "id", "key"))
+    order = np.lexsort((keys, ids, tile, high, low, number))
+    columns = [c[order] for c in (number, low, high, tile, ids, keys)]
+    fresh = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    order = order[np.concatenate(([True], fresh))]  # without repeated rows
+    number, low, high, tile = (c[order] for c in (number, low, high, tile))
+    lists = table.column("vector").combine_chunks()
+    starts, width = lists.offsets.to_numpy()[:-1][order] - lists.offsets[0].as_py(), lists.value_lengths().to_numpy(zero_copy_only=False)[order]
+    values = lists.flatten().to_numpy(zero_copy_only=False)
+    group = np.flatnonzero(np.concatenate(([True], (number[1:] != number[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))))
+    edges = [*group.tolist(), len(order)]
+    # a filter's vectors are of one width, and wider filters come later
+    by_width = np.flatnonzero(np.concatenate(([True], width[1:] != width[:-1]))).tolist()
+    base, units = 0, None
+    hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for a, b in zip(edges[:-1], edges[1:]):
+        if by_width and a == by_width[0]:
+            by_width.pop(0)
+            stop = by_width[0] if by_width else len(order)
+            base, units = a, values[starts[a:stop][:, None] + np.arange(width[a])].astype(np.float64)
+            units /= np.linalg.norm(units, axis=1)[:, None]
+        same = low[a] == high[a]
+        middle = b if same else a + int(np.searchsorted(tile[a:b], high[a]))
+        for x in range(a, middle, 256):
+            end = min(x + 256, middle)
+            from_y = x if same else middle
+            close = units[x - base : end - base] @ units[from_y - base : b - base].T
+            i, j = np.nonzero(close >= threshold - 1e-9)
+            if same:
+                once = i < j
+                i, j = i[once], j[once]
+            if len(i):
+                hits.append((i + x, j + from_y, close[i, j]))
+    if not hits:
+        return
+    x, y, cosine = (np.concatenate(h) for h in zip(*hits))
+    x, y = order[x], order[y]
+    apart = ids[x] != ids[y]
+    x, y, cosine = x[apart], y[apart], cosine[apart]
+    smaller_of = table.column("filters").combine_chunks()
+    size, at = smaller_of.value_lengths().to_numpy(zero_copy_only=False), smaller_of.offsets.to_numpy() - smaller_of.offsets[0].as_py()
+    flat = smaller_of.flatten().to_numpy(zero_copy_only=False)
+    for k in range(0, len(x), 4096):
+        p, q = x[k : k + 4096], y[k : k + 4096]
+        padded = []
+        for rows, none in ((p, -1), (q, -2)):
+            wide = np.arange(max(1, int(size[rows].max())))
+            there = wide < size[rows][:, None]
+            out = np.full(there.shape, none, dtype=np.int64)
+            out[there] = flat[(at[rows][:, None] + wide)[there]]
+            padded.append(out)
+        first = ~(padded[0][:, :, None] == padded[1][:, None, :]).any(axis=(1, 2))
+        yield p, q, cosine[k : k + 4096], first
 
 
 def links_of_tiles(table: pa.Table, threshold: float) -> pa.Table:
-    """The vectors that are close to others here: how many whose smallest common filter this is, and the smallest id that they lead to."""
-    ids = table.column("id").to_numpy()
+    """The vectors that are close to others here: how many whose smallest common filter is here, and the smallest id that they lead to."""
+    pairs = np.column_stack((table.column("id").to_numpy(), table.column("key").to_numpy()))
+    items, item = np.unique(pairs, axis=0, return_inverse=True)
+    item, ids = item.ravel(), items[:, 0]
     links, parent = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
     for x, y, _, first in _close(table, threshold):
-        np.add.at(links, x[first], 1)
-        np.add.at(links, y[first], 1)
-        hang(parent, x, y)
+        np.add.at(links, item[x[first]], 1)
+        np.add.at(links, item[y[first]], 1)
+        hang(parent, item[x], item[y])
     root = np.full(len(ids), np.iinfo(np.int64).max)
     np.minimum.at(root, parent, ids)
     root = root[parent]
     kept = np.flatnonzero((links > 0) | (root != ids))
-    return pa.table([pa.array(x[kept]) for x in (ids, table.column("key").to_numpy(), links, root)], names=["id", "key", "links", "root"])
+    return pa.table([pa.array(x[kept]) for x in (ids, items[:, 1], links, root)], names=["id", "key", "links", "root"])
 
 
 def pairs_of_tiles(table: pa.Table, threshold: float) -> pa.Table:
-    """The close pairs of one filter and pair of tiles whose smallest common filter it is."""
+    """The close pairs whose smallest common filter is here."""
     ids = table.column("id").to_numpy()
     out: dict[tuple[int, int], float] = {}
     for x, y, cosine, first in _close(table, threshold):
