@@ -7,7 +7,7 @@ from lexloom.sources import files, registry
 
 def test_a_shipped_model_is_described_in_full():
     found = registry.describe_model("core_bpe_en")
-    assert set(found) == {"name", "format", "path", "files", "resolved_files", "expected_files", "exists", "source", "shipped", "description", "family", "distribution", "license", "upstream_repo", "upstream_ref", "artifact_name", "upstream_files", "provenance_urls", "notes"}
+    assert set(found) == {"artifact_name", "description", "distribution", "exists", "expected_files", "family", "files", "format", "license", "name", "notes", "path", "provenance_urls", "resolved_files", "shipped", "source", "upstream_files", "upstream_ref", "upstream_repo"}
     assert found["exists"] and found["shipped"] and found["source"] == "shipped"
     assert [f.rsplit("/", 1)[-1] for f in found["files"]] == sorted(found["expected_files"])
     with pytest.raises(KeyError):
