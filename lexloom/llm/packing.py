@@ -35,13 +35,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .chat_tree import encoding
 from .session import cut
-from .token_counts import VOCABULARY, count_slice, counter
+from .token_counts import VOCABULARY
 
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS, GROUP = 4096, 64, 3072, 4096
 LOSS_ROLES = ("assistant",)
@@ -132,14 +132,14 @@ def pack_pieces(found: DataFrame, limits: tuple[int, int, int], group: int) -> D
 
 
 def _tokens(df: DataFrame, vocabulary: str) -> DataFrame:
-    """The rows of ``df`` with n_tokens in place of text."""
+    """The rows of ``df`` with n_tokens in place of text, by the encoder of the chat tree (the counts of ``token_counts``, sooner)."""
     kept = [c for c in df.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(vocabulary)
+        encode = encoding(vocabulary).encode_ordinary
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                tokens = count_slice(pc.fill_null(tk.column(part, "text"), ""), count)
+                tokens = [len(encode(t)) if t else 0 for t in tk.column(part, "text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([tk.column(part, c) for c in kept] + [pa.array(tokens, pa.int64())], names=[*kept, "n_tokens"])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
