@@ -8,9 +8,13 @@ merge by adding their counts, in any order and grouping: a group of fewer than
 ``min_docs`` texts uses the merged sketch of its language, or of everything.
 
 A metric's limits are the quartiles, moved out by ``fences`` times their
-distance plus the metric's slack, and for each text by ``noise`` / its words, as
-shares of a few words vary more; texts within the limits of all metrics are kept.
-So the limits follow each group's own spread, and a group of sound texts loses none.
+distance plus the metric's slack, and for each text by ``noise`` standard errors of
+that limit over what the text has to show: sqrt(h (1000 - h) / n) for a share whose
+upper limit is h, where n is the text's characters for symbols, and its words for
+capitals, digits and repeats, which come by whole words; WORD_SPREAD / sqrt(n) for
+the length of words. A short text is thus judged mildly, but can be rejected by every
+metric, and a long one gets no allowance to speak of. Texts within the limits of all
+metrics are kept.
 
 Defined cases: null language or source is a group of its own; null and empty
 texts (and those without a word) are not kept; repeated rows count and are kept
@@ -32,7 +36,9 @@ from .session import cut
 
 #: metric -> (slack, checked below, checked above)
 METRICS = {"symbols": (60, False, True), "capitals": (100, False, True), "digits": (100, False, True), "repeats": (100, False, True), "word_length": (250, True, True)}
-FENCES, MIN_DOCS, NOISE = 3, 50, 4000
+FENCES, MIN_DOCS, NOISE = 3, 50, 3
+#: Standard deviation of the length of a word, in hundredths of a character.
+WORD_SPREAD = 250
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[33:48] = _SYMBOL[58:65] = _SYMBOL[91:97] = _SYMBOL[123:127] = True
@@ -41,13 +47,27 @@ _CAPITAL[65:91] = _DIGIT[48:58] = True
 _FIRST[128:192] = False
 
 
+def _allowance(metric: str, noise: int) -> str:
+    """What is added to a limit of a text, as SQL of either engine."""
+    if metric == "word_length":
+        return f"floor({noise * WORD_SPREAD} / sqrt(greatest(n_words, 1)))"
+    high = f"greatest(least(high_{metric}, 1000), 0)"
+    return f"floor({noise} * sqrt({high} * (1000 - {high}) / greatest({'n_chars' if metric == 'symbols' else 'n_words'}, 1)))"
+
+
+def _checks(noise: int) -> str:
+    """Whether a text is within all limits, as SQL of either engine."""
+    found = [f"{k} >= low_{k} - {_allowance(k, noise)}" for k, v in METRICS.items() if v[1]]
+    return " AND ".join(["n_words > 0", *found, *(f"{k} <= high_{k} + {_allowance(k, noise)}" for k, v in METRICS.items() if v[2])])
+
+
 def _sums(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
     total = np.concatenate(([0], np.cumsum(flags)))
     return total[offs[1:]] - total[offs[:-1]]
 
 
 def measure(column: pa.Array) -> dict[str, np.ndarray]:
-    """n_words and the metrics of each text; parts per thousand are of its characters (repeats: of its words that equal the one before)."""
+    """n_words, n_chars and the metrics of each text; parts per thousand are of its characters (repeats: of its words that equal the one before)."""
     data, offs = tk.buffers(column)
     text = tk.Words(column)
     n_words = np.diff(text.first)
@@ -60,6 +80,7 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     per = np.maximum(n_words, 1)
     return {
         "n_words": n_words,
+        "n_chars": chars,
         "symbols": 1000 * _sums(_SYMBOL[data], offs) // chars,
         "capitals": 1000 * _sums(_CAPITAL[data], offs) // chars,
         "digits": 1000 * _sums(_DIGIT[data], offs) // chars,
@@ -69,8 +90,8 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
 
 
 def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``id_col``, lang, source, n_words and the metrics."""
-    names = ["n_words", *METRICS]
+    """``id_col``, lang, source, n_words, n_chars and the metrics."""
+    names = ["n_words", "n_chars", *METRICS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,21 +138,14 @@ def quality_filter(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``id_col``, lang, source, n_words and the metrics of the texts that are kept."""
     metrics = cut(measured(df, id_col, text_col, lang_col, source_col))
     bounds = limits(sketches(metrics), fences, min_docs).withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
-    ok, more = F.col("n_words") > 0, F.floor(noise / F.col("n_words"))
-    for k, (_, below, above) in METRICS.items():
-        if below:
-            ok &= F.col(k) >= F.col(f"low_{k}") - more
-        if above:
-            ok &= F.col(k) <= F.col(f"high_{k}") + more
     joined = metrics.join(bounds, metrics.lang.eqNullSafe(F.col("g_lang")) & metrics.source.eqNullSafe(F.col("g_source")))
-    return joined.where(ok).select(id_col, "lang", "source", "n_words", *METRICS)
+    return joined.where(_checks(noise)).select(id_col, "lang", "source", "n_words", *METRICS)
 
 
 def oracle_sql(fences: int = FENCES, min_docs: int = MIN_DOCS, noise: int = NOISE) -> str:
     gap = tk.WORD_GAP
     rows = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS metric, {k} AS value FROM m WHERE n_words > 0" for k in METRICS)
     cols = ", ".join(f"max(CASE WHEN metric = '{k}' THEN q1 - s END) AS low_{k}, max(CASE WHEN metric = '{k}' THEN q3 + s END) AS high_{k}" for k in METRICS)
-    checks = " AND ".join([f"m.{k} >= low_{k} - {noise} // m.n_words" for k, v in METRICS.items() if v[1]] + [f"m.{k} <= high_{k} + {noise} // m.n_words" for k, v in METRICS.items() if v[2]])
     slack = "CASE metric " + " ".join(f"WHEN '{k}' THEN {v[0]}" for k, v in METRICS.items()) + " END"
 
     def quart(name: str, keys: str) -> str:
@@ -142,7 +156,7 @@ def oracle_sql(fences: int = FENCES, min_docs: int = MIN_DOCS, noise: int = NOIS
 
     return rf"""
 WITH base AS (SELECT doc_id, lang, source, text, list_filter(string_split_regex(lower(text), '{gap}'), lambda x: x <> '') AS w, greatest(length(text), 1) AS c FROM documents),
-m AS (SELECT doc_id, lang, source, len(w) AS n_words,
+m AS (SELECT doc_id, lang, source, len(w) AS n_words, c AS n_chars,
   1000 * length(regexp_replace(text, '[^!-/:-@\[-`{{-~]+', '', 'g')) // c AS symbols,
   1000 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) // c AS capitals,
   1000 * length(regexp_replace(text, '[^0-9]+', '', 'g')) // c AS digits,
@@ -161,4 +175,4 @@ fenced AS (SELECT *, {fences} * (q3 - q1) + {slack} AS s FROM chosen),
 bounds AS (SELECT lang, source, {cols} FROM fenced GROUP BY ALL)
 SELECT m.doc_id, m.lang, m.source, m.n_words, {", ".join("m." + k for k in METRICS)}
 FROM m JOIN bounds b ON m.lang IS NOT DISTINCT FROM b.lang AND m.source IS NOT DISTINCT FROM b.source
-WHERE m.n_words > 0 AND {checks}"""
+WHERE {_checks(noise)}"""

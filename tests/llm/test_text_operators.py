@@ -378,6 +378,16 @@ def test_quality_equals_sql(spark):
     assert Counter(dict(r)["doc_id"] for r in got(quality.quality_filter(docs(spark, twice))))[0] == 2
 
 
+def test_short_and_symbol_only_junk_is_rejected(spark):
+    junk = [(900, "one two three " + "%" * 20000, "en", "s0"), (901, "re##um### En%%%%% vi%%%.###", "de", "s1"), (902, "WATER.!! HOUSE.!! THE.!! GREEN.!! " * 3, "en", "s2"), (903, "a " + "%" * 300, "en", "s3"), (904, "green " * 30, None, "s0"), (905, "12345 " * 30, "de", "s1")]
+    sound = [(800, "water", "en", "s0"), (801, "Green house!", "de", "s1"), (802, "stones and light, 10.0.0.1", "en", "s2"), (803, "OK", None, "s3"), (804, "a", "en", "s0")]
+    rows = shop() + junk + sound
+    found = got(quality.quality_filter(docs(spark, rows)))
+    assert found == sql(rows, quality.oracle_sql())
+    kept = {dict(r)["doc_id"] for r in found}
+    assert {800, 801, 803} <= kept and not kept & {r[0] for r in junk}
+
+
 def test_sketches_merge_in_any_grouping(spark):
     metrics = quality.measured(docs(spark, shop()))
     whole = quality.quartiles(quality.sketches(metrics), ["lang"])
