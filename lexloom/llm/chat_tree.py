@@ -38,6 +38,7 @@ columns are dropped.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,8 @@ from .token_counts import PATTERN, VOCABULARY, load_ranks
 
 _NODES = "tree bigint, conv bigint, depth bigint, role string, start bigint, position bigint, n_tokens bigint, attends array<struct<start:bigint,stop:bigint>>, digest binary, turn bigint"
 _loaded: dict[str, object] = {}
+#: Runs of white space that the encoder's pattern can't look ahead over: its stack ends at less than a million.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 def encoding(path: str):
@@ -63,9 +66,22 @@ def encoding(path: str):
     return _loaded[path]
 
 
+def encode(model, text: str) -> list[int]:
+    """The tokens of a text of any length; of a long run of white space, the pattern's piece is cut here: all of it but the last one before other text."""
+    out: list[int] = []
+    at = 0
+    for run in _LONG_SPACE.finditer(text):
+        stop = run.end() - (run.end() < len(text))
+        out += model.encode_ordinary(text[at : run.start()])
+        out += model._encode_single_piece(text[run.start() : stop])
+        at = stop
+    tail = model.encode_ordinary(text[at:])
+    return out + tail if at else tail
+
+
 def turn_tokens(model, role: str | None, text: str | None) -> list[int]:
     start = model.n_vocab
-    return [start, *model.encode_ordinary(role or ""), start + 1, *model.encode_ordinary(text or ""), start + 2]
+    return [start, *encode(model, role or ""), start + 1, *encode(model, text or ""), start + 2]
 
 
 def common(a: list, b: list) -> int:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .chat_tree import encoding
+from .chat_tree import encode, encoding
 from .session import cut
 from .token_counts import VOCABULARY
 
@@ -136,10 +136,10 @@ def _tokens(df: DataFrame, vocabulary: str) -> DataFrame:
     kept = [c for c in df.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(vocabulary).encode_ordinary
+        model = encoding(vocabulary)
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                tokens = [len(encode(t)) if t else 0 for t in tk.column(part, "text").to_pylist()]
+                tokens = [len(encode(model, t)) if t else 0 for t in tk.column(part, "text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([tk.column(part, c) for c in kept] + [pa.array(tokens, pa.int64())], names=[*kept, "n_tokens"])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)

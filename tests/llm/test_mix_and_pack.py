@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from lexloom.llm import chat_tree, mixing, packing
-from lexloom.llm.token_counts import VOCABULARY, load_ranks
+from lexloom.llm.token_counts import VOCABULARY, load_ranks, token_counts
 
 EXTRA = "doc_id bigint, text string, source string, copies string, row int, whole double, mass string, node int"
 
@@ -269,3 +269,18 @@ def test_odd_turns(spark):
     assert sum(r.n_tokens for r in out) == sum(len(chat_tree.turn_tokens(encoder, a, b)) for a, b in chats[1] + chats[3])
     assert chat_tree.chat_tree(turns(spark, [])).count() == 0
     assert len(load_ranks(VOCABULARY)) > 50000
+
+
+def test_long_runs_of_white_space(spark):
+    model = chat_tree.encoding(VOCABULARY)
+    for n in (10000, 30001):
+        for text in (" " * n, "a" + " " * n + "b", "\n" * n + "a", "a " + "\t" * n + "'s", "x" + " " * n + "!?" + "\u3000" * n, ("y" + "\r\n" * n) * 2):
+            assert chat_tree.encode(model, text) == model.encode_ordinary(text)
+    # beyond the encoder's own reach
+    text = "one" + " " * 1_000_000 + "two" + "\n" * 1_000_000
+    want = token_counts(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first().n_tokens
+    assert len(chat_tree.encode(model, text)) == want
+    docs = spark.createDataFrame([(1, text), (2, "a")], "doc_id bigint, text string")
+    assert sum(r.tokens for r in packing.pack_documents(docs).collect()) == want + 1
+    turns = spark.createDataFrame([(1, 0, "user", text)], "conv_id bigint, turn bigint, role string, text string")
+    assert chat_tree.chat_tree(turns).first().n_tokens == len(chat_tree.turn_tokens(model, "user", text))
