@@ -70,3 +70,28 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_null_ids_long_texts_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(5)
+    words = PROSE["en"].split()
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    data = [(k, prose(40), "en", "s0") for k in range(120)]
+    data += [(None, prose(40 + k), "en", None) for k in range(5)]
+    data += [(500, prose(60000), "en", "s1"), (501, prose(30) + " " * 1_000_000 + prose(30), "en", "s1")]
+    extra = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, key string, mass string, predicted int, score int, keep string, copies int, region int, bin int, tokens string, n_tokens string"
+    frame = spark.createDataFrame([(*r, len(r[1]), "i", "k", "m", 1, 2, "x", 3, 4, 5, "t", "n") for r in data], extra)
+    frame.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, 1), (1, None), (2, 0), (7, 0)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{k}.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{k}.parquet")
+        if name in ("toxicity", "language", "near_copies"):
+            assert sorted((r.doc_id or -1, r.text) for r in docs.collect()) == sorted((i or -1, t) for i, t, _, _ in data)
+        if name == "mixing":
+            copies = Counter((r.doc_id, r.text) for r in docs.collect())
+    packed = docs.collect()
+    assert {i for i, _ in copies} == {r.doc_id for r in packed}
+    assert sum(copies.values()) == sum(r.first_token == 0 for r in packed)

@@ -405,3 +405,11 @@ def test_measures(text):
     n = max(len(text), 1)
     assert m["symbols"][0] == 1000 * len(re.findall(r"[!-/:-@\[-`{-~]", text)) // n
     assert m["capitals"][0] == 1000 * len(re.findall("[A-Z]", text)) // n
+
+
+def test_language_of_null_ids_and_a_very_long_text(spark):
+    rows = [(k if k % 3 else None, text, lang, "a") for lang, text in PROSE.items() for k in range(1, 9)]
+    rows.append((1000, PROSE["de"] * 20000, "de", "a"))
+    found = language.identify(docs(spark, rows), language.fit(docs(spark, rows))).collect()
+    assert len(found) == len(rows) and all(r.keep for r in found)
+    assert Counter(r.predicted for r in found) == Counter(r[2] for r in rows)
