@@ -221,3 +221,24 @@ def test_four_hundred_merges_are_those_of_naive_counts(spark, letters, prefix):
     merges, scores = tr.learn_merges(spark.createDataFrame(rows, "symbols array<string>, freq bigint"), [], 400, 1, prefix)
     want = naive_merges(rows, len(merges), 1, prefix)
     assert len(merges) == 400 and list(zip(merges, scores)) == want
+
+
+@pytest.mark.parametrize("prefix", [None, "##"])
+@pytest.mark.parametrize("square", [1 << 22, 0])
+def test_many_merges_by_jobs_equal_counting_anew(spark, monkeypatch, prefix, square):
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("aab") for _ in range(rng.randrange(1, 9))) for _ in range(60)})
+    rows = [([w[0], *((prefix or "") + c for c in w[1:])], 1 + k % 7) for k, w in enumerate(words)]
+    monkeypatch.setattr(tr.PairJobs, "SQUARE", square)
+    monkeypatch.setattr(tr, "CUT_EVERY", 3)
+    tokens = []
+    merges, _ = tr.learn_merges(spark.createDataFrame(rows, "symbols array<string>, freq bigint"), tokens, 10, 2, prefix, driver_words=0)
+    assert merges == slow_merges(rows, 10, [], 2, prefix) and len(tokens) == 10
+
+
+def test_few_words_with_many_letters_are_merged_by_jobs(spark, monkeypatch):
+    """The driver's share is bounded by letters, too."""
+    monkeypatch.setattr(tr, "PairIndex", None)
+    symbols = spark.createDataFrame([(["a", "b"] * 50, 2)], "symbols array<string>, freq bigint")
+    tokens = ["a", "b"]
+    assert tr.learn_merges(symbols, tokens, 4, 1, None, driver_words=5)[0] == [("a", "b"), ("ab", "ab")]
