@@ -208,3 +208,16 @@ def test_streams_give_what_tables_give(spark, texts, tmp_path):
     rates.processAllAvailable()
     rates.stop()
     assert spark.table("rates").selectExpr("sum(texts) AS n").first().n == texts.count()
+
+
+def test_texts_without_words_are_left_out_as_in_the_sql(spark, tmp_path):
+    import duckdb
+
+    from lexloom.plans import catalogue
+
+    rows = [(k, t) for k, t in enumerate(["the house", "", "\x07 ", None, "  \n", "a, b"])]
+    spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'en' lang").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, catalogue.QUERIES["hf_bert_pipeline"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(catalogue.ORACLE_SQL["hf_bert_pipeline"]).fetchall()) and [k for k, _ in got] == [0, 5]
