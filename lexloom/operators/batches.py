@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,8 +155,22 @@ def packed_ids(df: DataFrame, block_size: int, order_col: str, ids_col: str, pad
     return filled.withColumn("attention_mask", _padded(F.array_repeat(F.lit(1), F.col("_n")), F.lit(block_size), 0)).drop("_c", "_n", "_v")
 
 
-def word_offsets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, word_index (from 1), word, start, stop: words with their spans of bytes.
+def _second_bytes(column: pa.Array, row: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether a character starts at the byte after each start, or the text ends before it."""
+    text = pc.fill_null(column.cast(pa.large_string()), "")
+    _, offsets, body = text.buffers()
+    offs = np.frombuffer(offsets, dtype=np.int64, count=len(text) + 1, offset=8 * text.offset)
+    data = np.frombuffer(body, dtype=np.uint8) if body is not None else np.zeros(0, np.uint8)
+    at = offs[row] + start
+    ends = at >= offs[row + 1]
+    out = np.ones(len(at), dtype=bool)
+    out[~ends] = (data[at[~ends]] & 0xC0) != 0x80
+    return out
+
+
+def word_offsets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", boundaries: bool = False) -> DataFrame:
+    """id_col, word_index (from 1), word, start, stop: words with their spans of bytes; with ``boundaries``
+    also whether ``start`` + 1 is a valid boundary of the text (as by ``is_valid_string_boundary``).
 
     Row by row over Arrow buffers, without a shuffle and in time proportional to the
     texts, whatever their length; null and empty texts have no rows.
@@ -168,9 +183,10 @@ def word_offsets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 part = batch.slice(a, 256)
                 row, start, stop, words = word_spans(part.column(1))
                 index = np.arange(len(row)) - np.searchsorted(row, row) + 1
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(index.astype(np.int64)), words, pa.array(start), pa.array(stop)], names=[id_col, "word_index", "word", "start", "stop"])
+                more = [pa.array(_second_bytes(part.column(1), row, start))] if boundaries else []
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(index.astype(np.int64)), words, pa.array(start), pa.array(stop), *more], names=[id_col, "word_index", "word", "start", "stop", *(["boundary"] if boundaries else [])])
 
-    return df.select(df[id_col], df[text_col].cast("string")).mapInArrow(run, f"`{id_col}` {kind}, word_index bigint, word string, start bigint, stop bigint")
+    return df.select(df[id_col], df[text_col].cast("string")).mapInArrow(run, f"`{id_col}` {kind}, word_index bigint, word string, start bigint, stop bigint{', boundary boolean' if boundaries else ''}")
 
 
 def _binned(df: DataFrame, start: str, stop: str) -> DataFrame:

@@ -210,6 +210,16 @@ def test_streams_give_what_tables_give(spark, texts, tmp_path):
     assert spark.table("rates").selectExpr("sum(texts) AS n").first().n == texts.count()
 
 
+def test_boundaries_of_word_offsets_are_those_of_the_text(spark):
+    from lexloom.operators import batches
+
+    rows = [(1, "é x 日本 a"), (2, None), (3, ""), (4, "ab é"), (5, "🙂"), (6, "b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    found = batches.word_offsets(df, boundaries=True).join(df, "doc_id")
+    both = found.select("boundary", sp.is_valid_string_boundary(F.col("text"), (F.col("start") + 1).cast("int")).alias("want")).collect()
+    assert len(both) == 8 and all(r.boundary == r.want for r in both)
+
+
 def test_texts_without_words_are_left_out_as_in_the_sql(spark, tmp_path):
     import duckdb
 
