@@ -89,3 +89,94 @@ def test_word_spans_are_those_of_the_pattern():
                 want.append((k, a, a + chars.byte_length(m.group()), m.group()))
         assert list(zip(row.tolist(), start.tolist(), stop.tolist(), words.to_pylist())) == want
     assert len(word_spans(pa.array([], pa.string()))[0]) == 0 and np.all(word_spans(pa.array([None, ""]))[0] == 0)
+
+
+def marked(exact=True):
+    unigram = Unigram(Vocabulary.build(["[UNK]", "▁", *LETTERS, "ab", "▁a", "bc"], {"unk": "[UNK]"}), [-9.0, -2.0] + [-3.0 if exact else -3.1] * 7 + [-2.5, -2.0, -3.0], "[UNK]", "▁", "u")
+    merges = BPE(Vocabulary.build(["[UNK]", "▁", *LETTERS, "▁a", "▁ab", "bc"], {"unk": "[UNK]"}), {("▁", "a"): 1, ("▁a", "b"): 2, ("b", "c"): 3}, "[UNK]", None, "b")
+    return [Pipeline(family_blocks(SentencePiece(m, "▁", "s")), "marked") for m in (unigram, merges)]
+
+
+@pytest.mark.parametrize("kind", [0, 1])
+def test_marked_words_are_encoded_on_their_own(kind, monkeypatch):
+    """Texts with single blanks are put together from words; others, and those with an unknown letter, are encoded whole."""
+    model, alone = marked()[kind], []
+    one = arrays._one_by_one
+    monkeypatch.setattr(arrays, "_one_by_one", lambda m, column, *how: alone.extend(column.to_pylist()) or one(m, column, *how))
+    plain = ["abc cab é日 b", " abc a", "", None, "a"]
+    odd = ["ab  c", "a\nb", "a ", "ab x c", "a▁b c", "a [UNK] b"]
+    rows = [t for pair in zip(plain, odd) for t in pair] + odd[5:]
+    got = arrays.results(model, pa.array(rows), False, False, True, False).to_pylist()
+    assert sorted(alone) == sorted(odd)
+    for t, r in zip(rows, got):
+        if t is not None:
+            want = models.encode_result(model, t, False, False, True)
+            assert (r["ids"], r["offsets"] and [(o["start"], o["stop"]) for o in r["offsets"]]) == (want["ids"], want["offsets"] and [tuple(o) for o in want["offsets"]]), t
+
+
+def test_marks_are_no_cuts_where_pieces_reach_over_them():
+    over = BPE(Vocabulary.build(["[UNK]", "▁", "a", "a▁"], {"unk": "[UNK]"}), {("a", "▁"): 1}, "[UNK]", None, "b")
+    assert not arrays._cuts(over, "▁") and not arrays._cuts(marked(False)[0].base, "▁") and all(arrays._cuts(m.base, "▁") for m in marked())
+
+
+@pytest.mark.parametrize("prefix", [False, True])
+def test_byte_level_spans_are_by_arrays(prefix, monkeypatch):
+    level = {"type": "ByteLevel", "add_prefix_space": prefix, "trim_offsets": False, "use_regex": True}
+    model = Pipeline(family_blocks(family("bytebpe")) | {"pre_tokenizer": level, "post_processor": level, "decoder": level, "added_tokens": []}, "level")
+    rows = texts()
+    want = [None if t is None else models.encode_result(model, t, False, False, True) for t in rows]
+    monkeypatch.setattr(arrays, "_one_by_one", None)
+    for t, w, r in zip(rows, want, arrays.results(model, pa.array(rows), False, False, True, False).to_pylist()):
+        if t is not None:
+            assert r["ids"] == w["ids"] and [(o["start"], o["stop"]) for o in r["offsets"]] == [tuple(o) for o in w["offsets"]], t
+
+
+def test_results_come_slice_by_slice_and_long_words_are_not_remembered(monkeypatch):
+    monkeypatch.setattr(arrays, "SLICE_BYTES", 16)
+    model, rows = family("bpe"), pa.array(["abc " * 10] * 8 + ["a" * 100])
+    assert len(list(arrays.result_parts(model, rows, False, False, True, True))) > 3
+    assert len(list(arrays.encoded_parts(model, rows, True))) > 3
+    memo = family("wordpiece").id_memo
+    assert memo["abc"] and len(memo["a" * 100]) > 1 and list(memo) == ["abc"]
+
+
+@pytest.mark.parametrize("name", ["bpe", "bytebpe", "unigram", "sentencepiece", "marked"])
+def test_pieces_of_many_words_are_those_of_each(name):
+    from lexloom.operators import vectors
+
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("aaabbcdeé日x🙂"[: 9 + rng.randrange(5)]) for _ in range(rng.randrange(1, 14))) for _ in range(500)})
+    for model, mark in [(family(name), "")] if name != "marked" else [(m.base, "▁") for m in marked() + marked(False)]:
+        ids, start, stop, sizes = vectors.pieces(model, pa.array([mark + w for w in words]), mark)
+        edges = np.concatenate(([0], np.cumsum(sizes)))
+        for k, w in enumerate(words):
+            part = slice(edges[k], edges[k + 1])
+            want = model.word_pieces(mark + w)
+            assert [model.id_to_token(i) for i in ids[part]] == want
+            spans = arrays._marked_spans(w, want, mark) if mark and want != [model.unknown] else [x for s in model.word_spans(w, want, 0) for x in s]
+            assert [x for s in zip(start[part].tolist(), stop[part].tolist()) for x in s] == spans
+    # a word with a sign of the model's own is left to the model
+    assert vectors.pieces(family("bpe"), pa.array(["a</w>"])) is None and vectors.pieces(family("sentencepiece"), pa.array(["a▁b"])) is None
+
+
+def test_merges_that_wait_for_later_ones_are_left_to_the_model():
+    from lexloom.operators import vectors
+
+    late = BPE(Vocabulary.build(["[UNK]", *"abc", "ab", "abc"], {"unk": "[UNK]"}), {("ab", "c"): 1, ("a", "b"): 2}, "[UNK]", None, "b")
+    assert vectors.pieces(late, pa.array(["abcab"])) is None and late.word_pieces("abcab") == ["abc", "ab"]
+
+
+@pytest.mark.parametrize("name", ["bpe", "json_sentencepiece", "level", "wordpiece"])
+def test_totals_are_those_of_the_spans(name):
+    model, rows = models_of()[name], texts()
+    got = pa.concat_arrays(arrays.total_parts(model, pa.array(rows))).to_pylist()
+    for t, r in zip(rows, got):
+        if t is None:
+            continue
+        spans = models.encode_result(model, t, False, False, True)["offsets"]
+        if spans is None:
+            assert r is None
+            continue
+        wide = [s for s in spans if s[1] > s[0]]
+        apart = all(wide[k][0] >= max(b for _, b in wide[:k]) for k in range(1, len(wide)))
+        assert r == {"n_tokens": len(spans), "starts": sum(a for a, _ in spans), "stops": sum(b for _, b in spans), "products": sum(a * b for a, b in spans), "apart": apart}, t
