@@ -180,3 +180,29 @@ def test_totals_are_those_of_the_spans(name):
         wide = [s for s in spans if s[1] > s[0]]
         apart = all(wide[k][0] >= max(b for _, b in wide[:k]) for k in range(1, len(wide)))
         assert r == {"n_tokens": len(spans), "starts": sum(a for a, _ in spans), "stops": sum(b for _, b in spans), "products": sum(a * b for a, b in spans), "apart": apart}, t
+
+
+@pytest.mark.parametrize("most", [0, 6])
+def test_wordpiece_pieces_are_found_for_many_words_at_once(most, monkeypatch):
+    """Only words with a sign of the model's own are left to the model."""
+    from lexloom.operators import vectors
+
+    base = family("wordpiece")
+    model = WordPiece(base.vocabulary, "##", "[UNK]", most, "w")
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choice("aaabbcdeé日x🙂"[: 8 + rng.randrange(5)]) for _ in range(rng.randrange(1, 14))) for _ in range(400)})
+    ids, start, stop, sizes = vectors.pieces(model, pa.array(words))
+    edges = np.concatenate(([0], np.cumsum(sizes)))
+    for k, w in enumerate(words):
+        part, want = slice(edges[k], edges[k + 1]), model.word_pieces(w)
+        assert [model.id_to_token(i) for i in ids[part]] == want
+        assert list(zip(start[part].tolist(), stop[part].tolist())) == model.word_spans(w, want, 0)
+    alone = []
+    slow = model.word_pieces
+    monkeypatch.setattr(model, "word_pieces", lambda w: alone.append(w) or slow(w))
+    rows = ["ab abc", "a##b cab [UNK] ab", "x é", "##c"]
+    got = arrays.results(model, pa.array(rows), False, False, True, False).to_pylist()
+    assert set(alone) == {"a##b", "[UNK]", "##c"}
+    for t, r in zip(rows, got):
+        want = models.encode_result(family("wordpiece") if not most else model, t, False, False, True)
+        assert r["ids"] == want["ids"] and (r["offsets"] and [(o["start"], o["stop"]) for o in r["offsets"]]) == want["offsets"]
