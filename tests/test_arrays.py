@@ -206,3 +206,9 @@ def test_wordpiece_pieces_are_found_for_many_words_at_once(most, monkeypatch):
     for t, r in zip(rows, got):
         want = models.encode_result(family("wordpiece") if not most else model, t, False, False, True)
         assert r["ids"] == want["ids"] and (r["offsets"] and [(o["start"], o["stop"]) for o in r["offsets"]]) == want["offsets"]
+
+
+@pytest.mark.parametrize("name", ["wordpiece", "bpe", "bytebpe", "unigram", "sentencepiece"])
+def test_tokens_of_words_are_those_of_texts(name):
+    model, rows = family(name), [t for t in texts() if t is not None] + ["a</w>b ab", "##a"]
+    assert pa.concat_arrays(arrays.token_parts(model, pa.array(rows))).to_pylist() == [model.tokenize(t) for t in rows]

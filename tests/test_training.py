@@ -1,3 +1,4 @@
+import functools
 import itertools
 import math
 import random
@@ -242,3 +243,54 @@ def test_few_words_with_many_letters_are_merged_by_jobs(spark, monkeypatch):
     symbols = spark.createDataFrame([(["a", "b"] * 50, 2)], "symbols array<string>, freq bigint")
     tokens = ["a", "b"]
     assert tr.learn_merges(symbols, tokens, 4, 1, None, driver_words=5)[0] == [("a", "b"), ("ab", "ab")]
+
+
+@pytest.mark.parametrize("how", [{"byte": True, "end": "</w>"}, {"end": "</w>"}, {"prefix": "##"}, {"end": "a"}, {}])
+def test_words_are_spelled_as_their_symbols_are(spark, how):
+    """Jobs spell words from their letters and give the sums that they give over arrays of symbols."""
+    counts = tr.word_counts(frame(spark, [*CORPUS, "🙂a aé日本a x"], 2))
+    words = counts.collect()
+    spelling = tr.Spelling(tuple(sorted({c for r in words for c in r.word})), **how)
+    names, (symbol, sizes) = spelling.names(), spelling.codes(tr.pa.array([r.word for r in words]))
+    got, at = [], 0
+    for n in sizes.tolist():
+        got.append([names[k] for k in symbol[at : at + n]])
+        at += n
+    plain = [[chars.BYTE_CHAR[b] for b in r.word.encode()] if how.get("byte") else list(r.word) for r in words]
+    want = [[w[0], *(how.get("prefix", "") + c for c in w[1:]), *([how["end"]] if how.get("end") else [])] for w in plain]
+    assert got == want and [r.n for r in counts.select("word", spelling.size().alias("n")).orderBy("word").collect()] == [len(w) for _, w in sorted(zip([r.word for r in words], want))]
+    rows = spark.createDataFrame([(s, r.freq) for s, r in zip(want, words)], "symbols array<string>, freq bigint")
+    found = []
+    for more in ({}, {"counts": counts, "spelling": spelling}):
+        tokens = ["<UNK>"]
+        found.append((tr.learn_merges(rows, tokens, 7, 2, how.get("prefix"), driver_words=0, **more), tokens))
+    assert found[0] == found[1] and len(found[0][0][0]) == 6
+
+
+def test_words_counted_slice_by_slice_are_the_same(spark, monkeypatch):
+    monkeypatch.setattr(tr, "COUNT_BYTES", 16)
+    lines = [*CORPUS, None, "", "  ", "new　wide\x85new"] * 3
+    for cut_words in (None, lambda t: [*chars.words(t), ""]):
+        got = {r.word: r.freq for r in tr.word_counts(frame(spark, lines, 2), pretokenizer=cut_words).collect()}
+        assert got == counts_of([t for t in lines if t])
+
+
+def test_words_that_are_counted_already_are_not_counted_again(spark):
+    other = frame(spark, ["never read"])
+    counts = tr.word_counts(frame(spark, CORPUS))
+    for train, size in ((tr.train_bpe_result, 40), (tr.train_bytebpe_result, 270), (functools.partial(tr.train_sentencepiece_result, model_type="bpe"), 40)):
+        given, want = train(other, vocab_size=size, counts=counts), train(frame(spark, CORPUS), vocab_size=size)
+        assert given.artifacts["merge_pairs"] == want.artifacts["merge_pairs"] and given.artifacts["vocab_tokens"] == want.artifacts["vocab_tokens"]
+
+
+@pytest.mark.parametrize("longest", [1, 2, 3, 4])
+def test_short_parts_are_counted_by_numbers(spark, longest):
+    words = [("ab🙂a", 3), ("a", 2), ("é日", 5), ("abab", 1)]
+    want = Counter()
+    for w, f in words:
+        want[w] += 2 * f
+        for i in range(len(w)):
+            for n in range(1, min(longest, len(w) - i) + 1):
+                want[w[i : i + n]] += f
+    rows = spark.createDataFrame([*words, ("", 7)], "word string, freq bigint").repartition(2)
+    assert {r.token: r.freq for r in tr.candidate_counts(rows, longest).collect()} == want
