@@ -294,3 +294,37 @@ def test_short_parts_are_counted_by_numbers(spark, longest):
                 want[w[i : i + n]] += f
     rows = spark.createDataFrame([*words, ("", 7)], "word string, freq bigint").repartition(2)
     assert {r.token: r.freq for r in tr.candidate_counts(rows, longest).collect()} == want
+
+
+@pytest.mark.parametrize("letters", ["abcdefgh", "ab"])
+def test_jobs_that_bounds_save(spark, monkeypatch, letters):
+    """Merges by jobs are those of a full count, and pairs that no merge touched take no job."""
+    draw = random.Random(len(letters))
+    for _ in range(3):
+        words = sorted({"".join(draw.choices(letters, range(len(letters), 0, -1), k=draw.randint(1, 9))) for _ in range(60)})
+        rows = [(list(w), draw.randint(1, 9)) for w in words]
+        jobs = []
+        sums = tr.PairJobs._sums
+        with monkeypatch.context() as m:
+            m.setattr(tr.PairJobs, "_sums", lambda self, singles: jobs.append(singles) or sums(self, singles))
+            tokens = list(letters)
+            merges, _ = tr.learn_merges(spark.createDataFrame(rows, "symbols array<string>, freq bigint").repartition(2), tokens, len(letters) + 12, 2, driver_words=0)
+        assert merges == slow_merges([("".join(s), f) for s, f in rows], len(letters) + 12, list(letters), 2)
+        assert len(merges) >= 12
+        if len(letters) > 2:
+            assert len(jobs) < len(merges)
+
+
+def test_words_lie_in_slabs(spark):
+    """A job reads many words a row; symbols beyond 16 bits are kept."""
+    rows = spark.createDataFrame([(["a", "b"], 1)] * 50 + [([], 1)], "symbols array<string>, freq bigint").coalesce(1)
+    index = tr.PairJobs(rows)
+    assert index.words.count() == 1
+    index.names += [f"x{k}" for k in range(1 << 15)]
+    assert index.most_frequent() == (("a", "b"), 50)
+    index.merge(("a", "b"), "ab")
+    for _ in range(tr.CUT_EVERY - 1):
+        index.pending.append((0, 0, 0))
+    index.merge(("b", "b"), "bb")
+    codes = [s.tolist() for s, *_ in tr._slabs(index.words.toArrow().to_batches())]
+    assert codes == [[index.number["ab"]] * 50]
