@@ -212,3 +212,40 @@ def test_wordpiece_pieces_are_found_for_many_words_at_once(most, monkeypatch):
 def test_tokens_of_words_are_those_of_texts(name):
     model, rows = family(name), [t for t in texts() if t is not None] + ["a</w>b ab", "##a"]
     assert pa.concat_arrays(arrays.token_parts(model, pa.array(rows))).to_pylist() == [model.tokenize(t) for t in rows]
+
+
+def untrimmed():
+    level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": True}
+    return Pipeline(family_blocks(family("bytebpe")) | {"pre_tokenizer": level, "post_processor": level, "decoder": level, "added_tokens": []}, "level")
+
+
+@pytest.mark.parametrize("model", [family("bpe"), family("bytebpe"), family("unigram"), family("sentencepiece"), *marked(), untrimmed()], ids=lambda m: f"{m.format}-{m.name}")
+def test_totals_are_summed_by_different_words(model, monkeypatch):
+    """No array has a place for each token of a slice."""
+    rows = ["abc cab abc", "", None, "a b  a".replace("  ", " "), "日本 é".replace("本", "日"), "ab ab ab ab"]
+    want = [None if t is None else models.encode_result(model, t, False, False, True)["offsets"] for t in rows]
+    monkeypatch.setattr(arrays, "ids_of", None)
+    got = pa.concat_arrays(arrays.total_parts(model, pa.array(rows))).to_pylist()
+    for t, w, r in zip(rows, want, got):
+        if t is not None:
+            assert (r["n_tokens"], r["starts"], r["stops"], r["products"], r["apart"]) == (len(w), sum(a for a, _ in w), sum(b for _, b in w), sum(a * b for a, b in w), True), t
+
+
+def test_rows_whose_spans_clash_are_found():
+    """Within a word, between words, and not between rows; spans without bytes don't count."""
+    row, start, stop = (np.array(x) for x in ([0, 0, 1, 1, 2, 3, 3], [1, 3, 1, 2, 1, 5, 2], [3, 4, 3, 4, 9, 6, 2]))
+    assert set(arrays._clashes(row, start, stop).tolist()) == {1}
+
+
+@pytest.mark.parametrize("cells", [0, 1 << 23])
+def test_steps_by_table_are_those_looked_up(cells, monkeypatch):
+    from lexloom.operators import vectors
+
+    monkeypatch.setattr(vectors, "CELLS", cells)
+    tokens = {"<unk>": -9.0, "a": -1.0, "aa": -2.0, "aaa": -3.0, "ab": -1.0, "b": -1.0, "\x00": -1.0, "日b": -0.5}
+    model = Unigram(Vocabulary.build(list(tokens), {"unk": "<unk>"}), list(tokens.values()), "<unk>", "", "t")
+    words = ["aaaa", "aaab", "", "a\x00b", "c", "🙂", "日b", "日", "b" * 300, "\x01"]
+    ids, _, _, sizes = vectors.pieces(model, pa.array(words))
+    edges = np.concatenate(([0], np.cumsum(sizes)))
+    assert [[model.id_to_token(i) for i in ids[a:b]] for a, b in zip(edges[:-1], edges[1:])] == [model.word_pieces(w) for w in words]
+    assert (vectors._cached(model, "trie", None).table is None) == (not cells)
